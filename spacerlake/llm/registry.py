@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP3_SQL, op3_chat_format
 from .decontamination import OP7_SQL, op7_decontamination
+from .embedding_dedup import OP6_SQL, op6_embedding_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mixing
+from .ngram_join import op8_ngram_join
 from .token_store import op5_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_chat_format": op3_chat_format,
     "op5_token_store": op5_token_store,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_ngram_join": op8_ngram_join,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_line_dedup": OP10_SQL}
