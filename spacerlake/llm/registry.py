@@ -13,6 +13,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .ngram_join import op8_ngram_join
 from .token_store import op5_token_store
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_join": op8_ngram_join,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_line_dedup": OP10_SQL}
