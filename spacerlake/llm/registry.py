@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP3_SQL, op3_chat_format
 from .decontamination import OP7_SQL, op7_decontamination
 from .embedding_dedup import OP6_SQL, op6_embedding_dedup
+from .language_id import op2_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .ngram_join import op8_ngram_join
@@ -17,6 +18,7 @@ from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op5_token_store": op5_token_store,
     "op6_embedding_dedup": op6_embedding_dedup,

@@ -93,7 +93,7 @@ class UnitEncoder:
     MOST = 1_200_000
     SPLIT = re.compile(r"(?<=\S)(?= \S)")
     #: Blanks besides space and line end, by str.isspace, and the mark used here.
-    ODD_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") | {"\x00"}
+    ODD_BLANKS = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\x00")
     ODD_PAIRS = ("  ", "\n\n", " \n", "\n ")
     MARK_PAIRS = ("..", ",,", ".,", ",.")
     ODD_MARKS = re.compile(r"[\W_][.,]|\A[.,]")
@@ -106,34 +106,50 @@ class UnitEncoder:
         split = str(self.tokenizer.pre_tokenizer)
         self.by_unit = self.tokenizer.normalizer is None and split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split
         self.known: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.unsafe: set[str] = set()  # units after which a full stop or comma may belong to the same pre-token
 
     def units(self, text: str) -> list[str]:
         if not self.by_unit:
             return [text]
-        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.ODD_PAIRS) or not self.ODD_BLANKS.isdisjoint(text):
+        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.ODD_PAIRS) or any(x in text for x in self.ODD_BLANKS):
             return self.SPLIT.split(text)
         marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
         if not any(x in text for x in self.MARK_PAIRS):
             marked = marked.replace(".\x00", "\x00.\x00").replace(",\x00", "\x00,\x00")
         return marked.split("\x00")
 
-    def _new(self, units: list[list[str]]) -> list[str]:
-        return list(set(chain.from_iterable(units)).difference(self.known))
+    def _learn(self, new: list[str]) -> None:
+        """Encodes units, those without line ends as the lines of one text: a line end is a pre-token of its own there."""
+        lines = [x for x in new if x and "\n" not in x and x.strip() == x.removeprefix(" ")] if self.by_unit and len(self.line_end) == 1 else []
+        if lines:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
+            if len(ends) == len(lines):
+                data, size = ids.tobytes(), self.kind.itemsize
+                starts = np.append(0, ends[:-1] + 1) * size
+                self.known.update((x, data[a:b]) for x, a, b in zip(lines, starts.tolist(), (ends * size).tolist(), strict=True))
+        rest = [x for x in new if x not in self.known]
+        for unit, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[unit] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.MOST:
             self.known, self.unsafe = {}, set()
         units = [self.units(x) for x in texts]
-        new = self._new(units)
-        self.unsafe.update(x for x in new if x and not x[-1].isalnum() and x not in ".,\n")
-        if self.unsafe:
-            units = [self.SPLIT.split(t) if self.by_unit and not self.unsafe.isdisjoint(x) and self.ODD_MARKS.search(t) else x for t, x in zip(texts, units, strict=True)]
-            new = self._new(units)
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), self.kind) for x in units]
+        found = [list(map(self.known.get, x)) for x in units]
+        new = list({u for x, y in zip(units, found, strict=True) if None in y for u, v in zip(x, y, strict=True) if v is None})
+        if new:
+            self.unsafe.update(x for x in new if x and not x[-1].isalnum() and x not in ".,\n")
+            self._learn(new)
+            found = [list(map(self.known.get, x)) if None in y else y for x, y in zip(units, found, strict=True)]
+        if self.by_unit and self.unsafe:
+            for k, (text, own) in enumerate(zip(texts, units, strict=True)):
+                if not self.unsafe.isdisjoint(own) and self.ODD_MARKS.search(text):
+                    parts = self.SPLIT.split(text)
+                    self._learn(list(set(parts).difference(self.known)))
+                    found[k] = [self.known[x] for x in parts]
+        return [np.frombuffer(b"".join(x), self.kind) for x in found]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
