@@ -13,6 +13,7 @@ from .language_id import op2_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .ngram_join import op8_ngram_join
+from .suffix_dedup import op4_suffix_dedup
 from .token_store import op5_token_store
 from .toxicity import op9_toxicity
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_store": op5_token_store,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
