@@ -42,6 +42,13 @@ flatten(transform(array(0, 1), longer -> transform(
 """
 
 
+#: The keys alone of a line of less than LONG characters, in flat expressions; n is its length. Its two parts on both grids.
+_HALF_KEYS = """
+array(xxhash64(n, 0, '', substring(line, n div 2 + 1)), xxhash64(n, 1, substring(line, 1, n div 2), ''),
+      xxhash64(n - 1, 0, '', substring(line, (n - 1) div 2 + 2)), xxhash64(n - 1, 1, substring(line, 1, (n - 1) div 2), ''))
+"""
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("tie"), F.split(text, "\n", -1).alias("lines"))
@@ -58,8 +65,9 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
 
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the different lines that have an earlier line within the bound."""
-    long_ = _lines(docs).where(F.length("line") >= MIN_NEAR)
-    keys = long_.select("h1", F.explode(F.expr(f"transform({_COARSE}, x -> x.key)")).alias("key"))
+    long_ = _lines(docs).withColumn("n", F.length("line")).where(F.col("n") >= MIN_NEAR)
+    own_keys = F.when(F.col("n") < LONG, F.expr(_HALF_KEYS)).otherwise(F.expr(f"transform({_COARSE}, x -> x.key)"))
+    keys = long_.select("h1", "n", "line").select("h1", F.explode(own_keys).alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), "line-keys")
     hashes = keys.join(shared, "key", "left_semi").select("h1").distinct()
     wanted = firsts.join(hashes, "h1", "left_semi").select("first", *_HASH, "first.doc_id", "first.tie", "first.at")
