@@ -8,28 +8,25 @@ reversal are the same. Counts have unit norm within each radius and distance, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RADIUS, DISTANCE = 3, 4
 END = "$"
 
 
-def _features(radius: int, distance: int) -> Column:
-    letter = f"if({{0}} < 0 OR {{0}} >= n, '{END}', cs[{{0}}])"
+def _around(radius: int, most: int) -> Column:
+    """What each place of a sequence sees within the radius; `padded` has `most` ends on both sides."""
+    pairs = ", ".join(f"least(padded[k - {step}], padded[k + {step}]), greatest(padded[k - {step}], padded[k + {step}])" for step in range(radius + 1))
+    return F.expr(f"if(n > 0, transform(sequence({most}, n - 1 + {most}), k -> concat({pairs})), cast(array() AS array<string>))")
 
-    def around(i: str) -> str:
-        pairs = []
-        for step in range(radius + 1):
-            a, b = letter.format(f"{i} - {step}"), letter.format(f"{i} + {step}")
-            pairs.append(f"least({a}, {b}), greatest({a}, {b})")
-        return f"concat({', '.join(pairs)})"
 
-    a, b = around("i"), around(f"i + {distance}")
-    tag = f"{radius}/{distance}"
+def _features(radius: int, distance: int) -> Column:
+    tag, seen = f"{radius}/{distance}", f"seen_{radius}"
     if distance == 0:
-        made = f"array(named_struct('g', '{tag}', 'f', concat('P', {a}, '-', {a}), 'w', 1), named_struct('g', '{tag}', 'f', concat('H', {a}), 'w', 1))"
+        made = f"array(named_struct('g', '{tag}', 'f', concat('P', {seen}[i], '-', {seen}[i]), 'w', 1), named_struct('g', '{tag}', 'f', concat('H', {seen}[i]), 'w', 1))"
     else:
+        a, b = f"{seen}[i]", f"{seen}[i + {distance}]"
         made = (
             f"array(named_struct('g', '{tag}', 'f', concat('P', least({a}, {b}), '-', greatest({a}, {b})), 'w', 2), "
             f"named_struct('g', '{tag}', 'f', concat('H', {a}), 'w', 1), named_struct('g', '{tag}', 'f', concat('H', {b}), 'w', 1))"
@@ -41,18 +38,22 @@ def _features(radius: int, distance: int) -> Column:
 def vectors(rows: DataFrame, keys: list[str], seq: str, radius: int = RADIUS, distance: int = DISTANCE) -> DataFrame:
     """(keys, seq_id, feature, value) of each row, of unit norm; seq_id tells a group's sequences apart."""
     own = rows.select(*keys, F.col(seq).alias("seq_id"), F.filter(F.split(seq, ""), lambda c: c != "").alias("cs")).withColumn("n", F.size("cs"))
+    # a short row makes a thousand: dealt out by number, not by bytes
+    own = own.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "seq_id")
+    ends = F.array_repeat(F.lit(END), radius)
+    own = own.withColumn("padded", F.concat(ends, "cs", ends)).withColumns({f"seen_{r}": _around(r, radius) for r in range(radius + 1)})
     lists = F.flatten(F.concat(*(_features(r, d) for r in range(radius + 1) for d in range(distance + 1))))
-    counts = own.select(*keys, "seq_id", F.explode(lists).alias("x")).groupBy(*keys, "seq_id", "x.g", "x.f").agg(F.sum("x.w").cast("double").alias("count"))
-    of_group = counts.groupBy(*keys, "seq_id", "g").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
-    groups = of_group.groupBy(*keys, "seq_id").agg(F.sqrt(F.count("*").cast("double")).alias("groups"))
-    return counts.join(of_group.join(groups, [*keys, "seq_id"]), [*keys, "seq_id", "g"]).select(*keys, "seq_id", F.concat_ws(":", "g", "f").alias("feature"), (F.col("count") / F.col("norm") / F.col("groups")).alias("value"))
+    counts = own.select(*keys, "seq_id", "n", F.explode(lists).alias("x")).groupBy(*keys, "seq_id", "n", "x.g", "x.f").agg(F.sum("x.w").cast("double").alias("count"))
+    norm = F.sqrt(F.sum(F.col("count") * F.col("count")).over(Window.partitionBy(*keys, "seq_id", "g")))
+    groups = F.sqrt((radius + 1) * F.least(F.col("n"), F.lit(distance + 1)).cast("double"))  # the distances that a sequence has
+    return counts.select(*keys, "seq_id", F.concat_ws(":", "g", "f").alias("feature"), (F.col("count") / norm / groups).alias("value"))
 
 
 def mean_similarity(rows: DataFrame, keys: list[str], seq: str, radius: int = RADIUS, distance: int = DISTANCE) -> DataFrame:
     """(keys, n_sequences, similarity) of each group's different, non-empty sequences; 1 for a single one."""
     own = rows.where(F.length(seq) > 0).select(*keys, seq).distinct()
-    counts = own.groupBy(*keys).agg(F.count("*").alias("n_sequences"))
-    sums = vectors(own, keys, seq, radius, distance).groupBy(*keys, "feature").agg(F.sum("value").alias("s"))
-    squares = sums.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+    sums = vectors(own, keys, seq, radius, distance).groupBy(*keys, "feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("own"))
+    # a vector's squares add up to 1, so all squares add up to the number of sequences
+    totals = sums.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.round(F.sum("own")).cast("bigint").alias("n_sequences"))
     n = F.col("n_sequences")
-    return counts.join(squares, keys).select(*keys, "n_sequences", F.when(n == 1, 1.0).otherwise((F.col("q") - n) / (n * n - n)).alias("similarity"))
+    return totals.select(*keys, "n_sequences", F.when(n == 1, 1.0).otherwise((F.col("q") - n) / (n * n - n)).alias("similarity"))
