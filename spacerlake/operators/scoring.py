@@ -93,3 +93,19 @@ def adjacent_similarity(arrays: DataFrame, contig: str, order: str, consensus: s
     following = arrays.withColumns({"next_order": F.lead(order).over(w), "next_consensus": F.lead(consensus).over(w)})
     share = 1 - F.levenshtein(consensus, "next_consensus") / F.greatest(F.length(consensus), F.length("next_consensus"), F.lit(1))
     return following.where("next_consensus IS NOT NULL").withColumn("similarity", share).where(F.col("similarity") >= least - 5e-5)
+
+
+def seed_scores(queries: DataFrame, known: DataFrame, query: str, known_id: str, seq: str = "seq", k: int = 6) -> DataFrame:
+    """(query, score, known_id): the known sequence with the most equal k-mers on one diagonal, and twice that plus k - 1; 0 without any.
+
+    A k-mer is counted once for each place; those of both sides meet in a hash join on the k-mer.
+    """
+
+    def kmers(rows: DataFrame, name: str, place: str) -> DataFrame:
+        own = rows.where(F.length(seq) >= k).select(name, seq, F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)).alias(place))
+        return own.select(name, place, F.expr(f"substring({seq}, {place}, {k})").alias("kmer"))
+
+    hits = kmers(queries, query, "a").join(kmers(known, known_id, "b"), "kmer")
+    diagonals = hits.groupBy(query, known_id, (F.col("a") - F.col("b")).alias("diagonal")).agg(F.count("*").alias("n"))
+    best = diagonals.groupBy(query).agg(F.min_by(F.struct("n", known_id), F.struct(-F.col("n"), known_id)).alias("best"))
+    return queries.select(query).distinct().join(best, query, "left").select(query, F.coalesce(2 * F.col("best.n") + k - 1, F.lit(0)).alias("score"), F.col(f"best.{known_id}").alias(known_id))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators import approximate
 from ..operators import arrays as A
-from ..operators import clusters, kernel, pairs, scoring, search
+from ..operators import clusters, columns, kernel, pairs, scoring, search
 from . import arrays as plan
-from .queries import CLUSTERS, CONTIGS, K, contigs, query, read
+from .queries import ALIGNED, CLUSTERS, CONTIGS, K, _alignments, _dna, contigs, query, read
 
 _R, _D = kernel.RADIUS, kernel.DISTANCE
 
@@ -95,3 +96,25 @@ def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT contig_id, unnest([seq, reverse(translate(seq, 'ACGT', 'TGCA'))]) AS s FROM contigs), range(1, 4) t(fr)) GROUP BY contig_id""")
 def open_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contigs(spark, sf_dir).select("contig_id", F.lit(6).cast("bigint").alias("n_frames"), scoring.longest_orf(F.col("seq")).alias("longest"))
+
+
+@query()
+def expanded_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged clusters with their consensus strings, the parts of longer repeats that hold shorter ones, and all trims."""
+    own = contigs(spark, sf_dir)
+    merged = clusters.merge_neighbours(clusters.cluster_summary(clusters.number_pairs(pairs.repeat_pairs(own)), own, K), own)
+    found = approximate.trimmed(approximate.completed(approximate.with_consensus(merged, ["contig_id", "cluster_id"])))
+    return found.select("contig_id", "cluster_id", "begin", "end", F.size("repeats").alias("n_repeats"), F.md5(F.array_join("repeats", ",")).alias("repeats_digest"))
+
+
+@query(f"""WITH {ALIGNED}, q AS (SELECT contig_id || ':' || cluster_id AS query, string_agg(c, '' ORDER BY col) AS seq FROM con GROUP BY contig_id, cluster_id),
+d AS (SELECT item_id, {_dna('text')} AS seq FROM benchmark),
+h AS (SELECT query, item_id, a - b AS g, count(*) AS n FROM (SELECT query, a, substr(seq, a, 6) AS w FROM (SELECT *, unnest(range(1, len(seq) - 4)) AS a FROM q)) x JOIN (SELECT item_id, b, substr(seq, b, 6) AS w FROM (SELECT *, unnest(range(1, len(seq) - 4)) AS b FROM d WHERE len(seq) >= 6)) y ON x.w = y.w GROUP BY ALL),
+r AS (SELECT query, item_id, n, row_number() OVER (PARTITION BY query ORDER BY n DESC, item_id) AS rn FROM h)
+SELECT q.query, coalesce(2 * n + 5, 0) AS score, item_id FROM q LEFT JOIN r ON q.query = r.query AND rn = 1""")
+def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus of each cluster against the test items as a library of known sequences."""
+    agreed = columns.consensus(_alignments(spark, sf_dir), ["contig_id", "cluster_id"])
+    asked = agreed.select(F.concat_ws(":", "contig_id", "cluster_id").alias("query"), F.col("consensus").alias("seq"))
+    known = read(spark, sf_dir, "benchmark").select("item_id", S.dna_of(F.col("text")).alias("seq"))
+    return scoring.seed_scores(asked, known, "query", "item_id")

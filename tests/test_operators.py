@@ -171,3 +171,17 @@ def test_scoring(spark):
 def test_outliers(spark):
     rows = spark.createDataFrame([(1, k, n) for k, n in enumerate((30, 30, 31, 30, 30, 30))] + [(2, 0, 5), (2, 1, 9)], "a int, k int, n int")
     assert {(r["a"], r["k"]) for r in A.neighbour_outliers(rows, ["a"], "k", "n").where("suspicious").collect()} == {(1, 2), (2, 0), (2, 1)}
+
+
+def test_more_repeats(spark):
+    from spacerlake.operators import approximate
+
+    rows = spark.createDataFrame([(1, ["GACGTACG", "ACGTACG", "ACGTAC"]), (2, ["AAAA", "CCC"])], "k int, repeats array<string>")
+    found = {r["k"]: r for r in approximate.consensus_repeats(rows, ["k"]).collect()}
+    assert set(found) == {1} and (found[1]["longest"], found[1]["shortest"]) == ("GACGTACG", "ACGTAC")
+    more = {r["k"]: set(r["repeats"]) for r in approximate.with_consensus(rows, ["k"]).collect()}
+    assert more[1] == {"GACGTACG", "ACGTACG", "ACGTAC", "GACGTAC"} and more[2] == {"AAAA", "CCC"}
+    assert {r["k"]: set(r["repeats"]) for r in approximate.trimmed(rows, 1).collect()}[2] == {"AAAA", "AAA", "AA", "CCC", "CC", "C"}
+    groups = rows.select("k", approximate.groups_by_containment(F.col("repeats")).alias("g")).collect()
+    assert {r["k"]: r["g"] for r in groups} == {1: [["GACGTACG", "ACGTACG", "ACGTAC"]], 2: [["AAAA"], ["CCC"]]}
+    assert {r["k"]: set(r["repeats"]) for r in approximate.completed(rows).collect()}[1] == {"GACGTACG", "ACGTACG", "ACGTAC", "GACGTAC"}
