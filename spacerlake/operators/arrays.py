@@ -91,3 +91,24 @@ def neighbour_outliers(spacers: DataFrame, keys: list[str], at: str, length: str
     at_start = F.when(l1.isNull(), (r1 == r2) & (own != r1)).when(l2.isNull(), (l1 == r1) & (r1 == F.coalesce(r2, r1)) & (own != r1))
     at_end = F.when(r1.isNull(), (l1 == l2) & (own != l1)).when(r2.isNull(), (l1 == l2) & (l1 == r1) & (own != l1))
     return spacers.withColumn("suspicious", F.when(n <= 2, True).otherwise(F.coalesce(around, at_start, at_end, F.lit(False))))
+
+
+def surroundings(arrays: DataFrame, contigs: DataFrame, size: int = 200) -> DataFrame:
+    """Adds leader and downstream: `size` bases before and behind (start, end), or less at the contig's ends; on the reverse strand the other way round and complemented."""
+    joined = arrays.join(contigs.select("contig_id", "seq"), "contig_id")
+    before = F.expr(f"substring(seq, cast(greatest(start - {size}, 0) AS int) + 1, cast(start - greatest(start - {size}, 0) AS int))")
+    behind = F.expr(f"substring(seq, cast(end AS int) + 1, {size})")
+    forward = F.col("strand") == "Forward"
+    return joined.withColumns({
+        "leader": F.when(forward, before).otherwise(S.reverse_complement(behind)), "downstream": F.when(forward, behind).otherwise(S.reverse_complement(before)),
+    }).drop("seq")
+
+
+def repeat_intervals(parts: DataFrame, keys: list[str], at: str, repeat: str, spacer: str) -> DataFrame:
+    """(keys, at, start, end) of each repeat within its array, from rows with a repeat and the spacer behind it: running sums of their lengths."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce(repeat, F.lit("")))
+    start = F.coalesce(F.sum(size + F.length(F.coalesce(spacer, F.lit("")))).over(w), F.lit(0)).cast("bigint")
+    return parts.select(*keys, at, start.alias("start"), (start + size).alias("end"))

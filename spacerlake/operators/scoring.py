@@ -109,3 +109,17 @@ def seed_scores(queries: DataFrame, known: DataFrame, query: str, known_id: str,
     diagonals = hits.groupBy(query, known_id, (F.col("a") - F.col("b")).alias("diagonal")).agg(F.count("*").alias("n"))
     best = diagonals.groupBy(query).agg(F.min_by(F.struct("n", known_id), F.struct(-F.col("n"), known_id)).alias("best"))
     return queries.select(query).distinct().join(best, query, "left").select(query, F.coalesce(2 * F.col("best.n") + k - 1, F.lit(0)).alias("score"), F.col(f"best.{known_id}").alias(known_id))
+
+
+def ranking_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """(auc, n): the chance that a row of label 1 scores above one of label 0, ties counting half. Rows of one score are added up first, so what is ordered is one row a score."""
+    by_score = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("ones"), F.count("*").alias("n"))
+    below = F.coalesce(F.sum(F.col("n") - F.col("ones")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = by_score.select("ones", "n", (F.col("ones") * (below + (F.col("n") - F.col("ones")) / 2)).alias("wins"))
+    ones, all_ = F.sum("ones"), F.sum("n")
+    return wins.agg((F.sum("wins") / (ones * (all_ - ones))).alias("auc"), all_.alias("n"))
+
+
+def split(rows: DataFrame, key: str, share: float, seed: int = 1) -> DataFrame:
+    """Adds train, true for about a share of the keys: by hash, so that the same key falls on the same side in every run."""
+    return rows.withColumn("train", F.pmod(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.lit(10_000)) < round(share * 10_000))

@@ -118,3 +118,41 @@ def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = agreed.select(F.concat_ws(":", "contig_id", "cluster_id").alias("query"), F.col("consensus").alias("seq"))
     known = read(spark, sf_dir, "benchmark").select("item_id", S.dna_of(F.col("text")).alias("seq"))
     return scoring.seed_scores(asked, known, "query", "item_id")
+
+
+@query(f"""WITH {CLUSTERS}, x AS (SELECT contig_id, cluster_id, b, e, seq, len(regexp_replace(seq, '[^A]', '', 'g')) >= len(regexp_replace(seq, '[^T]', '', 'g')) AS f FROM clusters JOIN contigs USING (contig_id)),
+y AS (SELECT *, substr(seq, greatest(b - 200, 0) + 1, b - greatest(b - 200, 0)) AS p, substr(seq, e + 1, 200) AS q FROM x)
+SELECT contig_id, cluster_id, CASE WHEN f THEN p ELSE reverse(translate(q, 'ACGT', 'TGCA')) END AS leader, CASE WHEN f THEN q ELSE reverse(translate(p, 'ACGT', 'TGCA')) END AS downstream FROM y""")
+def leader_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = contigs(spark, sf_dir)
+    found = clusters.cluster_summary(clusters.number_pairs(pairs.repeat_pairs(own)), own, K)
+    strands = own.select("contig_id", F.when(S.base_count(F.col("seq"), "A") >= S.base_count(F.col("seq"), "T"), "Forward").otherwise("Reverse").alias("strand"))
+    return A.surroundings(found.withColumnRenamed("begin", "start").join(strands, "contig_id"), own).select("contig_id", "cluster_id", "leader", "downstream")
+
+
+_CODES = "CASE string_agg(c, '' ORDER BY c) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.TRANSITIONS.items()) + " ELSE arg_min(c, (-n, first_row, c)) END"
+
+
+@query(f"WITH {ALIGNED}, z AS (SELECT contig_id, cluster_id, col, {_CODES} AS c FROM cnt GROUP BY contig_id, cluster_id, col) SELECT contig_id, cluster_id, string_agg(c, '' ORDER BY col) AS consensus FROM z GROUP BY ALL")
+def transition_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.ambiguous_consensus(_alignments(spark, sf_dir), ["contig_id", "cluster_id"])
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT conv_id, turn, len(coalesce(text, '')) AS a, CASE WHEN nr = 'assistant' THEN len(coalesce(nt, '')) ELSE 0 END AS b FROM p WHERE role = 'user')
+SELECT conv_id, turn, CAST(coalesce(sum(a + b) OVER w, 0) AS BIGINT) AS "start", CAST(coalesce(sum(a + b) OVER w, 0) + a AS BIGINT) AS "end" FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    w = columns.Window.partitionBy("conv_id").orderBy("turn")
+    parts = turns.withColumn("behind", F.when(F.lead("role").over(w) == "assistant", F.lead("text").over(w))).where("role = 'user'")
+    return A.repeat_intervals(parts, ["conv_id"], "turn", "text", "behind")
+
+
+@query("""WITH s AS (SELECT round(len(regexp_replace(coalesce(text, ''), '[^e]', '', 'g')) / CAST(greatest(len(coalesce(text, '')), 1) AS DOUBLE), 6) AS s, toxic AS y FROM documents JOIN labels USING (doc_id)),
+g AS (SELECT s, sum(y) AS a, count(*) AS n FROM s GROUP BY s), b AS (SELECT *, coalesce(sum(n - a) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM g)
+SELECT round(sum(a * (l + (n - a) / 2.0)) / (sum(a) * (sum(n) - sum(a))), 9) AS auc, CAST(sum(n) AS BIGINT) AS n FROM b""")
+def ranking_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    share = F.round(F.length(F.regexp_replace(text, "[^e]", "")) / F.greatest(F.length(text), F.lit(1)), 6)
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select(share.alias("s"), F.col("toxic").alias("y"))
+    return scoring.ranking_auc(rows, "s", "y").select(F.round("auc", 9).alias("auc"), "n")

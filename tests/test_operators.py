@@ -185,3 +185,21 @@ def test_more_repeats(spark):
     groups = rows.select("k", approximate.groups_by_containment(F.col("repeats")).alias("g")).collect()
     assert {r["k"]: r["g"] for r in groups} == {1: [["GACGTACG", "ACGTACG", "ACGTAC"]], 2: [["AAAA"], ["CCC"]]}
     assert {r["k"]: set(r["repeats"]) for r in approximate.completed(rows).collect()}[1] == {"GACGTACG", "ACGTACG", "ACGTAC", "GACGTAC"}
+
+
+def test_surroundings_and_scores(spark):
+    contig = spark.createDataFrame([(1, "AAACCCGGGT")], "contig_id long, seq string")
+    rows = spark.createDataFrame([(1, 3, 6, "Forward"), (1, 1, 8, "Reverse"), (1, 0, 10, "Forward")], "contig_id long, start long, end long, strand string")
+    assert {(r["start"], r["leader"], r["downstream"]) for r in A.surroundings(rows, contig, 3).collect()} == {(3, "AAA", "GGG"), (1, "AC", "T"), (0, "", "")}
+    parts = spark.createDataFrame([(1, 0, "AAA", "CC"), (1, 1, "AA", None), (2, 0, None, "C")], "k int, n int, r string, s string")
+    assert {tuple(r) for r in A.repeat_intervals(parts, ["k"], "n", "r", "s").collect()} == {(1, 0, 0, 3), (1, 1, 5, 7), (2, 0, 0, 0)}
+    rng = random.Random(9)
+    scored = [(rng.choice([0.1, 0.2, 0.3, 0.4]), rng.randrange(2)) for _ in range(60)]
+    pairs_ = [(a > b) + (a == b) / 2 for a, x in scored for b, y in scored if x == 1 and y == 0]
+    assert scoring.ranking_auc(spark.createDataFrame(scored, "s double, y int"), "s", "y").first()["auc"] == pytest.approx(sum(pairs_) / len(pairs_))
+    halves = scoring.split(spark.range(4000), "id", 0.25)
+    assert 850 < halves.where("train").count() < 1150
+    aligned = spark.createDataFrame([(1, 0, "AAC"), (1, 1, "AGC"), (1, 2, "AGT")], "k int, row int, aligned string")
+    assert columns.ambiguous_consensus(aligned, ["k"]).first()["consensus"] == "ARY"
+    asked, known = spark.createDataFrame([("q", "ACGTACGTTT"), ("none", "CCCCCCCC")], "query string, seq string"), spark.createDataFrame([("k", "GGACGTACGT"), ("l", "ACGTACAAAA")], "known string, seq string")
+    assert {tuple(r) for r in scoring.seed_scores(asked, known, "query", "known").collect()} == {("q", 11, "k"), ("none", 0, None)}
