@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = spark._llm_scratch = f"file://{tempfile.mkdtemp(prefix='llm-')}"
+        own = tempfile.mkdtemp(prefix="llm-")
+        atexit.register(shutil.rmtree, own, True)
+        base = spark._llm_scratch = f"file://{own}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
