@@ -8,8 +8,8 @@ any slot each source is less than one block from its share, and the schedule rep
 one period (RESOLUTION slots and one more for each source at most, whatever the input) is found once; a block's slot
 follows from it by arithmetic.
 
-in_mix is set up to the horizon, the first slot whose source has no block left: so far the mix holds the target
-weights. Later documents keep their slots.
+in_mix is set up to the horizon, the first slot at which sources with more than TOLERANCE of the weights together have no
+block left: so far the mix holds the target weights, but for that tolerance, and one small source can't end it. Later documents keep their slots.
 
 A source may hold most of the rows: it is numbered in BUCKETS buckets by hash, whose sizes are added up first, so no
 window spans a source's documents.
@@ -31,6 +31,7 @@ BLOCK_CHARS = 8192
 RESOLUTION = 1000
 #: Buckets of a source, by three hex digits of the hash.
 BUCKETS = 16**3
+TOLERANCE = 0.05
 SEED = "mix"
 
 #: ps: parts of the sources, in the order of their names; q: their sum. An element for each slot: the source's place in ps, and which of its blocks.
@@ -45,7 +46,7 @@ aggregate(sequence(0L, q - 1), named_struct('ks', transform(ps, p -> 0L), 'out',
 """
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, block_chars: int = BLOCK_CHARS, seed: str = SEED, resolution: int = RESOLUTION) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, block_chars: int = BLOCK_CHARS, seed: str = SEED, resolution: int = RESOLUTION, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, source, n_chars, block, slot, in_mix) of every row of docs (doc_id, source, text).
 
     Without weights, a source's weight is its number of characters to the power of exponent.
@@ -72,7 +73,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, expone
     one = parts.agg(F.array_sort(F.collect_list(F.struct("source", "p", "n_blocks"))).alias("s"), F.sum("p").alias("q"))
     period = one.where("q > 0").withColumn("ps", F.expr("transform(s, x -> x.p)")).select("s", "q", F.posexplode(F.expr(_PERIOD)).alias("slot", "pick"))
     slots = period.select(F.expr("s[pick.i].source").alias("source"), F.expr("s[pick.i].p").alias("p"), F.col("pick.k").alias("j"), F.col("slot").cast("bigint").alias("first_slot"), "q", F.expr("s[pick.i].n_blocks").alias("n_blocks"))
-    horizon = slots.where("j = n_blocks % p").agg(F.min(F.expr("(n_blocks div p) * q + first_slot")).alias("horizon"))
+    # a row for each source: when it has no block left, and the parts of all that ran out by then
+    ends = slots.where("j = n_blocks % p").select("source", "p", "q", F.expr("(n_blocks div p) * q + first_slot").alias("end"))
+    gone = F.sum("p").over(Window.orderBy("end", "source").rowsBetween(Window.unboundedPreceding, 0))
+    horizon = ends.withColumn("gone", gone).where(F.col("gone") > tolerance * F.col("q")).agg(F.min("end").alias("horizon"))
     slots = slots.crossJoin(F.broadcast(horizon)).drop("n_blocks")  # one row: the least slot
 
     running = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +107,8 @@ sch(t, ks, i, k) AS (
         lambda j: CASE WHEN (ks[j] * q) // ps[j] <= sch.t + 1 THEN (((ks[j] + 1) * q + ps[j] - 1) // ps[j]) * 1000000 + j END), lambda v: v IS NOT NULL)) % 1000000 AS b
     FROM sch, src WHERE sch.t + 1 < q)),
 slots AS (SELECT ss[i] AS s, k AS j, t AS slot FROM sch, src WHERE t >= 0),
-hor AS (SELECT min((nb // p) * q + slot) AS h FROM pw JOIN slots USING (s), src WHERE slots.j = nb % p),
+ends AS (SELECT s, p, q, (nb // p) * q + slot AS e FROM pw JOIN slots USING (s), src WHERE slots.j = nb % p),
+hor AS (SELECT min(e) AS h FROM (SELECT e, q, sum(p) OVER (ORDER BY e, s ROWS UNBOUNDED PRECEDING) AS g FROM ends) WHERE g > {TOLERANCE} * q),
 blk AS (SELECT doc_id, s, c, CAST((sum(c) OVER (PARTITION BY s ORDER BY h, doc_id, c ROWS UNBOUNDED PRECEDING) - c) // {BLOCK_CHARS} AS BIGINT) AS block FROM n),
 fin AS (SELECT doc_id, blk.s, c, block, CAST((block // p) * q + slots.slot AS BIGINT) AS slot FROM blk LEFT JOIN pw ON blk.s = pw.s CROSS JOIN src LEFT JOIN slots ON slots.s = blk.s AND slots.j = block % p)
 SELECT doc_id, s AS source, c AS n_chars, block, slot, coalesce(slot < h, false) AS in_mix FROM fin, hor

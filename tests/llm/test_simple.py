@@ -198,3 +198,10 @@ def test_lines(spark, seed):
         assert got[d]["kept"] == "\n".join(kept), d
         assert got[d]["n_near"] == sum(x.strip(" ") in near for x in own)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_a_small_source_does_not_end_the_mix(spark):
+    docs = docs_of(spark, ["x" * 100] * 300 + ["y"], lambda k: "ab"[k % 2] if k < 300 else "tiny")
+    rows = mixing.mix_sources(docs, block_chars=200, resolution=20).collect()
+    assert sum(r["in_mix"] for r in rows) > 280
+    assert sum(r["in_mix"] for r in mixing.mix_sources(docs, block_chars=200, resolution=20, tolerance=0.0).collect()) < sum(r["in_mix"] for r in rows)
