@@ -165,7 +165,8 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
     weight = F.ceil(F.col("shingles") * (BLOCK / BLOCK_SHINGLES))
     dealt = in_blocks(coarse.select("id", "root", "copies", "copy_id", "shingles"), "root", "id", weight)
-    texts = coarse.select("id", "copy_id").join(docs, F.col("copy_id").eqNullSafe(F.col("doc_id"))).select("id", "text").dropDuplicates(["id"])
+    # merged at every size: broadcasting the ids while they are few would only make small runs unlike large ones
+    texts = docs.join(coarse.select("id", "copy_id").hint("merge"), F.col("copy_id").eqNullSafe(F.col("doc_id"))).select("id", "text").dropDuplicates(["id"])
     links = verified_links(dealt.select("group", "side", "id", "copies").join(texts, "id"), linked)
     found = classes(links, reps.select("id", "copies")).join(reps.select("id", "copy_id"), "id")
     named = stored(found, "named")
