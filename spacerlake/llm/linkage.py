@@ -26,13 +26,14 @@ CHUNK = 4096
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, root) of every id in an edge between different ids (bigint): root is the smallest id reachable.
 
-    Large-star and small-star steps by turns, each a grouping and a join, until nothing changes. Each round is kept as a table.
+    Large-star and small-star steps by turns, each a grouping and a join, until nothing changes. Each round is kept as a table, and so is
+    each id's least neighbour, so that the join back reads two tables and Spark can split an id with very many neighbours over several tasks.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct()
