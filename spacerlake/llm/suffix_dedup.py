@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,48 +197,65 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
                 some = batch.slice(at, 512)
                 texts = some.column(1).to_pylist()
                 found = [anchors(x, length, gram) for x in texts]
-                arrays = [pa.array([x[0].view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (1, 2, 3))]
+                arrays = [pa.array([x[0].view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (1, 2, 3))]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([text_id(x) for x in texts]), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), *arrays],
                     names=["doc_id", "text_id", "n_bytes", "sha256", "anchors", "places", "firsts", "lasts"],
                 )
 
     four = ["anchors", "places", "firsts", "lasts"]
-    found = stored(docs.mapInArrow(find_anchors, "doc_id bigint, text_id bigint, n_bytes bigint, sha256 string, " + ", ".join(f"{x} array<bigint>" for x in four)), "anchors")
+    found = docs.mapInArrow(find_anchors, "doc_id bigint, text_id bigint, n_bytes bigint, sha256 string, anchors array<bigint>, places array<int>, firsts array<int>, lasts array<int>")
+    found = stored(found, "anchors")
     one = found.select("text_id", F.explode(F.arrays_zip(*four)).alias("a")).select("text_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"), F.col("a.firsts").alias("first"), F.col("a.lasts").alias("last"))
-    where = F.struct("text_id", "place")
+    where = F.xxhash64("text_id", "place")
     again = one.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("anchor")
-    wanted = one.join(again, "anchor", "left_semi").distinct().groupBy("text_id").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("wanted"))
+    wanted = one.join(again, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("wanted"))
     named = found.groupBy("text_id").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"))
     named = stored(named, "texts")
     holders = wanted.join(named, "text_id").select("text_id", "wanted", "named")
-    texts = docs.join(holders, docs["doc_id"].eqNullSafe(holders["named"])).select("text_id", "text", "wanted")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+    packed = docs.mapInArrow(pack, "doc_id bigint, packed binary")  # texts travel compressed
+    texts = packed.join(holders, packed["doc_id"].eqNullSafe(holders["named"])).select("text_id", "packed", "wanted")
 
     def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a repeated doc_id may have other texts
+        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            yield batch.filter(pa.array([text_id(t) == i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([text_id(read(t)) == i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
-    texts = texts.mapInArrow(same_text, texts.schema).dropDuplicates(["text_id"])
-    texts = stored(texts, "repetitive")
+    # a row that is repeated whole may be here twice; it has copies then, and its windows do recur
+    texts = stored(texts.mapInArrow(same_text, texts.schema), "repetitive")
 
     def find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in batch.to_pylist():
                 cols = [np.array([x[k] for x in row["wanted"]], np.int64) for k in ("anchor", "place", "first", "last")]
-                key, content, first, windows = units_of(row["text"], cols[0].view(np.uint64), *cols[1:], length, step)
-                yield pa.RecordBatch.from_arrays([pa.array([row["text_id"]] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first), pa.array(windows)], names=["text_id", "key", "content", "first", "windows"])
+                key, content, first, windows = units_of(read(row["packed"]), cols[0].view(np.uint64), *cols[1:], length, step)
+                yield pa.RecordBatch.from_arrays([pa.array([row["text_id"]] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first, pa.int32()), pa.array(windows, pa.int32())], names=["text_id", "key", "content", "first", "windows"])
 
-    units = stored(texts.mapInArrow(find_units, "text_id bigint, key bigint, content bigint, first bigint, windows bigint"), "units")
+    every = stored(texts.mapInArrow(find_units, "text_id bigint, key bigint, content bigint, first int, windows int"), "units")
+    several = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    units = stored(every.join(several, "key", "left_semi"), "shared-units")
     kinds = units.groupBy("key", "content").agg(F.min(F.struct("text_id", "first", "windows")).alias("one"), F.count("*").alias("n"))
-    kinds = stored(kinds.withColumn("kinds", F.lit(1)), "kinds")
-    per_key = kinds.groupBy("key").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("members")).where("members > 1").select("key", F.col("kinds").alias("of_key"))
-    shared = kinds.drop("kinds").join(per_key, "key")
-    all_of = shared.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (F.col("one.windows") - 1 + length).alias("end"))).alias("runs"))
+    kinds = stored(kinds, "kinds")
+    shared = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("of_key")), "key")
+    all_of = kinds.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (F.col("one.windows") - 1 + length).cast("bigint").alias("end"))).alias("runs"))
+
+    def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                text, own = read(row["packed"]), row["units"]
+                columns = [pa.array([x[k] for x in own], pa.int64()) for k in ("key", "content", "n", "of_key", "windows")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([text[x["first"] : x["first"] + x["windows"] - 1 + length] for x in own], pa.binary())], names=["key", "content", "n", "of_key", "windows", "bytes"])
 
     slices = shared.where("of_key > 1").groupBy("one.text_id").agg(F.collect_list(F.struct("key", "content", "n", "of_key", "one.first", "one.windows")).alias("units"))
-    cut = slices.join(texts.select("text_id", "text"), "text_id").select("text", F.explode("units").alias("u")).select(
-        "u.key", "u.content", "u.n", "u.of_key", "u.windows", F.substring("text", (F.col("u.first") + 1).cast("int"), (F.col("u.windows") - 1 + length).cast("int")).alias("bytes")
-    )
+    cut = slices.join(texts.select("text_id", "packed"), "text_id").select("packed", "units").mapInArrow(cut_slices, "key bigint, content bigint, n bigint, of_key bigint, windows bigint, bytes binary")
     cut = stored(cut, "slices")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +296,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
     by_text = covered.groupBy("text_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids, spans, removed, digests = [], [], [], []
             for row in batch.to_pylist():
-                text = np.frombuffer(row["text"], np.uint8)
+                text = np.frombuffer(read(row["packed"]), np.uint8)
                 edges = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edges, [r["start"] for r in row["runs"]], 1)
                 np.add.at(edges, [r["end"] for r in row["runs"]], -1)
@@ -292,7 +311,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
                 digests.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, _SPANS), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["text_id", "spans", "n_removed", "kept_sha256"])
 
-    kept = by_text.join(texts.select("text_id", "text"), "text_id").mapInArrow(keep, "text_id bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, kept_sha256 string")
+    kept = by_text.join(texts.select("text_id", "packed"), "text_id").mapInArrow(keep, "text_id bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, kept_sha256 string").dropDuplicates(["text_id"])
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     all_spans = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
