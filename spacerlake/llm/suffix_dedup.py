@@ -209,6 +209,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
     one = found.select("text_id", F.explode(F.arrays_zip(*four)).alias("a")).select("text_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"), F.col("a.firsts").alias("first"), F.col("a.lasts").alias("last"))
     where = F.xxhash64("text_id", "place")
     again = one.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("anchor")
+    again = stored(again, "recurring")  # a join of two tables, so that Spark can split a very frequent anchor over several tasks
     wanted = one.join(again, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("wanted"))
     named = found.groupBy("text_id").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"))
     named = stored(named, "texts")
@@ -240,7 +241,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
 
     every = stored(texts.mapInArrow(find_units, "text_id bigint, key bigint, content bigint, first int, windows int"), "units")
     several = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    units = stored(every.join(several, "key", "left_semi"), "shared-units")
+    units = stored(every.join(stored(several, "recurring-keys"), "key", "left_semi"), "shared-units")
     kinds = units.groupBy("key", "content").agg(F.min(F.struct("text_id", "first", "windows")).alias("one"), F.count("*").alias("n"))
     kinds = stored(kinds, "kinds")
     shared = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("of_key")), "key")
