@@ -21,7 +21,7 @@ Defined results: a null text is empty; null doc_ids come first; an empty table g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stored, table
@@ -84,9 +84,11 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
           if(length(part) = 0, cast(array() AS array<struct<variant:bigint,own:boolean>>), transform(sequence(1, length(part)), j -> named_struct(
             'variant', if(longer = 0, xxhash64(0, key, j, substring(part, 1, j - 1), substring(part, j + 1)), xxhash64(1, key, concat(substring(part, 1, j - 1), substring(part, j + 1)))),
             'own', false))))""")).alias("v"), "longer").select("first", *_HASH, "v.*", "longer")
-    earliest = variants.groupBy("variant").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("of_own"), F.min(F.when(~F.col("own"), F.col("first"))).alias("of_others"), F.count("*").alias("n")).where("n > 1")
-    partner = F.when(F.col("own") | (F.col("longer") == 0), F.col("of_others")).otherwise(F.col("of_own"))
-    found = variants.join(earliest, "variant").select("first", *_HASH, partner.alias("partner")).where(F.col("partner") < F.col("first")).distinct()
+    # a group is small by nature: a line and those with one character put in, or lines that differ in one character
+    group = Window.partitionBy("variant")
+    of_own, of_others = (F.min(F.when(F.col("own") == own, F.col("first"))).over(group) for own in (True, False))
+    partner = F.when(F.col("own") | (F.col("longer") == 0), of_others).otherwise(of_own)
+    found = variants.select("first", *_HASH, partner.alias("partner")).where(F.col("partner") < F.col("first")).distinct()
     other = texts.select(F.col("first").alias("partner"), F.col("line").alias("other"))
     verified = found.join(texts.select(*_HASH, "line"), _HASH).join(other, "partner").where(F.levenshtein("line", "other", 1).between(0, 1))
     return verified.select(*_HASH).distinct()
