@@ -6,7 +6,7 @@ tries; a document's path in each is a run of MinHash values. Rows (tree, prefix
 partitions, where those with equal prefixes are neighbours. The prefix starts at LONGEST values and is shortened
 until documents of the least similarity share one in some tree with a chance of RECALL or more. What shares a prefix is
 compared by the share of equal values first, with a margin of six standard deviations; what is alike makes up a component, and all pairs in it are verified
-on the sets of their texts.
+on the sets of their texts. Rows are told apart by doc_id and text, so a doc_id may be null or stand for several texts.
 
 Defined results: null and empty texts, and texts without words, have no set and link with nothing; repeated rows are
 copies of each other; a null doc_id never names a class unless all of its members are null; an empty table gives no rows.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import BLOCK, classes, connected_components, in_blocks, sketch_edges, verified_links
-from .shared import stored, table
+from .shared import doc_row, stored, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -84,7 +84,7 @@ def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST,
 
 
 def _paths(docs: DataFrame, trees: int, length: int, size: int) -> DataFrame:
-    """(doc_id, id, shingles, prefixes, sketch): id is null without words; prefixes has a key for each tree."""
+    """(doc_id, doc_row, id, shingles, prefixes, sketch): id is null without words; prefixes has a key for each tree."""
     factors = np.random.default_rng(8).integers(1, 1 << 63, trees * length, np.uint64) | np.uint64(1)
 
     def path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +107,9 @@ def _paths(docs: DataFrame, trees: int, length: int, size: int) -> DataFrame:
                     key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + step)
                 prefixes.append(key.view(np.int64))
                 sketches.append((values & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "id", "shingles", "prefixes", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "doc_row", "id", "shingles", "prefixes", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(path, "doc_id bigint, id bigint, shingles bigint, prefixes array<bigint>, sketch binary")
+    return docs.select("doc_id", "text", doc_row().alias("doc_row")).mapInArrow(path, "doc_id bigint, doc_row string, id bigint, shingles bigint, prefixes array<bigint>, sketch binary")
 
 
 def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -142,14 +142,19 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     class_id: least doc_id reachable by links, itself included. copy_id: least doc_id of an equal set. n_links: other
     documents linked directly, copies included. kept: the document that names its class.
     """
+    return similar_rows(docs, threshold, size, trees, longest, recall).drop("doc_row", "leads")
+
+
+def similar_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
+    """What join_similar gives, and (doc_row, leads): leads holds for one doc_row of each class, and for all rows without a set."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     length = prefix_length(threshold, trees, longest, recall)
     paths = stored(_paths(docs, trees, length, size), "paths")
     reps = paths.where("id IS NOT NULL").groupBy("id").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("copy_id"), F.min_by("doc_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row")).alias("row"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch")
     )
     reps = stored(reps, "sets")
-    one, reps = reps.select("id", "prefixes", "sketch"), reps.select("id", "copy_id", "copies", "shingles")
+    one, reps = reps.select("id", "prefixes", "sketch"), reps.select("id", "copy_id", "row", "copies", "shingles")
     keys = one.select("id", F.explode("prefixes").alias("key"))
     values = trees * length
     equal = math.floor(values * threshold - 6 * math.sqrt(values * threshold * (1 - threshold)))
@@ -166,16 +171,16 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     weight = F.ceil(F.col("shingles") * (BLOCK / BLOCK_SHINGLES))
     dealt = in_blocks(coarse.select("id", "root", "copies", "copy_id", "shingles"), "root", "id", weight)
     # merged at every size: broadcasting the ids while they are few would only make small runs unlike large ones
-    texts = docs.join(coarse.select("id", "copy_id").hint("merge"), F.col("copy_id").eqNullSafe(F.col("doc_id"))).select("id", "text").dropDuplicates(["id"])
+    texts = docs.select(doc_row().alias("row"), "text").join(coarse.select("id", "row").hint("merge"), "row").select("id", "text").dropDuplicates(["id"])
     links = verified_links(dealt.select("group", "side", "id", "copies").join(texts, "id"), linked)
-    found = classes(links, reps.select("id", "copies")).join(reps.select("id", "copy_id"), "id")
+    found = classes(links, reps.select("id", "copies")).join(reps.select("id", "copy_id", "row"), "id")
     named = stored(found, "named")
-    names = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    by_id = named.join(names, "root").select("id", "class_id", "copy_id", "n_links")
-    own = paths.select("doc_id", "id").join(by_id, "id", "left")
+    names = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min_by("id", F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "id")).alias("leader"))
+    by_id = named.join(names, "root").select("id", "class_id", "copy_id", "n_links", F.when(F.col("id") == F.col("leader"), F.col("row")).alias("leading_row"))
+    own = paths.select("doc_id", "doc_row", "id").join(by_id, "id", "left")
     class_id = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     copy_id = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("copy_id"))
-    return own.select("doc_id", class_id.alias("class_id"), copy_id.alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    return own.select("doc_id", class_id.alias("class_id"), copy_id.alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "doc_row", (F.col("id").isNull() | F.col("doc_row").eqNullSafe(F.col("leading_row"))).alias("leads"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +91,21 @@ def test_similar_texts_odd_rows(spark):
     assert ngram_join.prefix_length(0.8) == 5 and ngram_join.prefix_length(0.8, trees=1) == 1
 
 
+def near_texts(n):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(500)]
+    bases = [rng.choices(words, k=100) for _ in range(n)]
+    return [" ".join(x) for x in bases], [" ".join([*x[:40], "other", *x[41:]]) for x in bases]
+
+
+def test_similar_texts_shared_ids(spark):
+    """Documents without a doc_id, and several under one, keep their own texts and links."""
+    texts, near = near_texts(12)
+    rows = [(None, x) for x in texts[:10] + near[:10]] + [(5, texts[10]), (5, texts[11]), (7, near[10]), (3, near[11])]
+    got = Counter(tuple(r) for r in ngram_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links", "kept").collect())
+    assert got == {(None, None, 1, True): 20, (5, 5, 1, True): 1, (5, 3, 1, False): 1, (7, 5, 1, False): 1, (3, 3, 1, True): 1}
+
+
 # embeddings
 
 
