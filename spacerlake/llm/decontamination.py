@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import doc_row, table
 
 WINDOW = 13
 MAX_ITEM_BYTES = 32 << 20
@@ -120,20 +120,19 @@ def _scan_with(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Da
     return docs.mapInArrow(scan, _HITS)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, with_rows: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids, hit_spans, contaminated) of every row of docs (doc_id, text); items (item_id, text).
 
     hit_spans are the runs of hit words as [start, end) in characters of the original text. With several automata,
-    adjacent runs may come as more than one span.
+    adjacent runs may come as more than one span. with_rows: also doc_row, as documents may share a doc_id.
     """
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-size // max_item_bytes) or 1
-    docs = docs.select(F.lit(None).cast("string").alias("doc_row"), "doc_id", "text")
+    docs = docs.select((doc_row() if with_rows or parts > 1 else F.lit(None).cast("string")).alias("doc_row"), "doc_id", "text")
     if parts == 1:
         found = _scan_with(docs, [tuple(x) for x in items.collect()], window)
     else:
-        docs = docs.withColumn("doc_row", F.concat_ws(":", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
         scans = [_scan_with(docs.dropDuplicates(["doc_row"]), [tuple(x) for x in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()], window) for k in range(parts)]
         found = scans[0]
         for x in scans[1:]:
@@ -144,7 +143,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         )
         found = docs.groupBy("doc_row").count().join(found, "doc_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
     n_hit = F.size("hit_words").cast("bigint")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("item_ids").alias("item_ids"), "hit_spans", ((n_hit > 0) & (ONE_IN * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return found.select(*["doc_row"][: int(with_rows)], "doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("item_ids").alias("item_ids"), "hit_spans", ((n_hit > 0) & (ONE_IN * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

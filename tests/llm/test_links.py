@@ -305,6 +305,22 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty, DATA).count() == 0
 
 
+def test_pipeline_shared_ids(spark):
+    """Different documents under one doc_id, or none, are decided on one by one."""
+    texts, near = near_texts(6)
+    rows = [(5, texts[0]), (3, near[0]), (5, texts[1]), (None, texts[2]), (None, near[2]), (None, texts[3]), (None, texts[3]), (7, "..."), (7, "")]
+
+    def docs_with(rows):
+        return spark.createDataFrame([(k, x, "en", f"s{n % 2}", 1) for n, (k, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    found = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs_with(rows), DATA).collect())
+    one = found[None, texts[2]] + found[None, near[2]]
+    assert one == 1 and found - Counter([(None, texts[2]), (None, near[2])]) == Counter([(3, near[0]), (5, texts[1]), (None, texts[3]), (7, "..."), (7, "")])
+    item = table(spark, DATA, "benchmark").where("length(text) > 40").first()["text"]
+    clean = corpus_pipeline.drop_contaminated(spark, docs_with([*rows, (5, item), (None, item)]), DATA)
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(rows)
+
+
 def test_registry():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) < set(QUERIES)
