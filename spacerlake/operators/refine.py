@@ -18,7 +18,7 @@ ARRAY = "struct<repeats:array<string>,spacers:array<string>,starts:array<int>>"
 def _best(pattern: str, text: str, edits: int):
     import regex
 
-    return regex.search(f"(?be)(?:{regex.escape(pattern)}){{e<={edits}}}", text, timeout=5.0) if text else None
+    return regex.search(f"(?be)(?:{regex.escape(pattern)}){{e<={edits}}}", text) if text else None
 
 
 def extend(seq: str, consensus: str, repeats: list[str], spacers: list[str], starts: list[int], left: int, right: int, edits: int = MOST_EDITS, margin: int = MARGIN) -> tuple[list[str], list[str], list[int]]:

@@ -203,3 +203,19 @@ def test_surroundings_and_scores(spark):
     assert columns.ambiguous_consensus(aligned, ["k"]).first()["consensus"] == "ARY"
     asked, known = spark.createDataFrame([("q", "ACGTACGTTT"), ("none", "CCCCCCCC")], "query string, seq string"), spark.createDataFrame([("k", "GGACGTACGT"), ("l", "ACGTACAAAA")], "known string, seq string")
     assert {tuple(r) for r in scoring.seed_scores(asked, known, "query", "known").collect()} == {("q", 11, "k"), ("none", 0, None)}
+
+
+def test_searches_have_no_time_limit(spark, monkeypatch):
+    """Neither loses hits nor fails, however slow the machine is."""
+    import regex
+
+    monkeypatch.setattr(search, "TIMEOUT", 1e-9, raising=False)
+    repeat = "GTTTTAGAGCTATGCTGTTTTGAATGGTCC"
+    window = "".join(repeat + "ACGT" * k for k in range(5, 60))
+    assert len(search.find_hits(window, repeat)["hits"]) == 55
+    asked, plain = [], regex.search
+    monkeypatch.setattr(regex, "search", lambda *a, **b: asked.append(b) or plain(*a, **b))
+    refine.extend(window, repeat, [repeat], [], [0], 0, len(window))
+    assert asked and not any("timeout" in b for b in asked)
+    found = search.fuzzy_search(spark.createDataFrame([(window, repeat), (None, repeat), ("A", "")], "window string, pattern string"))
+    assert found.columns == ["window", "pattern", "hits"] and sorted(len(r["hits"]) for r in found.collect()) == [0, 0, 55]
