@@ -76,13 +76,17 @@ def array_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.array_report(contigs(spark, sf_dir), TEXT_LIMITS)
 
 
+def line_shapes(docs: DataFrame) -> DataFrame:
+    """Features of the lines of (doc_id, text), which count as both repeats and spacers, and the text."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    return A.features(docs.select("doc_id", lines.alias("repeats"), lines.alias("spacers"), "text"))
+
+
 @query()
 def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three models learn the labelled documents' quality from the shape of their lines, and score all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    shaped = A.features(docs.select("doc_id", lines.alias("repeats"), F.transform(lines, lambda x: F.substring(x, 1, 80)).alias("spacers"), "text"))
-    numbers = shaped.select(
+    numbers = line_shapes(docs).select(
         "doc_id", *(F.col(c).cast("double") for c in ("number_repeats", "repeat_len", "avg_spacer_len", "at_richness", "spacer_evenness")),
         F.log1p(F.length("text").cast("double")).alias("letters"), F.coalesce(S.mode_share(F.col("repeats")), F.lit(0.0)).alias("repeat_similarity"),
     )
