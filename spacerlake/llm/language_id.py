@@ -188,7 +188,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
 def page_rows(pages: DataFrame) -> DataFrame:
     """(page_id, text, declared, host, domain, suffix) of (page_id, url, html): text is the markup."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    declared = F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), f"(?is){_HIDDEN.pattern}", " ")  # the whole page, without comments and scripts
+    declared = F.regexp_extract(shown, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     labels = F.split(host, r"\.")
     return pages.select(
         "page_id", F.col("html").alias("text"), declared.alias("declared"), host.alias("host"),
