@@ -321,6 +321,15 @@ def test_pipeline_shared_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(rows)
 
 
+def test_pipeline_mix_keeps_all(spark):
+    """One source with most of the letters, and a source without any, lose no document."""
+    texts = ["x" * 9000] * 60 + ["y" * 9000] * 2 + ["", None]
+    docs = spark.createDataFrame([(k if k % 9 else None, f"{x}{k}" if x else x, "en", "hot" if k < 60 else "cold" if k < 62 else "empty", 1) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix(spark, docs, DATA).collect()
+    assert Counter(mixed) == Counter(docs.collect())
+    assert max(k for k, r in enumerate(mixed) if r["source"] == "cold") < 30
+
+
 def test_registry():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) < set(QUERIES)
