@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by banded MinHash LSH with exact verification.
 
 A document's set holds the hashes of its SHINGLE consecutive words (of all words, if it has fewer; words as for
-decontamination, in lower case). Documents with equal sets are copies and are indexed once. The forest has TREES
-tries; a document's path in each is a run of MinHash values. Rows (tree, prefix of the path) are sorted within their
-partitions, where those with equal prefixes are neighbours. The prefix starts at LONGEST values and is shortened
-until documents of the least similarity share one in some tree with a chance of RECALL or more. What shares a prefix is
+decontamination, in lower case). Documents with equal sets are copies and are indexed once. There are TREES bands (trees,
+in the parameters); a document's key in each is the hash of a run of MinHash values. The run has at most LONGEST values, and
+is as long as documents of the least similarity share a key in some band with a chance of RECALL or more: one length for
+all, in place of an LSH forest's prefixes of several lengths (see the README). What shares a key is
 compared by the share of equal values first, with a margin of six standard deviations; what is alike makes up a component, and all pairs in it are verified
 on the sets of their texts. Rows are told apart by doc_id and text, so a doc_id may be null or stand for several texts.
 
