@@ -162,9 +162,10 @@ class RunLengthIndex:
         """For each position, the longest agreement of its suffix with any other's."""
         n = len(self.symbols)
         longest = np.zeros(n, np.int64)
-        for own, other in ((self.first_suffixes[1:], self.last_suffixes[:-1]), (self.last_suffixes[:-1], self.first_suffixes[1:])):
+        # the least suffix has none before it, the greatest none behind it
+        for own, other, alone in ((self.first_suffixes[1:], self.last_suffixes[:-1], self.first_suffixes[0]), (self.last_suffixes[:-1], self.first_suffixes[1:], self.last_suffixes[-1])):
             known = np.full(n, -1, np.int64)
-            known[[0, self.first_suffixes[0], self.last_suffixes[-1]]] = 0
+            known[[0, alone]] = 0
             known[own] = self._common(own, other)
             last = np.maximum.accumulate(np.where(known >= 0, np.arange(n), 0))
             longest = np.maximum(longest, known[last] - (np.arange(n) - last))
