@@ -6,7 +6,8 @@ rank directory with the number of set bits before each 512 bits of the bitmap. T
 the rank of its bit, so one id is found by one rank for each level, without decoding its neighbours.
 
 Segments are rows of a Parquet table (Spark's commit protocol keeps it whole when tasks are repeated), ascending in
-the order of the documents: (shard, segment, doc_ids, lengths, n_tokens, chunks, bitmaps, ranks).
+the order of the documents: (shard, segment, doc_ids, lengths, n_tokens, chunks, bitmaps, ranks). tokens_at looks up
+single ids by document and place in these files; read_index reads whole documents.
 
 Defined results: a null text is an empty one; repeated rows are kept, each as a document; null doc_ids come first;
 ties of doc_id are put in an order of the text's hash; an empty table makes no segments.
@@ -14,22 +15,25 @@ ties of doc_id are put in an order of the text's hash; an empty table makes no s
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch, table
+from .shared import held_by_worker, scratch, table
 
 #: Ids after which a segment is closed at the end of its document.
 SEGMENT_TOKENS = 1 << 20
 END_ID = 2
+#: Characters encoded together; a longer text is taken alone.
+ENCODE_CHARS = 4 << 20
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
 SEGMENT_SCHEMA = (
@@ -84,19 +88,23 @@ class UnitEncoder:
     """Encodes texts with the tokenizers library, each different unit once.
 
     A unit is a part of a text that ends where the tokenizer's pre-tokens end whatever follows, so that a text's ids
-    are those of its units, one after the other: before one space between other characters, and in texts without any
-    other blanks at line ends, and before a full stop or comma after a letter or digit. This holds for byte-level
-    tokenizers without a normalizer that split as GPT-2's; for others the texts are encoded whole.
+    are those of its units, one after the other: before one space between other characters, at line ends, and before
+    a full stop or comma after a letter or digit. Texts with other blanks or with marks before such a mark are only cut
+    before single spaces. This holds for byte-level tokenizers without a normalizer that split as GPT-2's; for others
+    the texts are encoded whole.
+
+    Units and their ids are kept in two dictionaries of at most about KNOWN_BYTES each: when the newer is full it takes the older's
+    place, and what is met again moves to the newer.
     """
 
-    #: Units kept; on reaching it the encoder starts anew.
-    MOST = 1_200_000
+    KNOWN_BYTES = 64 << 20
+    #: Bytes that a unit takes besides its letters and ids.
+    UNIT_BYTES = 170
+    #: Units that the library encodes at once.
+    LEARN = 10_000
     SPLIT = re.compile(r"(?<=\S)(?= \S)")
-    #: Blanks besides space and line end, by str.isspace, and the mark used here.
-    ODD_BLANKS = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\x00")
-    ODD_PAIRS = ("  ", "\n\n", " \n", "\n ")
-    MARK_PAIRS = ("..", ",,", ".,", ",.")
-    ODD_MARKS = re.compile(r"[\W_][.,]|\A[.,]")
+    #: Texts with blanks besides space and line end (or the mark used here), blanks side by side or at an end, or marks that a full stop or comma may join.
+    ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|[ \n][ \n]|\A[ \n]|[ \n]\z|[^\pL\pN][.,]|\A[.,]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,21 +114,13 @@ class UnitEncoder:
         split = str(self.tokenizer.pre_tokenizer)
         self.by_unit = self.tokenizer.normalizer is None and split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.unsafe: set[str] = set()  # units after which a full stop or comma may belong to the same pre-token
-
-    def units(self, text: str) -> list[str]:
-        if not self.by_unit:
-            return [text]
-        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.ODD_PAIRS) or any(x in text for x in self.ODD_BLANKS):
-            return self.SPLIT.split(text)
-        marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
-        if not any(x in text for x in self.MARK_PAIRS):
-            marked = marked.replace(".\x00", "\x00.\x00").replace(",\x00", "\x00,\x00")
-        return marked.split("\x00")
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes units, those without line ends as the lines of one text: a line end is a pre-token of its own there."""
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of units, those without line ends encoded as the lines of one text: a line end is a pre-token of its own there."""
+        found: dict[str, bytes] = {}
         lines = [x for x in new if x and "\n" not in x and x.strip() == x.removeprefix(" ")] if self.by_unit and len(self.line_end) == 1 else []
         if lines:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, self.kind)
@@ -128,41 +128,54 @@ class UnitEncoder:
             if len(ends) == len(lines):
                 data, size = ids.tobytes(), self.kind.itemsize
                 starts = np.append(0, ends[:-1] + 1) * size
-                self.known.update((x, data[a:b]) for x, a, b in zip(lines, starts.tolist(), (ends * size).tolist(), strict=True))
-        rest = [x for x in new if x not in self.known]
-        for unit, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:
-            self.known, self.unsafe = {}, set()
-        units = [self.units(x) for x in texts]
-        found = [list(map(self.known.get, x)) for x in units]
-        new = list({u for x, y in zip(units, found, strict=True) if None in y for u, v in zip(x, y, strict=True) if v is None})
-        if new:
-            self.unsafe.update(x for x in new if x and not x[-1].isalnum() and x not in ".,\n")
-            self._learn(new)
-            found = [list(map(self.known.get, x)) if None in y else y for x, y in zip(units, found, strict=True)]
-        if self.by_unit and self.unsafe:
-            for k, (text, own) in enumerate(zip(texts, units, strict=True)):
-                if not self.unsafe.isdisjoint(own) and self.ODD_MARKS.search(text):
-                    parts = self.SPLIT.split(text)
-                    self._learn(list(set(parts).difference(self.known)))
-                    found[k] = [self.known[x] for x in parts]
-        return [np.frombuffer(b"".join(x), self.kind) for x in found]
-
-
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def _encoder(path: str) -> UnitEncoder:
-    """One for each Python worker: later tasks use what it has encoded."""
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+                found = {x: data[a:b] for x, a, b in zip(lines, starts.tolist(), (ends * size).tolist(), strict=True)}
+        rest = [x for x in new if x not in found]
+        for unit, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            found[unit] = np.array(encoded.ids, self.kind).tobytes()
+        return found
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """Ids of different units."""
+        found = list(map(self.known.get, units))
+        missing = [k for k, x in enumerate(found) if x is None]
+        again = [self.older.get(units[k]) for k in missing]
+        new = [k for k, x in zip(missing, again, strict=True) if x is None]
+        for k, x in zip(missing, again, strict=True):
+            found[k] = x
+        for at in range(0, len(new), self.LEARN):
+            some = new[at : at + self.LEARN]
+            learnt = self._learn([units[k] for k in some])
+            for k in some:
+                found[k] = learnt[units[k]]
+        for k in missing:
+            self.known[units[k]] = found[k]
+            self.size += len(units[k]) + len(found[k]) + self.UNIT_BYTES
+            if self.size > self.KNOWN_BYTES:
+                self.known, self.older, self.size = {}, self.known, 0
+        return found
+
+    def _joined(self, units: pa.ListArray) -> list[np.ndarray]:
+        """Ids of the texts that lists of units make up."""
+        coded = units.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        known = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), self.kind)))
+        codes = coded.indices
+        values = known.take(codes).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes.to_numpy()])]) if len(codes) else np.zeros(1, np.int64)
+        offsets = units.offsets.to_numpy() - units.offsets[0].as_py()
+        places = ends[offsets]
+        return [values[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an array of strings without nulls."""
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False).astype(bool) if self.by_unit else np.ones(len(texts), bool)
+        plain = texts.filter(pa.array(~odd))
+        for mark, apart in ((" ", "\x00 "), ("\n", "\x00\n\x00"), (".\x00", "\x00.\x00"), (",\x00", "\x00,\x00")):
+            plain = pc.replace_substring(plain, mark, apart)
+        others = [self.SPLIT.split(x) if self.by_unit else [x] for x in texts.filter(pa.array(odd)).to_pylist()]
+        found = iter(self._joined(pc.split_pattern(plain, "\x00"))), iter(self._joined(pa.array(others, pa.list_(pa.string()))))
+        return [next(found[int(x)]) for x in odd]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
@@ -180,8 +193,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     )
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, segment = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint32)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = held_by_worker(f"encoder {tokenizer}", lambda: UnitEncoder(tokenizer))  # later tasks use what it has encoded
+        shard, segment, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32)
         doc_ids, parts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -195,9 +209,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             })
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+            chars = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                most = ENCODE_CHARS + (chars[at - 1] if at else 0)
+                some = batch.slice(at, max(1, int(np.searchsorted(chars, most, "right")) - at))
+                at += some.num_rows
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     doc_ids.append(doc_id)
                     parts.append(ids)
                     size += len(ids) + 1
@@ -207,7 +225,39 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if parts:
             yield row()
 
-    ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    # levels are not compressed: a lookup reads its bytes as they stand
+    ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, place, id): the ids at the places asked for (doc_id, place), from the files, each by a rank in each level.
+
+    Places outside a document give no row, nor does a null doc_id; of several documents under one doc_id each answers. Lookups of one segment
+    meet in one row with its levels.
+    """
+    segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(3)
+            sizes = lengths.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lengths.value_lengths().to_numpy())
+            ends = np.cumsum(sizes)
+            before = np.concatenate([[0], ends])[lengths.offsets.to_numpy()[:-1] - lengths.offsets[0].as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(2).flatten(), pa.array(ends - sizes - before[row]), pa.array(sizes)], names=["shard", "segment", "doc_id", "first", "n"])
+
+    index = segments.select("shard", "segment", "doc_ids", "lengths").mapInArrow(documents, "shard int, segment int, doc_id bigint, first bigint, n bigint")
+    hits = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("place").cast("bigint").alias("place")).join(index, "doc_id").where("place >= 0 AND place < n")
+    hits = hits.groupBy("shard", "segment").agg(F.collect_list(F.struct("doc_id", "place", (F.col("first") + F.col("place")).alias("at"))).alias("hits"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunks, bitmaps, ranks, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                found = [id_at(chunks, bitmaps, ranks, x["at"]) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([x["doc_id"] for x in own], pa.int64()), pa.array([x["place"] for x in own], pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "place", "id"])
+
+    levels = segments.select("shard", "segment", "chunks", "bitmaps", "ranks").join(hits, ["shard", "segment"])
+    return levels.select("chunks", "bitmaps", "ranks", "hits").mapInArrow(look_up, "doc_id bigint, place bigint, id bigint")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

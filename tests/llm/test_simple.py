@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spacerlake.llm import chat_format, decontamination, line_dedup, mixing, token_store
@@ -97,14 +98,20 @@ def test_codes_round_trip():
         assert all(token_store.id_at(chunks, bitmaps, ranks, k) == ids[k] for k in range(n))
 
 
-def test_units_give_the_library_s_ids():
+@pytest.mark.parametrize("known", [1 << 20, 2000])
+def test_units_give_the_library_s_ids(known):
     encoder = token_store.UnitEncoder(token_store.tokenizer_path())
+    encoder.KNOWN_BYTES = known
     parts = [" ", "  ", "\n", "\n\n", "\t", ".", ",", "...", "a", "word", "9", "é", "'s", "_", "!", "<|endoftext|>", " ", "\x00", "日本", '"', "\r\n", "　", " x"]
     rng = random.Random(4)
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
     for at in range(0, len(texts), 50):
-        for ids, found in zip(encoder.encode(texts[at : at + 50]), encoder.tokenizer.encode_batch(texts[at : at + 50], add_special_tokens=False), strict=True):
+        for ids, found in zip(encoder.encode(pa.array(texts[at : at + 50])), encoder.tokenizer.encode_batch(texts[at : at + 50], add_special_tokens=False), strict=True):
             assert ids.tolist() == found.ids
+        assert encoder.size <= known and len(encoder.known) + len(encoder.older) <= 2 * known // encoder.UNIT_BYTES
+    plain = ["one two. three,\nfour", "one two. é ñandú 12.5 x", "", "a"]
+    assert [x.tolist() for x in encoder.encode(pa.array(["", *plain]).slice(1))] == [x.ids for x in encoder.tokenizer.encode_batch(plain, add_special_tokens=False)]
+    assert encoder.encode(pa.array([], pa.string())) == []
 
 
 def test_token_index(spark):
@@ -121,6 +128,10 @@ def test_token_index(spark):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_store.token_index(spark, docs.limit(0)).count() == 0
+    places = [(4, k) for k in (0, 1, 19, 20, 2999, 3000, 3001, -1)] + [(3, 7), (2, 0), (2, 1), (9, 0), (None, 0)]
+    found = {(r["doc_id"], r["place"]): r["id"] for r in token_store.tokens_at(spark, path, spark.createDataFrame(places, "doc_id long, place int")).collect()}
+    ids = {k: [*tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, 2] for k in (2, 3, 4)}
+    assert found == {(d, k): ids[d][k] for d, k in places if d in ids and 0 <= k < len(ids[d])}
 
 
 # decontamination
