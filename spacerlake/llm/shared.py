@@ -43,7 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read back: computed once, and safe from lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has written and that nothing reads any more: what was made from them has been stored."""
+    for x in tables:
+        jvm, conf = x.sparkSession._jvm, x.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(x.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 _HELD: dict[str, object] = {}

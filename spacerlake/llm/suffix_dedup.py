@@ -1,19 +1,23 @@
 """Suffix-array dedup with a run-length index: bytes covered by a LENGTH-byte string that starts more than once.
 
-A window is LENGTH bytes of one document. Equal windows have equal anchors, the least hash of their GRAM-byte strings (the first of
-equals), at the same offset. So windows are found together as follows.
+A text is a run of symbols: its UTF-8 bytes, or (find_passages) the 64-bit hashes of its words. A window is LENGTH symbols of one document. Equal windows
+have equal anchors, the least hash of their GRAM-symbol strings (the first of equals), at the same offset. So windows are found together as follows.
 
 1. Each text gives its anchors, each with the run of windows that have it. Documents with equal texts are one text with several copies.
 2. Texts with anchors that recur are kept in a table; the others hold no repeated window.
 3. A text's windows of one anchor are cut into units of STEP offsets. All windows of a unit hold the same LENGTH - STEP + 1
-   bytes, whose hash is the unit's key. Units that are equal throughout are one unit with a count, and those that count more than one are
-   repeated throughout.
+   bytes, whose hash is the unit's key. Units that are equal throughout are one unit with a count, as copies add no run to a run-length
+   index; those that count more than one match their copies to their ends.
 4. Different units of one key are joined into a text of INDEX_UNITS units or so, for which a run-length index is built: the Burrows-Wheeler
    transform as runs, with the suffix positions at both ends of each run. Match statistics of each position, the length to which another
    suffix agrees with its own, are streamed from these: at a run's end the neighbour's length is compared on the text, and
    everywhere else it is one less than at the position before. Positions of LENGTH or more are marked.
 5. A key with more than INDEX_UNITS different units is not put into one index: each of its windows goes under its own hash, and those that recur are marked.
 
+A window that equals the one PERIODS or fewer symbols before it (a byte repeated over and over) is known to be repeated from the text alone; only the
+first two periods of such a stretch are dealt out, so that its rows don't grow with its length. Texts are told apart by 128 bits of hash; units by 64
+bits besides those of the key that they share.
+
 Defined results: a null text is empty; a text of less than LENGTH bytes loses nothing; repeated rows are documents of their own, and so all of their
 windows recur; null doc_ids are kept; an empty table gives no rows.
 """
@@ -21,20 +25,25 @@ windows recur; null doc_ids are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .ngram_join import word_hashes
+from .shared import discard, doc_row, stored, table
 
 LENGTH, GRAM, STEP = 400, 32, 64
 INDEX_UNITS = 1024
-#: Bytes of a text looked at together; longer texts are taken in pieces that overlap.
+#: Words of a passage, of the strings hashed in it, and of a unit's offsets.
+PASSAGE, PASSAGE_GRAM, PASSAGE_STEP = 51, 8, 8
+#: Symbols of a text looked at together; longer texts are taken in pieces that overlap.
 PIECE = 8 << 20
+#: Longest period of stretches that are taken from the text alone, and symbols for each anchor under which they are looked for.
+PERIODS, DENSE = 64, 24
 _PLACE_BITS = 24
 
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
@@ -47,9 +56,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bytes_of(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode(), np.uint8)
+
+
 def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """Hash of the string of that length, a power of two, at each place."""
-    found, have = _BYTES[data], 1
+    found, have = _BYTES[data] if data.dtype == np.uint8 else _mixed(data), 1
     while have < length:
         found = found[:-have] * _STEPS[have] + found[have:]
         found ^= found >> np.uint64(32)
@@ -67,30 +80,58 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(text: bytes, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, last window) of each run of windows with one anchor; windows and places as byte offsets."""
+def periodic(data: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the stretches in which windows equal those one period later, for periods up to PERIODS."""
+    out = []
+    for period in range(1, min(PERIODS, len(data) - length) + 1):
+        same = np.flatnonzero(np.diff(np.concatenate([[0], (data[period:] == data[:-period]).astype(np.int8), [0]])))
+        out += [(a, b + period, period) for a, b in zip(same[::2].tolist(), same[1::2].tolist(), strict=True) if b - a >= length]
+    return out
+
+
+def anchors(data: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(hash, place, first window, last window) of each run of windows with one anchor, as offsets in the text, and whether periodic stretches were looked for.
+
+    Of periodic stretches only the windows of the first two periods are there.
+    """
     out: list[tuple[np.ndarray, ...]] = []
-    for start in range(0, max(0, len(text) - length + 1), piece):
-        data = np.frombuffer(text, np.uint8)[start : start + piece + length - 1]
-        hashes = _mixed(string_hashes(data, gram))
+    dense = False
+    for start in range(0, max(0, len(data) - length + 1), piece):
+        own = data[start : start + piece + length - 1]
+        hashes = _mixed(string_hashes(own, gram))
         low = np.uint64((1 << _PLACE_BITS) - 1)
         least = _sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
         firsts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        places = (least[firsts] & low).astype(np.int64)
-        out.append((hashes[places], places + start, firsts + start, np.concatenate([firsts[1:], [len(least)]]) - 1 + start))
+        lasts = np.concatenate([firsts[1:], [len(least)]]) - 1
+        if len(firsts) * DENSE > len(own):
+            dense = True
+            skip = np.zeros(len(least) + 1, np.int64)
+            for a, b, period in periodic(own, length):
+                if b - length >= a + 2 * period:
+                    skip[a + 2 * period] += 1
+                    skip[b - length + 1] -= 1
+            left = np.concatenate([[0], np.cumsum(np.cumsum(skip[:-1]) == 0)])  # windows that stay, before each
+            begin = np.searchsorted(left, left[firsts], "right") - 1  # the first window from there on that stays
+            stay = left[lasts + 1] > left[firsts]
+            end = np.searchsorted(left, left[lasts + 1], "left") - 1
+            firsts, lasts, whole = begin[stay], end[stay], firsts[stay]
+        else:
+            whole = firsts
+        places = (least[whole] & low).astype(np.int64)
+        out.append((hashes[places], places + start, firsts + start, lasts + start))
     if not out:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), dense
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), dense
 
 
-def text_id(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def text_id(data: np.ndarray) -> bytes:
+    return hashlib.blake2b(data.tobytes(), digest_size=16).digest()
 
 
-def units_of(text: bytes, hashes: np.ndarray, places: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, length: int, step: int) -> tuple[np.ndarray, ...]:
+def units_of(data: np.ndarray, hashes: np.ndarray, places: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, length: int, step: int) -> tuple[np.ndarray, ...]:
     """(key, content, first window, windows) of the units of the anchors given."""
-    half = 1 << ((length - 1).bit_length() - 1)  # a string of half to twice that many bytes is hashed as two that overlap
-    spans = string_hashes(np.frombuffer(text, np.uint8), half)
+    half = 1 << ((length - 1).bit_length() - 1)  # a string of half to twice that many symbols is hashed as two that overlap
+    spans = string_hashes(data, half)
     low, high = places - lasts, places - firsts
     cells = high // step - low // step + 1
     which = np.repeat(np.arange(len(places)), cells)
@@ -107,13 +148,19 @@ def units_of(text: bytes, hashes: np.ndarray, places: np.ndarray, firsts: np.nda
 class RunLengthIndex:
     """Burrows-Wheeler transform of some texts as runs, with the suffix positions at the ends of each run."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[np.ndarray]):
         n = len(texts)
-        ends = np.cumsum([len(x) + 1 for x in texts])
-        self.starts = ends - [len(x) + 1 for x in texts]
-        self.symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + n
+        sizes = np.array([len(x) + 1 for x in texts])
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes
+        data = np.concatenate(texts)
+        kinds, data = (256, data) if data.dtype == np.uint8 else (lambda x: (len(x[0]), x[1]))(np.unique(data, return_inverse=True))
+        self.symbols = np.empty(int(ends[-1]), np.int64)
+        inside = np.ones(len(self.symbols), bool)
+        inside[ends - 1] = False
+        self.symbols[inside] = data.astype(np.int64) + n
         self.symbols[ends - 1] = np.arange(n)  # each text ends with a symbol of its own
-        bits = int(n + 256).bit_length()
+        bits = int(n + kinds).bit_length()
         self.packed_symbols = 62 // bits
         padded = np.concatenate([self.symbols, np.zeros(self.packed_symbols, np.int64)])
         self.packed = np.zeros(len(self.symbols), np.int64)
@@ -172,7 +219,7 @@ class RunLengthIndex:
         return longest
 
 
-def marked_windows(texts: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
+def marked_windows(texts: list[np.ndarray], windows: list[int], length: int) -> list[np.ndarray]:
     """Which of the first windows of each text match elsewhere."""
     index = RunLengthIndex(texts)
     found = index.match_lengths() >= length
@@ -189,72 +236,118 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, index_units: int = INDEX_UNITS) -> DataFrame:
-    """(doc_id, n_bytes, spans, n_removed, kept_sha256) of every row of docs (doc_id, text): spans are the maximal removed byte ranges."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    """(doc_id, sha256, n_bytes, spans, n_removed, kept_sha256) of every row of docs (doc_id, text): spans are the maximal removed byte ranges, sha256 is the text's."""
+    found, per_text = _repeats(docs, bytes_of, length, gram, step, index_units)
+    whole = (F.col("copies") > 1) & (F.col("size") >= length)
+    return found.join(per_text, "text_id").select(
+        "doc_id", "sha256", F.col("size").alias("n_bytes"), _all_spans(whole).alias("spans"), _all_removed(whole).alias("n_removed"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+    )
+
+
+def find_passages(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM, step: int = PASSAGE_STEP, index_units: int = INDEX_UNITS) -> DataFrame:
+    """(doc_id, sha256, n_words, spans, n_repeated) of every row of docs (doc_id, text), in words: those in a passage of length words that starts more than once."""
+    found, per_text = _repeats(docs, word_hashes_of, length, gram, step, index_units)
+    whole = (F.col("copies") > 1) & (F.col("size") >= length)
+    return found.join(per_text, "text_id").select("doc_id", "sha256", F.col("size").alias("n_words"), _all_spans(whole).alias("spans"), _all_removed(whole).alias("n_repeated"))
+
+
+def word_hashes_of(text: str | None) -> np.ndarray:
+    return word_hashes(text or "")
+
+
+def _all_spans(whole: Column) -> Column:
+    all_of = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end")))
+    return F.when(whole, all_of).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+
+
+def _all_removed(whole: Column) -> Column:
+    return F.when(whole, F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint")
+
+
+def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], length: int, gram: int, step: int, index_units: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_id, size, sha256) of every row of docs, and (text_id, copies, spans, n_removed, kept_sha256) of every text: spans in symbols, null without any."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    kind = symbols("").dtype
+    by_bytes = kind == np.uint8
+
+    def symbols_of(column: pa.Array) -> list[np.ndarray]:
+        if by_bytes:
+            return [np.frombuffer(x, kind) for x in column.cast(pa.binary()).to_pylist()]
+        return [symbols(x) for x in column.to_pylist()]
+
+    four = ["anchors", "places", "firsts", "lasts"]
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                texts = some.column(1).to_pylist()
+                texts = symbols_of(some.column(1))
+                digests = [hashlib.sha256(x).hexdigest() for x in some.column(1).cast(pa.binary()).to_pylist()]
                 found = [anchors(x, length, gram) for x in texts]
                 arrays = [pa.array([x[0].view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (1, 2, 3))]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([text_id(x) for x in texts]), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), *arrays],
-                    names=["doc_id", "text_id", "n_bytes", "sha256", "anchors", "places", "firsts", "lasts"],
+                    [some.column(0), pa.array([text_id(x) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array(digests, pa.string()), pa.array([x[4] for x in found], pa.bool_()), *arrays],
+                    names=["doc_id", "text_id", "size", "sha256", "dense", *four],
                 )
 
-    four = ["anchors", "places", "firsts", "lasts"]
-    found = docs.mapInArrow(find_anchors, "doc_id bigint, text_id bigint, n_bytes bigint, sha256 string, anchors array<bigint>, places array<int>, firsts array<int>, lasts array<int>")
+    found = docs.mapInArrow(find_anchors, "doc_id bigint, text_id binary, size bigint, sha256 string, dense boolean, anchors array<bigint>, places array<int>, firsts array<int>, lasts array<int>")
     found = stored(found, "anchors")
     one = found.select("text_id", F.explode(F.arrays_zip(*four)).alias("a")).select("text_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"), F.col("a.firsts").alias("first"), F.col("a.lasts").alias("last"))
     where = F.xxhash64("text_id", "place")
     again = one.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("anchor")
     again = stored(again, "recurring")  # a join of two tables, so that Spark can split a very frequent anchor over several tasks
     wanted = one.join(again, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("wanted"))
-    named = found.groupBy("text_id").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"))
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), "sha256")  # a text is fetched from one row that has it; doc_ids may be null or repeated
+    named = found.groupBy("text_id").agg(F.min(row).alias("row"), F.first("dense").alias("dense"), F.count("*").alias("copies"))
     named = stored(named, "texts")
-    holders = wanted.join(named, "text_id").select("text_id", "wanted", "named")
+    holders = wanted.join(named, "text_id").select("text_id", "wanted", "row", "dense")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["row", "packed"])
 
-    packed = docs.mapInArrow(pack, "doc_id bigint, packed binary")  # texts travel compressed
-    texts = packed.join(holders, packed["doc_id"].eqNullSafe(holders["named"])).select("text_id", "packed", "wanted")
+    packed = docs.select(doc_row().alias("row"), "text").mapInArrow(pack, "row string, packed binary")  # texts travel compressed
+    texts = packed.join(holders, "row").select("text_id", "packed", "wanted", "dense")
 
-    def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a repeated doc_id may have other texts
+    def unpacked(column: pa.Array) -> Iterator[np.ndarray]:
         read = zstandard.ZstdDecompressor().decompress
+        return (np.frombuffer(read(x), kind) for x in column.to_pylist())
+
+    def as_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, write = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield batch.filter(pa.array([text_id(read(t)) == i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+            yield batch.set_column(1, "packed", pa.array([write(symbols(read(x).decode()).tobytes()) for x in batch.column(1).to_pylist()], pa.binary()))
 
     # a row that is repeated whole may be here twice; it has copies then, and its windows do recur
-    texts = stored(texts.mapInArrow(same_text, texts.schema), "repetitive")
+    texts = stored(texts if by_bytes else texts.mapInArrow(as_symbols, texts.schema), "repetitive")
 
     def find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in batch.to_pylist():
-                cols = [np.array([x[k] for x in row["wanted"]], np.int64) for k in ("anchor", "place", "first", "last")]
-                key, content, first, windows = units_of(read(row["packed"]), cols[0].view(np.uint64), *cols[1:], length, step)
-                yield pa.RecordBatch.from_arrays([pa.array([row["text_id"]] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first, pa.int32()), pa.array(windows, pa.int32())], names=["text_id", "key", "content", "first", "windows"])
-
-    every = stored(texts.mapInArrow(find_units, "text_id bigint, key bigint, content bigint, first int, windows int"), "units")
+            wanted = batch.column(2)
+            cuts = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+            cols = [x.to_numpy().astype(np.int64) for x in wanted.flatten().flatten()]
+            for text, data, a, b in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), cuts[:-1], cuts[1:], strict=True):
+                key, content, first, windows = units_of(data, cols[0][a:b].view(np.uint64), *(x[a:b] for x in cols[1:]), length, step)
+                for at in range(0, len(key), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array([text] * len(key[some]), pa.binary()), pa.array(key[some].view(np.int64)), pa.array(content[some].view(np.int64)), pa.array(first[some], pa.int32()), pa.array(windows[some], pa.int32())], names=["text_id", "key", "content", "first", "windows"])
+
+    every = stored(texts.select("text_id", "packed", "wanted").mapInArrow(find_units, "text_id binary, key bigint, content bigint, first int, windows int"), "units")
     several = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     units = stored(every.join(stored(several, "recurring-keys"), "key", "left_semi"), "shared-units")
+    discard(every, again)
     kinds = units.groupBy("key", "content").agg(F.min(F.struct("text_id", "first", "windows")).alias("one"), F.count("*").alias("n"))
     kinds = stored(kinds, "kinds")
     shared = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("of_key")), "key")
     all_of = kinds.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (F.col("one.windows") - 1 + length).cast("bigint").alias("end"))).alias("runs"))
 
     def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in batch.to_pylist():
-                text, own = read(row["packed"]), row["units"]
+            for data, own in zip(unpacked(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 columns = [pa.array([x[k] for x in own], pa.int64()) for k in ("key", "content", "n", "of_key", "windows")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([text[x["first"] : x["first"] + x["windows"] - 1 + length] for x in own], pa.binary())], names=["key", "content", "n", "of_key", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([data[x["first"] : x["first"] + x["windows"] - 1 + length].tobytes() for x in own], pa.binary())], names=["key", "content", "n", "of_key", "windows", "bytes"])
 
     slices = shared.where("of_key > 1").groupBy("one.text_id").agg(F.collect_list(F.struct("key", "content", "n", "of_key", "one.first", "one.windows")).alias("units"))
     cut = slices.join(texts.select("text_id", "packed"), "text_id").select("packed", "units").mapInArrow(cut_slices, "key bigint, content bigint, n bigint, of_key bigint, windows bigint, bytes binary")
@@ -264,7 +357,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
         held: list[dict] = []
 
         def marks() -> pa.RecordBatch:
-            found = marked_windows([x["bytes"] for x in held], [x["windows"] for x in held], length)
+            found = marked_windows([np.frombuffer(x["bytes"], kind) for x in held], [x["windows"] for x in held], length)
             out = [(x["key"], x["content"], runs) for x, m in zip(held, found, strict=True) if x["n"] == 1 and (runs := _runs(m, length))]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _SPANS)], names=["key", "content", "runs"])
 
@@ -284,46 +377,44 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
         for batch in batches:
             for row in batch.to_pylist():
                 half = 1 << ((length - 1).bit_length() - 1)
-                spans = string_hashes(np.frombuffer(row["bytes"], np.uint8), half)
+                spans = string_hashes(np.frombuffer(row["bytes"], kind), half)
                 at = np.arange(row["windows"])
                 own = _mixed(np.uint64(row["key"] & 0xFFFFFFFFFFFFFFFF) + _mixed(spans[at] * _STEPS[16] + spans[at + length - half]))
                 yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(at), pa.int64()), pa.array([row["content"]] * len(at), pa.int64()), pa.array(at), pa.array(own.view(np.int64))], names=["key", "content", "at", "window"])
 
     apart = cut.where(F.col("of_key") > index_units).mapInArrow(windows_apart, "key bigint, content bigint, at bigint, window bigint")
-    recur = apart.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    crowded = apart.join(recur, "window", "left_semi").groupBy("key", "content").agg(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.struct(a.alias("start"), (a + length).alias("end"))).alias("runs"))
+    recur = apart.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window")
+    crowded = apart.join(recur, ["key", "window"], "left_semi").groupBy("key", "content").agg(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.struct(a.alias("start"), (a + length).alias("end"))).alias("runs"))
 
     runs = all_of.unionByName(indexed).unionByName(crowded)
     covered = units.join(runs, ["key", "content"]).select("text_id", F.transform("runs", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first")).alias("end"))).alias("runs"))
     by_text = covered.groupBy("text_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids, spans, removed, digests = [], [], [], []
-            for row in batch.to_pylist():
-                text = np.frombuffer(read(row["packed"]), np.uint8)
-                edges = np.zeros(len(text) + 1, np.int64)
-                np.add.at(edges, [r["start"] for r in row["runs"]], 1)
-                np.add.at(edges, [r["end"] for r in row["runs"]], -1)
+            spans, removed, digests = [], [], []
+            lists = batch.column(1)
+            cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            starts, ends = (x.to_numpy() for x in lists.flatten().flatten())
+            for data, dense, a, b in zip(unpacked(batch.column(2)), batch.column(3).to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                size = len(data)
+                edges = np.bincount(starts[a:b], minlength=size + 1) - np.bincount(ends[a:b], minlength=size + 1)
                 gone = np.cumsum(edges[:-1]) > 0
-                ids.append(row["text_id"])
+                for start, end, _ in periodic(data, length) if dense else ():
+                    gone[start:end] = True
                 spans.append(_runs(gone, 1))
                 removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, _SPANS), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["text_id", "spans", "n_removed", "kept_sha256"])
+                digests.append(hashlib.sha256(data[~gone].tobytes()).hexdigest() if by_bytes else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["text_id", "spans", "n_removed", "kept_sha256"])
 
-    kept = by_text.join(texts.select("text_id", "packed"), "text_id").mapInArrow(keep, "text_id bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, kept_sha256 string").dropDuplicates(["text_id"])
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    all_spans = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    kept = by_text.join(texts.select("text_id", "packed", "dense"), "text_id").mapInArrow(keep, "text_id binary, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, kept_sha256 string").dropDuplicates(["text_id"])
     per_text = named.join(kept, "text_id", "left").select("text_id", "copies", "spans", "n_removed", "kept_sha256")
-    return found.select("doc_id", "text_id", "n_bytes", "sha256").join(per_text, "text_id").select(
-        "doc_id", "n_bytes", F.when(whole, all_spans).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-    )
+    return found.select("doc_id", "text_id", "size", "sha256"), per_text
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+    """The contract's columns, and n_passage_words: a document's words in passages of PASSAGE words (over 50) that start more than once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), "sha256").alias("row")
+    passages = find_passages(docs).select(row, F.col("n_repeated").alias("n_passage_words")).dropDuplicates(["row"])
+    return find_repeats(docs).select(row, "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256").join(passages, "row").drop("row")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -188,10 +189,54 @@ def test_repeats_odd_rows(spark):
     assert [r["n_removed"] for r in suffix_dedup.find_repeats(docs).collect()] == [0, 0]
     assert {(r["n_bytes"], r["n_removed"]) for r in suffix_dedup.find_repeats(docs.union(docs)).collect()} == {(10, 0), (400, 400)}
     text = "".join(random.Random(7).choices("abcdef", k=700)).encode()
-    a, b = suffix_dedup.anchors(text, 100, 16), suffix_dedup.anchors(text, 100, 16, piece=64)
+    data = np.frombuffer(text, np.uint8)
+    a, b = suffix_dedup.anchors(data, 100, 16), suffix_dedup.anchors(data, 100, 16, piece=64)
     assert {(h, p) for h, p in zip(a[0], a[1], strict=True)} == {(h, p) for h, p in zip(b[0], b[1], strict=True)}
 
 
+def test_run_length_index():
+    """Match statistics against all pairs of suffixes."""
+    rng = random.Random(3)
+    for kind in (np.uint8, np.uint64) * 40:
+        base = [bytes(rng.choices(b"ab\xc3\xff", k=rng.randint(1, 30))) for _ in range(4)]
+        texts = [b"".join(rng.choices(base, k=rng.randint(0, 4))) for _ in range(rng.randint(1, 6))]
+        index = suffix_dedup.RunLengthIndex([np.frombuffer(x, np.uint8).astype(kind) for x in texts])
+        found = index.match_lengths()
+        ends = [(k, text[at:]) for k, text in enumerate(texts) for at in range(len(text))]
+        for n, (k, own) in enumerate(ends):
+            best = max((len(os.path.commonprefix([own, other])) for m, (_, other) in enumerate(ends) if m != n), default=0)
+            assert found[index.starts[k] + len(texts[k]) - len(own)] == best
+
+
+def test_repeats_long_texts(spark, monkeypatch):
+    """Texts of one byte, of short periods, and longer than a piece."""
+    rng = random.Random(8)
+    monkeypatch.setattr(suffix_dedup.anchors, "__defaults__", (5000,))
+    words = "".join(rng.choices("abcdefgh ", k=14_000))
+    texts = ["a" * 20_000, "x" + "a" * 450 + "y", "b" * 401, "ab" * 3000 + "c" * 390, "xyz" * 2000 + words[:800], words, "q" + words[9000:9900], words[4800:5300] + "ab" * 210, None]
+    got = {r["doc_id"]: r for r in suffix_dedup.find_repeats(docs_of(spark, texts)).collect()}
+    data = [(x or "").encode() for x in texts]
+    for k, gone in enumerate(repeated_bytes(data, 400)):
+        assert got[k]["n_removed"] == gone.sum(), k
+        assert got[k]["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(data[k], np.uint8)[~gone])).hexdigest()
+    hashes, *_ = suffix_dedup.anchors(np.zeros(10_000_000, np.uint8), 400, 32)
+    assert len(hashes) < 10_000
+
+
+def test_passages(spark):
+    """Words of passages of over 50 words that start more than once."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = rng.choices(vocabulary, k=300)
+    texts = [" ".join([*rng.choices(vocabulary, k=rng.randint(0, 40)), *base[a : a + n], *rng.choices(vocabulary, k=rng.randint(0, 40))]) for a, n in [(0, 50), (0, 51), (10, 70), (30, 200), (100, 51), (249, 51), (5, 60)]]
+    texts += [texts[3].upper().replace(" ", ", "), "", None, "w1 " * 200, "one two"]
+    got = {r["doc_id"]: r for r in suffix_dedup.find_passages(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    own = ["".join(c if c.isalnum() else " " for c in (x or "").lower()).split() for x in texts]
+    for k, gone in enumerate(repeated_bytes([tuple(x) for x in own], 51)):
+        assert (got[k]["n_words"], got[k]["n_repeated"]) == (len(own[k]), gone.sum()), k
+
+
 # language ID
 
 
