@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 BLOCK = 512
 #: Rows compared at once, in whole groups.
 CHUNK = 4096
+#: Bits of a value in a trie's path.
+LEVEL_BITS = 20
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -37,7 +39,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(moved, "edges")
+        before, now = now, stored(moved, "edges")
+        discard(before, least)
         after = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if after == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
@@ -95,32 +98,54 @@ def bytes_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def sketch_edges(groups: DataFrame, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, other): a spanning forest, in each group (group, side, id, sketch), of the pairs that alike(sketches, sketches) finds."""
+def joined_roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The roots, once the components of left and right are joined."""
+    return roots_of(len(root), root[left], root[right])[root]
+
+
+def _open_rows(group: np.ndarray, prefix: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The rows of the runs of one group and prefix that aren't one component yet."""
+    starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (prefix[1:] != prefix[:-1])]))
+    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    return np.flatnonzero(np.repeat(several, np.diff(np.append(starts, len(group)))))
+
+
+def sketch_edges(groups: DataFrame, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], levels: int = 0) -> DataFrame:
+    """(id, other): a spanning forest, in each group (group, side, id, sketch), of the pairs that alike(sketches, sketches) finds.
+
+    With levels, a group is a trie of so many levels below its key: the column path packs a row's values there, LEVEL_BITS each. Rows are sorted by path,
+    so that those of a node stand together. Nodes are compared from the deepest on, each with its prefix shortened by one value at a time up to the key; rows that are
+    connected already are not compared again, and a node that is one component is left.
+    """
+    names = ["group", "side", "id", "sketch", *(["path"] if levels else [])]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, CHUNK):
             group, side, ids = (table.column(x).to_numpy() for x in ("group", "side", "id"))
+            paths = table.column("path").to_numpy() if levels else np.zeros(len(ids), np.int64)
             sketches = bytes_matrix(table.column("sketch"))
-            left, right = [], []
-            step = 1
-            while True:
-                first = np.flatnonzero(group[step:] == group[:-step])
-                if not len(first):
-                    break
-                first = first[(side[first] == 0) | (side[first] != side[first + step])]
-                for at in range(0, len(first), CHUNK):
-                    some = first[at : at + CHUNK]
-                    some = some[alike(sketches[some], sketches[some + step])]
-                    left.append(some)
-                    right.append(some + step)
-                step += 1
-            if left:
-                root = roots_of(len(ids), np.concatenate(left), np.concatenate(right))
-                moved = np.flatnonzero(root != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["id", "other"])
-
-    return groups.repartition("group").sortWithinPartitions("group", "side").mapInArrow(edges, "id bigint, other bigint")
+            root = np.arange(len(ids))
+            for level in range(levels, -1, -1):
+                prefix = paths >> (LEVEL_BITS * (levels - level))
+                rows = _open_rows(group, prefix, root)
+                step = 1
+                while step < len(rows):
+                    near, far = rows[:-step], rows[step:]
+                    same = (group[near] == group[far]) & (prefix[near] == prefix[far])
+                    if not same.any():
+                        break
+                    same &= (root[near] != root[far]) & ((side[near] == 0) | (side[near] != side[far]))
+                    near, far = near[same], far[same]
+                    for at in range(0, len(near), CHUNK):
+                        a, b = near[at : at + CHUNK], far[at : at + CHUNK]
+                        found = alike(sketches[a], sketches[b])
+                        if found.any():
+                            root = joined_roots(root, a[found], b[found])
+                    step += 1
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["id", "other"])
+
+    return groups.select(*names).repartition("group").sortWithinPartitions("group", *names[4:]).mapInArrow(edges, "id bigint, other bigint")
 
 
 def verified_links(groups: DataFrame, linked: Callable[[pa.Table], tuple[pa.Table, np.ndarray]]) -> DataFrame:

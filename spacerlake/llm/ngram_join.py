@@ -1,12 +1,13 @@
-"""N-gram Jaccard join by banded MinHash LSH with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 A document's set holds the hashes of its SHINGLE consecutive words (of all words, if it has fewer; words as for
-decontamination, in lower case). Documents with equal sets are copies and are indexed once. There are TREES bands (trees,
-in the parameters); a document's key in each is the hash of a run of MinHash values. The run has at most LONGEST values, and
-is as long as documents of the least similarity share a key in some band with a chance of RECALL or more: one length for
-all, in place of an LSH forest's prefixes of several lengths (see the README). What shares a key is
-compared by the share of equal values first, with a margin of six standard deviations; what is alike makes up a component, and all pairs in it are verified
-on the sets of their texts. Rows are told apart by doc_id and text, so a doc_id may be null or stand for several texts.
+decontamination, in lower case). Documents with equal sets are copies and are indexed once. In each of TREES trees a
+document's path is a run of LONGEST MinHash values, so a tree is a prefix trie of paths. The root prefix is as long as documents
+of the least similarity share one in some tree with a chance of RECALL or more: this is as far as prefixes are shortened. Rows are dealt out by
+(tree, root prefix) and sorted by the rest of their paths; those that share a longest prefix are compared first, by the share of equal values with a
+margin of six standard deviations, then prefixes are shortened value by value, where a node holds documents that aren't connected yet, up to the root. What is
+alike makes up a component, and all pairs in it are verified on the sets of their texts; so an early end in a connected node loses no link.
+Rows are told apart by doc_id and text, so a doc_id may be null or stand for several texts.
 
 Defined results: null and empty texts, and texts without words, have no set and link with nothing; repeated rows are
 copies of each other; a null doc_id never names a class unless all of its members are null; an empty table gives no rows.
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linkage import BLOCK, classes, connected_components, in_blocks, sketch_edges, verified_links
-from .shared import doc_row, stored, table
+from .linkage import BLOCK, LEVEL_BITS, classes, connected_components, in_blocks, sketch_edges, verified_links
+from .shared import discard, doc_row, stored, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -76,40 +77,48 @@ def content_id(shingles: np.ndarray) -> int | None:
 
 
 def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest prefix at which the forest finds pairs of the threshold's similarity with at least that chance."""
+    """The longest root prefix with which the forest finds pairs of the threshold's similarity with at least that chance."""
     length = longest
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
     return length
 
 
-def _paths(docs: DataFrame, trees: int, length: int, size: int) -> DataFrame:
-    """(doc_id, doc_row, id, shingles, prefixes, sketch): id is null without words; prefixes has a key for each tree."""
-    factors = np.random.default_rng(8).integers(1, 1 << 63, trees * length, np.uint64) | np.uint64(1)
+def _paths(docs: DataFrame, trees: int, longest: int, root: int, size: int) -> DataFrame:
+    """(doc_id, doc_row, id, shingles, nodes, sketch): id is null without words; nodes has the root's key and the rest of the path in each tree."""
+    factors = np.random.default_rng(8).integers(1, 1 << 63, trees * longest, np.uint64) | np.uint64(1)
+    node = pa.struct([("key", pa.int64()), ("path", pa.int64())])
 
     def path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, prefixes, sketches = [], [], [], []
+            ids, counts, keys, rests, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, size)
                 ids.append(content_id(shingles))
                 counts.append(len(shingles))
                 if not len(shingles):
-                    prefixes.append(None)
                     sketches.append(None)
                     continue
-                least = np.full(trees * length, np.iinfo(np.uint64).max, np.uint64)
+                least = np.full(trees * longest, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(shingles), 2048):
                     np.minimum(least, (factors[:, None] * shingles[None, at : at + 2048]).min(axis=1), out=least)
-                values = _mixed(least)
+                values = _mixed(least).reshape(trees, longest)
                 key = np.arange(trees, dtype=np.uint64)
-                for step in values.reshape(trees, length).T:
+                for step in values[:, :root].T:
                     key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + step)
-                prefixes.append(key.view(np.int64))
-                sketches.append((values & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "doc_row", "id", "shingles", "prefixes", "sketch"])
+                rest = np.zeros(trees, np.uint64)
+                for step in values[:, root:].T:
+                    rest = (rest << np.uint64(LEVEL_BITS)) | (step & np.uint64((1 << LEVEL_BITS) - 1))
+                keys.append(key.view(np.int64))
+                rests.append(rest.view(np.int64))
+                sketches.append((values[:, :root] & np.uint64(0xFFFF)).astype("<u2").tobytes())
+            some = np.array(counts) > 0
+            ends = np.concatenate([[0], np.cumsum(some)]) * trees
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (keys, rests)], fields=list(node))
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), nodes, pa.array(sketches, pa.binary())], names=["doc_id", "doc_row", "id", "shingles", "nodes", "sketch"])
 
-    return docs.select("doc_id", "text", doc_row().alias("doc_row")).mapInArrow(path, "doc_id bigint, doc_row string, id bigint, shingles bigint, prefixes array<bigint>, sketch binary")
+    return docs.select("doc_id", "text", doc_row().alias("doc_row")).mapInArrow(path, "doc_id bigint, doc_row string, id bigint, shingles bigint, nodes array<struct<key:bigint,path:bigint>>, sketch binary")
 
 
 def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -148,18 +157,19 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 def similar_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
     """What join_similar gives, and (doc_row, leads): leads holds for one doc_row of each class, and for all rows without a set."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    length = prefix_length(threshold, trees, longest, recall)
-    paths = stored(_paths(docs, trees, length, size), "paths")
+    root = prefix_length(threshold, trees, longest, recall)
+    levels = min(longest - root, 63 // LEVEL_BITS)
+    paths = stored(_paths(docs, trees, root + levels, root, size), "paths")
     reps = paths.where("id IS NOT NULL").groupBy("id").agg(
-        F.min("doc_id").alias("copy_id"), F.min_by("doc_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row")).alias("row"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("copy_id"), F.min_by("doc_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row")).alias("row"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")
     )
     reps = stored(reps, "sets")
-    one, reps = reps.select("id", "prefixes", "sketch"), reps.select("id", "copy_id", "row", "copies", "shingles")
-    keys = one.select("id", F.explode("prefixes").alias("key"))
-    values = trees * length
+    one, reps = reps.select("id", "nodes", "sketch"), reps.select("id", "copy_id", "row", "copies", "shingles")
+    keys = one.select("id", F.explode("nodes").alias("node")).select("id", "node.key", "node.path")
+    values = trees * root
     equal = math.floor(values * threshold - 6 * math.sqrt(values * threshold * (1 - threshold)))
     dealt = in_blocks(keys, "key", "id").join(one.select("id", "sketch"), "id")
-    alike = sketch_edges(dealt, lambda a, b: (a.view("<u2") == b.view("<u2")).sum(axis=1) >= equal)
+    alike = sketch_edges(dealt, lambda a, b: (a.view("<u2") == b.view("<u2")).sum(axis=1) >= equal, levels)
     coarse = stored(connected_components(alike, "id", "other").join(reps, "id"), "coarse")
 
     def linked(group: pa.Table) -> tuple[pa.Table, np.ndarray]:

@@ -92,6 +92,33 @@ def test_similar_texts_odd_rows(spark):
     assert ngram_join.prefix_length(0.8) == 5 and ngram_join.prefix_length(0.8, trees=1) == 1
 
 
+def test_forest_recall(spark):
+    """Of the pairs at and just above the threshold, at least 0.99 are found; also with a single value below the root, or none."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(300):
+        base = rng.choices(words, k=104)
+        texts += [" ".join(base), " ".join([*base[:50], "other", "word", *base[52:98]])]
+    pairs = [(k, k + 1) for k in range(0, 600, 2) if len(shingles(texts[k]) & shingles(texts[k + 1])) >= 0.8 * len(shingles(texts[k]) | shingles(texts[k + 1]))]
+    assert len(pairs) > 250
+    for longest in (8, 6, 5):
+        got = {r["doc_id"]: r["class_id"] for r in ngram_join.join_similar(docs_of(spark, texts), longest=longest).collect()}
+        assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_sketch_edges_in_tries(spark):
+    """Forests of groups of any shape connect what comparing all pairs connects, in one block or several."""
+    rng = random.Random(14)
+    rows = [(rng.randrange(6), rng.randrange(40)) for _ in range(400)]
+    for levels in (0, 2):
+        data = [(g, 0, k, bytes([x]), (x // 8 << linkage.LEVEL_BITS) + x % 8) for k, (g, x) in enumerate(rows)]
+        df = spark.createDataFrame(data, "group long, side int, id long, sketch binary, path long")
+        edges = linkage.sketch_edges(df, lambda a, b: np.abs(a[:, 0].astype(int) - b[:, 0]) <= 1, levels).collect()
+        want = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] == rows[b][0] and abs(rows[a][1] - rows[b][1]) <= 1])
+        assert components(len(rows), [(r["id"], r["other"]) for r in edges]) == want
+
+
 def near_texts(n):
     rng = random.Random(12)
     words = [f"w{k}" for k in range(500)]
