@@ -1,8 +1,8 @@
 """Language ID by Bayesian evidence fusion.
 
 The languages, and the likelihood of a text in each, are learnt from labelled rows: hashed letter trigrams, add-one smoothed, of about
-PER_LANGUAGE rows of each of the MOST_LANGUAGES most frequent labels (rows whose hash falls below a share of its
-range). A text's log likelihood is its mean over trigrams times min(trigrams, EVIDENCE), as neighbouring trigrams are
+PER_LANGUAGE rows of each label (rows whose hash falls below a share of its range). Every label is a language; the model takes 128 KB for each, and there are
+no more languages in more text. A text's log likelihood is its mean over trigrams times min(trigrams, EVIDENCE), as neighbouring trigrams are
 not independent. One more class, OTHER, has all trigrams equally likely: no known language, or no language.
 
 The prior of a host is its texts' summed posteriors, smoothed towards those of its domain, these towards those of its
@@ -27,14 +27,16 @@ from pyspark.sql import types as T
 
 from .shared import stored, table
 
-PER_LANGUAGE, MOST_LANGUAGES = 2000, 64
+PER_LANGUAGE = 2000
 BUCKETS = 1 << 15
 EVIDENCE = 20
 KAPPA = 10.0
 OTHER, OTHER_PRIOR = "other", 0.01
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style)\b|<!--", re.I)
+_ENDS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LETTER: list[np.ndarray] = []
 
 
@@ -57,14 +59,43 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def page_text(html: str | None) -> str:
-    """Text of a page, without scripts, styles, comments, tags and character references."""
-    return re.sub(r"&#?\w+;", " ", _TAG.sub(" ", _HIDDEN.sub(" ", html or "")))
-
-
-def learn_likelihoods(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def shown_markup(html: str) -> str:
+    """The markup without scripts, styles and comments that end; each kind's missing end is looked for once, so the time is in proportion to the length."""
+    out, at, place, endless = [], 0, 0, set()
+    while found := _HIDDEN.search(html, place):
+        place, kind = found.end(), (found[1] or "").lower()
+        if kind in endless:
+            continue
+        end = _ENDS[kind].search(html, place)
+        if end:
+            out.append(html[at : found.start()])
+            at = place = end.end()
+        else:
+            endless.add(kind)
+    return " ".join([*out, html[at:]])
+
+
+def declared_language(shown: str) -> str:
+    """The lang attribute of the first html tag that has one, or ""."""
+    place = 0
+    while found := _HTML.search(shown, place):
+        place = shown.find(">", found.end())
+        if told := _LANG.search(shown[found.end() : place if place >= 0 else None]):
+            return told[1]
+        if place < 0:
+            break
+    return ""
+
+
+def page_text(shown: str) -> str:
+    """Text of shown markup, without tags and character references."""
+    last = shown.rfind(">") + 1
+    return re.sub(r"&#?\w+;", " ", _TAG.sub(" ", shown[:last]) + shown[last:])
+
+
+def learn_likelihoods(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of the trigram buckets, from rows (text, lang, doc_id)."""
-    counts = {r["lang"]: r["n"] for r in docs.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, BUCKETS))
@@ -82,13 +113,13 @@ def learn_likelihoods(docs: DataFrame, per_language: int = PER_LANGUAGE, most: i
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(n[some])], names=["lang", "bucket", "n"])
 
     table_ = np.ones((len(languages), BUCKETS))
-    # at most BUCKETS rows for each of at most MOST_LANGUAGES languages
+    # at most BUCKETS rows for each language
     for r in sample.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         table_[languages.index(r["lang"]), r["bucket"]] += r["n"]
     return languages, np.log(table_ / table_.sum(axis=1, keepdims=True))
 
 
-def _with_evidence(rows: DataFrame, logs: np.ndarray, html: bool, keep: list[str]) -> DataFrame:
+def _with_evidence(rows: DataFrame, logs: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns to keep, and n_trigrams and log likelihoods (OTHER last) of the column text."""
     model = rows.sparkSession.sparkContext.broadcast(np.vstack([logs, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32))
     own = rows.select(F.col("text").alias("_text"), *keep)
@@ -99,7 +130,7 @@ def _with_evidence(rows: DataFrame, logs: np.ndarray, html: bool, keep: list[str
         for batch in batches:
             sizes, found = [], []
             for text in batch.column(0).to_pylist():
-                own = trigrams(page_text(text) if html else text)
+                own = trigrams(text)
                 sizes.append(len(own))
                 found.append(table_[own].mean(axis=0, dtype=np.float64) * min(len(own), EVIDENCE) if len(own) else np.zeros(table_.shape[1]))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "n_trigrams", "evidence"])
@@ -127,7 +158,7 @@ def declared_code(declared: Column, languages: list[str]) -> Column:
     return F.when(code == "", "none").when(code.isin(languages), code).otherwise("unknown") if languages else F.lit("none")
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], html: bool = False) -> DataFrame:
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """keep and language, probability, text_language, rejected of every row of (text, declared, host, domain, suffix, keep).
 
     keep names columns of rows; none may be called as those that are added.
@@ -146,7 +177,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     rows = rows.withColumns(places)
     soft = F.when(F.col("n_trigrams") > 0, _softmax(added(F.col("evidence"), flat))).otherwise(F.array(*[F.lit(0.0)] * (n + 1)))
 
-    counted = _with_evidence(rows, logs, html, [*level_names, "_declared"]).select(*level_names, "_declared", soft.alias("soft"))
+    scored = stored(_with_evidence(rows, logs, [*keep, *level_names, "_declared"]), "evidence")  # read twice: to add up, and to fuse
+    counted = scored.select(*level_names, "_declared", soft.alias("soft"))
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(n + 1)]
     by_host = stored(counted.groupBy(*level_names, "_declared").agg(*sums), "hosts")
 
@@ -159,7 +191,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     hosts = level(level_names, "of_host").join(level(level_names[:2], "of_domain"), level_names[:2]).join(level(level_names[:1], "of_suffix"), level_names[:1])
     hosts = stored(hosts, "priors")  # a join of two tables, so that Spark can split a host with very many rows over several tasks
 
-    wide = _with_evidence(rows, logs, html, [*keep, *level_names, "_declared"]).withColumn("soft", soft)
+    wide = scored.withColumn("soft", soft)
     joined = wide.join(hosts, level_names).join(F.broadcast(by_code), "_declared").crossJoin(F.broadcast(total))  # total: one row
 
     def without(counts: Column) -> Column:
@@ -186,17 +218,23 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, text, declared, host, domain, suffix) of (page_id, url, html): text is the markup."""
+    """(page_id, text, declared, host, domain, suffix) of (page_id, url, html): the whole page is read, once."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = [shown_markup(x or "") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([page_text(x) for x in shown], pa.string()), pa.array([declared_language(x) for x in shown], pa.string())], names=["page_id", "url", "text", "declared"])
+
+    parts = pages.select("page_id", "url", "html").mapInArrow(read, f"page_id {kind}, url string, text string, declared string")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    shown = F.regexp_replace(F.coalesce("html", F.lit("")), f"(?is){_HIDDEN.pattern}", " ")  # the whole page, without comments and scripts
-    declared = F.regexp_extract(shown, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     labels = F.split(host, r"\.")
-    return pages.select(
-        "page_id", F.col("html").alias("text"), declared.alias("declared"), host.alias("host"),
+    return parts.select(
+        "page_id", "text", "declared", host.alias("host"),
         F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(labels, -1).alias("suffix"),
     )
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn_likelihoods(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return identify(page_rows(table(spark, sf_dir, "pages")), model, ["page_id", "host", "declared"], html=True)
+    return identify(page_rows(table(spark, sf_dir, "pages")), model, ["page_id", "host", "declared"])
