@@ -33,7 +33,8 @@ MOST_LABELLED = 20_000
 STARTS = (4, 5, 6, 7)
 #: Texts that must hold a lexicon entry, and standard deviations above chance.
 LEAST_TEXTS, LEAST_Z = 4, 5.0
-MOST_CANDIDATES = 50_000
+#: Entries counted in a task before their counts are handed on.
+MOST_COUNTED = 100_000
 NEAR = 5
 FEATURES = ["density", "hits", "different", "strongest", "weight", "near_you", "you", "capitals", "exclamations", "questions", "marks", "obfuscated", "signs", "words"]
 #: Second-person words of the corpus languages.
@@ -108,39 +109,42 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def _held(docs: DataFrame, wanted: set[bytes] | None) -> DataFrame:
-    """(entry, toxic, n): texts of (text, toxic) that hold the entry; all entries, or those wanted; the entry "" counts texts."""
-    known = docs.sparkSession.sparkContext.broadcast(wanted)
+def _held(docs: DataFrame) -> DataFrame:
+    """(entry, toxic, clean): texts of (text, toxic) of either class that hold the entry; the entry "" counts texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            known = list(counts[0] | counts[1])
+            out = pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), *(pa.array([counts[k][x] for x in known], pa.int64()) for k in (1, 0))], names=["entry", "toxic", "clean"])
+            for x in counts:
+                x.clear()
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = {x for w in set(_words((text or "").lower().encode())) for x in entries(w)}
-                counts[toxic].update(held if known.value is None else held & known.value)
+                counts[toxic].update({x for w in set(_words((text or "").lower().encode())) for x in entries(w)})
                 counts[toxic][b""] += 1
-        for toxic in (0, 1):
-            for at in range(0, len(counts[toxic]), 10_000):
-                some = list(counts[toxic].items())[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.binary()), pa.array([toxic] * len(some), pa.int32()), pa.array([n for _, n in some], pa.int64())], names=["entry", "toxic", "n"])
+                if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
+                    yield counted()
+        yield counted()
 
-    return docs.select("text", "toxic").mapInArrow(count, "entry binary, toxic int, n bigint").groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
+    return docs.select("text", "toxic").mapInArrow(count, "entry binary, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
-    """Entry -> log odds, from the rows (text, toxic) of a bounded sample."""
-    often = _held(sample.where("toxic = 1"), None).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "entry").limit(MOST_CANDIDATES)
-    toxic = {bytes(r["entry"]): r["n"] for r in often.collect()}
-    clean = {bytes(r["entry"]): r["n"] for r in _held(sample.where("toxic = 0"), set(toxic)).collect()} if toxic else {}
-    n_toxic, n_clean = toxic.pop(b"", 0), clean.pop(b"", 0)
-    found = {}
-    for entry, n in toxic.items():
-        m = clean.get(entry, 0)
-        p = (n + m + 1) / (n_toxic + n_clean + 2)
-        z = (n / n_toxic - m / max(1, n_clean)) / math.sqrt(p * (1 - p) * (1 / n_toxic + 1 / max(1, n_clean)))
-        if z >= LEAST_Z:
-            found[entry] = math.log((n + 0.5) / (n_toxic + 1)) - math.log((m + 0.5) / (n_clean + 1))
-    return {k: v for k, v in found.items() if v > 1}
+    """Entry -> log odds, from the rows (text, toxic) of a bounded sample: all entries that enough toxic texts hold, and more of them than chance allows."""
+    held = stored(_held(sample).where(F.col("toxic") >= LEAST_TEXTS), "entries")
+    texts = held.where(F.length("entry") == 0).first()
+    if texts is None:
+        return {}
+    n_toxic, n_clean = texts["toxic"], max(1, texts["clean"])
+    p = (F.col("toxic") + F.col("clean") + 1) / (n_toxic + texts["clean"] + 2)
+    z = (F.col("toxic") / n_toxic - F.col("clean") / n_clean) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (texts["clean"] + 1))
+    found = held.where(F.length("entry") > 0).where(z >= LEAST_Z).select("entry", odds.alias("odds")).where("odds > 1")
+    return {bytes(r["entry"]): r["odds"] for r in found.collect()}  # of the bounded sample
 
 
 def with_features(docs: DataFrame, lexicon: dict[bytes, float], extra: list[str]) -> DataFrame:
