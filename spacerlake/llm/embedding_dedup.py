@@ -1,8 +1,9 @@
 """Embedding near-dedup: random-hyperplane sign hashing in several tables, exact cosines, distributed components.
 
 Vectors of one label are compared by cosine in double precision. Equal vectors of a label count as copies and are hashed once. A
-vector's signs at TABLES x BITS random hyperplanes are its sketch; each table's BITS signs are a key. Of two vectors with a cosine of
-THRESHOLD, the chance to share no key is (1 - p^BITS)^TABLES = 4e-5, p = 1 - arccos(THRESHOLD) / pi, and less above. Vectors that
+vector's signs at random hyperplanes, some bits for each of several tables, are its sketch; each table's signs are a key. Keys get SPARE bits more than number
+the vectors of the largest label, so that few meet by chance in a table of any size. Of two vectors with a cosine of
+THRESHOLD, the chance to share no key is (1 - p^bits)^tables, p = 1 - arccos(THRESHOLD) / pi; there are as many tables as bring it to MISSED. Vectors that
 share a key and whose sketches differ in at most MOST_SIGNS of the signs (six standard deviations above the mean at THRESHOLD) go
 to one component, and all pairs in a component are verified.
 
@@ -25,10 +26,20 @@ from .linkage import classes, connected_components, in_blocks, sketch_edges, ver
 from .shared import stored, table
 
 THRESHOLD = 0.93
-BITS, TABLES = 14, 56
+LEAST_BITS, MOST_BITS, SPARE, MISSED = 10, 40, 1, 4e-5
 SEED = 20
 
 
+def key_bits(rows: int) -> int:
+    """Bits of a key for the rows of the largest label."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, rows) - 1).bit_length() + SPARE))
+
+
+def key_tables(bits: int, threshold: float = THRESHOLD, missed: float = MISSED) -> int:
+    p = 1 - math.acos(threshold) / math.pi
+    return math.ceil(math.log(missed) / math.log1p(-(p**bits)))
+
+
 def _most_signs(threshold: float, signs: int) -> int:
     p = math.acos(threshold) / math.pi
     return math.ceil(signs * p + 6 * math.sqrt(signs * p * (1 - p)))
@@ -59,13 +70,15 @@ def _sketches(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     return vectors.select("id", "bucket", "vector").mapInArrow(sign, "id bigint, bucket bigint, sketch binary, codes array<bigint>")
 
 
-def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of (vec_id, label, embedding)."""
+def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, bits: int | None = None, missed: float = MISSED) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of (vec_id, label, embedding). bits: of a key; by the rows if not given."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     comparable = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     own = rows.select("vec_id", "label", "embedding").select("vec_id", F.xxhash64("label", F.size("embedding")).alias("bucket"), F.when(comparable, F.xxhash64("label", F.size("embedding"), "embedding")).alias("id"), "embedding")
     reps = own.where("id IS NOT NULL").groupBy("id").agg(F.first("bucket").alias("bucket"), F.first("embedding").alias("vector"), F.count("*").alias("copies"))
     reps = stored(reps, "vectors")
+    bits = bits or key_bits(reps.groupBy("bucket").count().agg(F.max("count")).first()[0] or 1)
+    tables = key_tables(bits, threshold, missed)
     sketches = stored(_sketches(reps, bits, tables), "sketches")
 
     keys = sketches.select("id", "bucket", F.posexplode("codes").alias("table", "code")).select("id", F.xxhash64("bucket", "table", "code").alias("key"))
