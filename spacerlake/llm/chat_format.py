@@ -84,6 +84,21 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     )
 
 
+def pieces_at(text: Column, spans: Column, sizes: tuple[int, ...] = (LEAF * LEAF, LEAF)) -> Column:
+    """The text under each of the ascending spans (start, length). Runs of spans are cut out first, so that a text isn't walked from its start for each."""
+    if not sizes:
+        return F.transform(spans, lambda s: F.substring(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))
+
+    def run(xs: Column) -> Column:
+        base, last = xs[0]["start"], F.element_at(xs, -1)
+        own = F.substring(text, (base + 1).cast("int"), (last["start"] + last["length"] - base).cast("int"))
+        moved = F.transform(xs, lambda s: F.struct((s["start"] - base).alias("start"), s["length"].alias("length")))
+        return F.flatten(F.transform(F.array(F.struct(own.alias("text"), moved.alias("spans"))), lambda x: pieces_at(x["text"], x["spans"], sizes[1:])))
+
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(sizes[0])), lambda k: F.slice(spans, k, sizes[0]))
+    return F.flatten(F.transform(F.filter(runs, lambda xs: F.size(xs) > 0), run))
+
+
 def read_turns(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>, loss_texts array<string>, formatted) from the output alone."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda b: b != "")
@@ -94,7 +109,7 @@ def read_turns(formatted: DataFrame) -> DataFrame:
         texts = F.split(F.substring(body, F.length(role) + 2, F.length(body)), r"<\|im_sep\|>", -1)
         return F.transform(texts, lambda x: F.struct(unescape_role(role).alias("role"), unescape(x).alias("text")))
 
-    masked = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    masked = F.transform(pieces_at(F.col("formatted"), F.col("loss_spans")), unescape)
     return formatted.select("conv_id", F.flatten(F.transform(blocks, turns)).alias("turns"), masked.alias("loss_texts"), "formatted")
 
 
