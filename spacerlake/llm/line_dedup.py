@@ -27,17 +27,18 @@ from pyspark.sql import functions as F
 from .shared import stored, table
 
 MIN_NEAR = 16
-#: Parts of a line, and of one of LONG characters or more.
-PARTS, LONG, LONG_PARTS = 2, 2048, 8
+#: Parts of a line; one of LONG characters or more has parts of about PART characters, so that none makes more variants than that.
+PARTS, LONG, PART = 2, 2048, 256
 
 _ROW = ["doc_id", "tie"]
 _HASH = ["h1", "h2"]
 #: Coarse variants of `line`: grid, part, key, and the part's text. The line counts on its own grid (longer = 0) and as the longer line on that of one character less.
+_N_PARTS = f"if(length(line) - longer < {LONG}, {PARTS}, cast((length(line) - longer) div {PART} AS int))"
 _COARSE = f"""
 flatten(transform(array(0, 1), longer -> transform(
-  sequence(0, if(length(line) - longer < {LONG}, {PARTS}, {LONG_PARTS}) - 1),
-  i -> transform(array(named_struct('a', cast((length(line) - longer) * i div if(length(line) - longer < {LONG}, {PARTS}, {LONG_PARTS}) AS int),
-                                    'b', cast((length(line) - longer) * (i + 1) div if(length(line) - longer < {LONG}, {PARTS}, {LONG_PARTS}) AS int) + longer)),
+  sequence(0, {_N_PARTS} - 1),
+  i -> transform(array(named_struct('a', cast((length(line) - longer) * i div {_N_PARTS} AS int),
+                                    'b', cast((length(line) - longer) * (i + 1) div {_N_PARTS} AS int) + longer)),
     s -> named_struct('key', xxhash64(length(line) - longer, i, substring(line, 1, s.a), substring(line, s.b + 1)), 'longer', longer, 'part', substring(line, s.a + 1, s.b - s.a)))[0])))
 """
 
@@ -106,7 +107,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     none = F.array().cast("array<int>")
     joined = rows.join(removed, _same_row(rows, removed), "left").select(rows["doc_id"], "lines", F.coalesce("repeated", none).alias("repeated"), F.coalesce("nears", none).alias("nears"))
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.concat("repeated", "nears"), i)), "\n")
+    # numbers are told apart by hash, so a document's cost is its lines, however many are removed
+    left = F.array_except(F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(none), F.concat("repeated", "nears"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     return joined.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("repeated").cast("bigint").alias("n_repeated"), F.size("nears").cast("bigint").alias("n_near"), kept.alias("kept"))
 
 
