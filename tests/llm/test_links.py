@@ -168,6 +168,13 @@ def test_similar_vectors(spark, monkeypatch, block):
     assert embedding_dedup.link_vectors(df.limit(3).union(df.limit(3))).count() == 6
 
 
+def test_key_bits():
+    assert embedding_dedup.key_bits(0) == embedding_dedup.key_bits(500) == embedding_dedup.LEAST_BITS and embedding_dedup.key_bits(1 << 20) == 20 + embedding_dedup.SPARE
+    for bits in (10, 14, 21, 30):
+        p = 1 - math.acos(0.93) / math.pi
+        assert (1 - p**bits) ** embedding_dedup.key_tables(bits) <= 4e-5
+
+
 # repeated strings
 
 
@@ -312,12 +319,72 @@ def test_language_fusion_by_hand(spark):
 
 def test_page_text():
     html = '<html lang="en"><head><style>p{}</style><SCRIPT>var t="<p>";</SCRIPT></head><body><!-- no -->Some&amp;text<br>here</body>'
-    assert language_id.page_text(html).split() == ["Some", "text", "here"]
+    assert language_id.page_text(language_id.shown_markup(html)).split() == ["Some", "text", "here"]
+
+
+def test_pages_of_any_length():
+    """Tags, scripts and comments without an end, over and over, take time in proportion."""
+    for part in ("<script", "<!-- ", "<", "<html ", "<style>x", "&", "</script"):
+        page = part * 200_000
+        assert isinstance(language_id.page_text(language_id.shown_markup(page)), str) and language_id.declared_language(page) == ""
+    assert language_id.shown_markup("a<script>b<!--c</script>d<!--e").split() == ["a", "d<!--e"]
+
+
+def test_many_languages(spark):
+    """Every label is a language, however many there are."""
+    rng = random.Random(15)
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)]
+        rows += [(100 * k + n, " ".join(rng.choices(own, k=40)), f"l{chr(97 + k // 26)}{chr(97 + k % 26)}") for n in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn_likelihoods(docs)
+    assert len(model[0]) == 70
+    asked = docs.select("doc_id", "text", "lang", F.lit(None).cast("string").alias("declared"), F.lit("h").alias("host"), F.lit("").alias("domain"), F.lit("").alias("suffix"))
+    assert language_id.identify(asked, model, ["doc_id", "lang"]).where("language = lang").count() >= 275
 
 
 # toxicity
 
 
+def test_lexicon_by_hand(spark):
+    """The lexicon against the same counts in plain Python, counted in one part and in many."""
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(" ".join([*rng.choices(words, k=20), *(["rotten", "vile"] if k % 4 == 0 and rng.random() < 0.9 else [])]), int(k % 4 == 0)) for k in range(400)] + [(None, 0), ("", 1)]
+    held = [({x for w in set(toxicity._words((t or "").lower().encode())) for x in toxicity.entries(w)}, y) for t, y in rows]
+    n = [sum(y == k for _, y in held) for k in (0, 1)]
+    want = {}
+    for x in set().union(*(e for e, _ in held)):
+        m, a = (sum(x in e and y == k for e, y in held) for k in (0, 1))
+        p = (m + a + 1) / (sum(n) + 2)
+        z = (a / n[1] - m / n[0]) / math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+        odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((m + 0.5) / (n[0] + 1))
+        if a >= toxicity.LEAST_TEXTS and z >= toxicity.LEAST_Z and odds > 1:
+            want[x] = odds
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert b"rotten " in got and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_isotonic_calibration(spark):
+    """Scores never fall as the trees' chance rises, and among calibration rows of one step the mean is the share of toxic ones."""
+    docs = spark.createDataFrame([(k, f"awful thing {k % 7} " * (k % 3) + f"word{k % 11} other{k % 5}", int(k % 3 > 0 and k % 4 > 0)) for k in range(600)], "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, docs.select("doc_id", "toxic")).collect()}
+    steps = {}
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 == toxicity.CALIBRATION:
+            steps.setdefault(round(got[r["doc_id"]], 2), []).append(r["toxic"])
+    for score, toxic in steps.items():
+        if len(toxic) > 30:
+            assert abs(score - sum(toxic) / len(toxic)) < 0.1
+
+
+def test_toxicity_long_text():
+    scorer = toxicity.Scorer({b"idiot ": 3.0})
+    found = dict(zip(toxicity.FEATURES, scorer.features("you idiot! " * 300_000), strict=True))
+    assert found["density"] == 50 and found["near_you"] == 50
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(8)
     words = [f"word{k}" for k in range(300)]

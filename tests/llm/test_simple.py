@@ -159,8 +159,10 @@ def test_contamination(spark):
                             ids.add("" if item is None else str(item))
             assert (got[k]["n_words"], got[k]["n_hit"], got[k]["item_ids"]) == (len(words), len(hit), sorted(ids))
             assert got[k]["contaminated"] == (0 < len(hit) and 20 * len(hit) >= len(words))
+            runs = np.flatnonzero(np.diff([-2, *sorted(hit)]) > 1)
+            assert len(got[k]["hit_spans"]) == len(runs)
             cut = [decontamination.words(text[s["start"] : s["end"]].encode()) for s in got[k]["hit_spans"]]
-            assert sorted(sum(cut, [])) == sorted(words[j] for j in hit) or limit == 200
+            assert sorted(sum(cut, [])) == sorted(words[j] for j in hit)
     assert decontamination.find_contamination(docs.limit(0), tests).count() == 0
     assert decontamination.find_contamination(docs, tests.limit(0)).where("n_hit > 0").count() == 0
     twice = docs.union(docs)
@@ -211,6 +213,28 @@ def test_lines(spark, seed):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_long_lines(spark):
+    """Lines of many characters, with an edit anywhere, and a document of many removed lines."""
+    rng = random.Random(17)
+    line = "".join(rng.choices("abcdefgh", k=20_000))
+    texts = [line, line[:9000] + line[9001:], "z" + line, line[:-1] + "y", line[:100] + "xx" + line[102:], "\n".join(f"line {k % 50} of many words" for k in range(4000))]
+    got = {r["doc_id"]: (r["n_repeated"], r["n_near"]) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(5)] == [(0, 0), (0, 1), (0, 1), (0, 1), (0, 0)]
+    assert sum(got[5]) >= 3950
+
+
+def test_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_end|>" * 3, 0, 0) for t in range(9000)]
+    got = chat_format.read_turns(chat_format.format_conversations(spark.createDataFrame(rows, TURN))).first()
+    assert got["loss_texts"] == [x for _, t, _, x, *_ in rows if t % 2] and [t["text"] for t in got["turns"]] == [x for _, _, _, x, *_ in rows]
+
+
+def test_a_very_long_text_with_items(spark):
+    docs = docs_of(spark, ["a b c d e f g h i j k l m n o p " * 60_000])
+    got = decontamination.find_contamination(docs, spark.createDataFrame([(1, "x a b c d e f g h i j k l m n o p"), (2, "q r")], "item_id long, text string")).first()
+    assert (got["n_words"], got["n_hit"], len(got["hit_spans"]), got["item_ids"]) == (960_000, 960_000, 1, ["1"])
+
+
 def test_a_small_source_does_not_end_the_mix(spark):
     docs = docs_of(spark, ["x" * 100] * 300 + ["y"], lambda k: "ab"[k % 2] if k < 300 else "tiny")
     rows = mixing.mix_sources(docs, block_chars=200, resolution=20).collect()
