@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import doc_row, held_by_worker, table
+from .shared import doc_row, held_by_worker, slices, table
 
 WINDOW = 13
 MAX_ITEM_BYTES = 32 << 20
@@ -121,8 +121,8 @@ def _scan_with(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Da
     place = pa.struct([("word", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = held_by_worker(f"scanner {key}", lambda: Scanner(own.value, window))
-        for batch in batches:
+        for batch in slices(batches, f"scanner {key}"):
+            scanner = held_by_worker(f"scanner {key}", lambda: Scanner(own.value, window))
             texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
             found = [scanner.scan(x) for x in texts]
             hits = [word_places(t, x[1]) if x[1] else [] for t, x in zip(texts, found, strict=True)]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored, table
+from .shared import slices, stored, table
 
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 15
@@ -104,7 +104,7 @@ def learn_likelihoods(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tupl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {x: np.zeros(BUCKETS, np.int64) for x in languages}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
         for lang, n in found.items():
@@ -127,7 +127,7 @@ def _with_evidence(rows: DataFrame, logs: np.ndarray, keep: list[str]) -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = np.ascontiguousarray(model.value.T)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, found = [], []
             for text in batch.column(0).to_pylist():
                 own = trigrams(text)
@@ -222,7 +222,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             shown = [shown_markup(x or "") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([page_text(x) for x in shown], pa.string()), pa.array([declared_language(x) for x in shown], pa.string())], names=["page_id", "url", "text", "declared"])
 

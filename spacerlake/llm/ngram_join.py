@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import BLOCK, LEVEL_BITS, classes, connected_components, in_blocks, sketch_edges, verified_links
-from .shared import discard, doc_row, stored, table
+from .shared import doc_row, slices, stored, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -90,7 +90,7 @@ def _paths(docs: DataFrame, trees: int, longest: int, root: int, size: int) -> D
     node = pa.struct([("key", pa.int64()), ("path", pa.int64())])
 
     def path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, counts, keys, rests, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, size)

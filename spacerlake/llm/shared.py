@@ -6,8 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,12 @@ def held_by_worker(key: str, make: Callable[[], object]) -> object:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], held: str | None = None, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, so many at a time, for functions that turn them into Python values. What the worker holds for other work than the key held goes first."""
+    if held not in _HELD:
+        _HELD.clear()
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

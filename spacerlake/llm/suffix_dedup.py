@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import word_hashes
-from .shared import discard, doc_row, stored, table
+from .shared import discard, doc_row, slices, stored, table
 
 LENGTH, GRAM, STEP = 400, 32, 64
 INDEX_UNITS = 1024
@@ -279,17 +279,15 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
     four = ["anchors", "places", "firsts", "lasts"]
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                texts = symbols_of(some.column(1))
-                digests = [hashlib.sha256(x).hexdigest() for x in some.column(1).cast(pa.binary()).to_pylist()]
-                found = [anchors(x, length, gram) for x in texts]
-                arrays = [pa.array([x[0].view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (1, 2, 3))]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([text_id(x) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array(digests, pa.string()), pa.array([x[4] for x in found], pa.bool_()), *arrays],
-                    names=["doc_id", "text_id", "size", "sha256", "dense", *four],
-                )
+        for some in slices(batches):
+            texts = symbols_of(some.column(1))
+            digests = [hashlib.sha256(x).hexdigest() for x in some.column(1).cast(pa.binary()).to_pylist()]
+            found = [anchors(x, length, gram) for x in texts]
+            arrays = [pa.array([x[0].view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array([text_id(x) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array(digests, pa.string()), pa.array([x[4] for x in found], pa.bool_()), *arrays],
+                names=["doc_id", "text_id", "size", "sha256", "dense", *four],
+            )
 
     found = docs.mapInArrow(find_anchors, "doc_id bigint, text_id binary, size bigint, sha256 string, dense boolean, anchors array<bigint>, places array<int>, firsts array<int>, lasts array<int>")
     found = stored(found, "anchors")
@@ -305,7 +303,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([write(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["row", "packed"])
 
     packed = docs.select(doc_row().alias("row"), "text").mapInArrow(pack, "row string, packed binary")  # texts travel compressed
@@ -317,14 +315,14 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
 
     def as_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, write = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.set_column(1, "packed", pa.array([write(symbols(read(x).decode()).tobytes()) for x in batch.column(1).to_pylist()], pa.binary()))
 
     # a row that is repeated whole may be here twice; it has copies then, and its windows do recur
     texts = stored(texts if by_bytes else texts.mapInArrow(as_symbols, texts.schema), "repetitive")
 
     def find_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             wanted = batch.column(2)
             cuts = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
             cols = [x.to_numpy().astype(np.int64) for x in wanted.flatten().flatten()]
@@ -344,13 +342,13 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
     all_of = kinds.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (F.col("one.windows") - 1 + length).cast("bigint").alias("end"))).alias("runs"))
 
     def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for data, own in zip(unpacked(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 columns = [pa.array([x[k] for x in own], pa.int64()) for k in ("key", "content", "n", "of_key", "windows")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([data[x["first"] : x["first"] + x["windows"] - 1 + length].tobytes() for x in own], pa.binary())], names=["key", "content", "n", "of_key", "windows", "bytes"])
 
-    slices = shared.where("of_key > 1").groupBy("one.text_id").agg(F.collect_list(F.struct("key", "content", "n", "of_key", "one.first", "one.windows")).alias("units"))
-    cut = slices.join(texts.select("text_id", "packed"), "text_id").select("packed", "units").mapInArrow(cut_slices, "key bigint, content bigint, n bigint, of_key bigint, windows bigint, bytes binary")
+    of_texts = shared.where("of_key > 1").groupBy("one.text_id").agg(F.collect_list(F.struct("key", "content", "n", "of_key", "one.first", "one.windows")).alias("units"))
+    cut = of_texts.join(texts.select("text_id", "packed"), "text_id").select("packed", "units").mapInArrow(cut_slices, "key bigint, content bigint, n bigint, of_key bigint, windows bigint, bytes binary")
     cut = stored(cut, "slices")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +359,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
             out = [(x["key"], x["content"], runs) for x, m in zip(held, found, strict=True) if x["n"] == 1 and (runs := _runs(m, length))]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _SPANS)], names=["key", "content", "runs"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if len(held) >= index_units and row["key"] != held[-1]["key"]:
                     yield marks()
@@ -374,7 +372,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
     indexed = cut.where(F.col("of_key") <= index_units).repartition("key").sortWithinPartitions("key").mapInArrow(mark, marks_schema)
 
     def windows_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 half = 1 << ((length - 1).bit_length() - 1)
                 spans = string_hashes(np.frombuffer(row["bytes"], kind), half)
@@ -391,7 +389,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
     by_text = covered.groupBy("text_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans, removed, digests = [], [], []
             lists = batch.column(1)
             cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()

@@ -33,7 +33,7 @@ from .shared import held_by_worker, scratch, table
 SEGMENT_TOKENS = 1 << 20
 END_ID = 2
 #: Characters encoded together; a longer text is taken alone.
-ENCODE_CHARS = 4 << 20
+ENCODE_CHARS = 1 << 20
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
 SEGMENT_SCHEMA = (
@@ -97,11 +97,11 @@ class UnitEncoder:
     place, and what is met again moves to the newer.
     """
 
-    KNOWN_BYTES = 64 << 20
+    KNOWN_BYTES = 48 << 20
     #: Bytes that a unit takes besides its letters and ids.
     UNIT_BYTES = 170
     #: Units that the library encodes at once.
-    LEARN = 10_000
+    LEARN = 1000
     SPLIT = re.compile(r"(?<=\S)(?= \S)")
     #: Texts with blanks besides space and line end (or the mark used here), blanks side by side or at an end, or marks that a full stop or comma may join.
     ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|[ \n][ \n]|\A[ \n]|[ \n]\z|[^\pL\pN][.,]|\A[.,]"

@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import slices, stored, table
 
 FOLDS, CALIBRATION = 5, 4
 MOST_LABELLED = 20_000
@@ -122,7 +122,7 @@ def _held(docs: DataFrame) -> DataFrame:
                 x.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update({x for w in set(_words((text or "").lower().encode())) for x in entries(w)})
                 counts[toxic][b""] += 1
@@ -155,7 +155,7 @@ def with_features(docs: DataFrame, lexicon: dict[bytes, float], extra: list[str]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(words.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([scorer.features(x) for x in batch.column(0).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c) for c in np.ascontiguousarray(found.T))], names=[*extra, *FEATURES])
 
