@@ -84,8 +84,7 @@ def interleaved(repeats: Column, spacers: Column) -> Column:
 
 def mode_share(xs: Column) -> Column:
     """Share of the most frequent value of an array; null if it is empty."""
-    counts = F.transform(F.array_distinct(xs), lambda v: F.size(F.filter(xs, lambda x: x == v)))
-    return F.when(F.size(xs) > 0, F.array_max(counts) / F.size(xs))
+    return F.when(F.size(xs) > 0, longest_run(F.array_sort(xs)) / F.size(xs))  # equal values stand together
 
 
 def longest_run(xs: Column) -> Column:
@@ -99,6 +98,36 @@ def longest_run(xs: Column) -> Column:
     return F.aggregate(xs, start, step, lambda a: a["most"])
 
 
+def relative_places(places: Column, start: Column) -> Column:
+    """Places of errors in a sequence, counted from a match's start."""
+    return F.transform(places, lambda x: x - start)
+
+
+def unique_ends(ends: Column) -> Column:
+    """Each end, raised by 1 until no end before it has the value."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(ends.cast("array<int>"), none, lambda a, x: F.concat(a, F.array(F.array_min(F.array_except(F.sequence(x, x + F.size(a)), a)))))
+
+
+def missing_gaps(all_gaps: Column, own: Column) -> Column:
+    """The gaps of the whole alignment that a row doesn't have itself."""
+    return F.array_except(all_gaps, own)
+
+
+def with_gaps(seq: Column, places: Column) -> Column:
+    """The sequence with a "-" put in before each of the 0-based places, which count letters of the result; places below 0 count as 0."""
+    ordered = F.array_sort(F.transform(places, lambda x: F.greatest(x, F.lit(0))))
+    return F.aggregate(ordered, seq, lambda a, x: F.concat(F.substring(a, F.lit(1), x), F.lit("-"), F.substring(a, x + 1, F.length(a))))
+
+
+def without_empty_columns(rows: Column) -> Column:
+    """The rows of one alignment (array<string> of equal lengths) without columns that are all blanks or all "-"."""
+    cells = F.transform(rows, characters)
+    places = F.sequence(F.lit(0), F.greatest(F.length(rows[0]) - 1, F.lit(0)))
+    kept = F.filter(places, lambda k: F.exists(cells, lambda r: F.get(r, k) != " ") & F.exists(cells, lambda r: F.get(r, k) != "-"))
+    return F.transform(cells, lambda r: F.array_join(F.transform(kept, lambda k: F.get(r, k)), ""))
+
+
 def evenness(lengths: Column) -> Column:
     """Entropy of lengths in bins with right-closed bounds 15, 25, 36, 52, 72 and above, as a share of ln 6, rounded to 6."""
     bins = F.transform(lengths, lambda n: F.when(n <= 15, 0).when(n <= 25, 1).when(n <= 36, 2).when(n <= 52, 3).when(n <= 72, 4).otherwise(5))

@@ -38,22 +38,26 @@ def cluster_summary(numbered: DataFrame, contigs: DataFrame, k: int) -> DataFram
 
 
 def cluster_windows(clusters: DataFrame, contigs: DataFrame, flank: int = FLANK) -> DataFrame:
-    """Adds window_start, window_end and window: the cluster with its flanks, inside the contig. Clusters that begin beyond it are dropped."""
+    """Adds window_start, window_end, window and wraps: the cluster with its flanks, inside the contig, and whether its end lies beyond it. Clusters that begin beyond it are dropped."""
     joined = clusters.join(contigs.select("contig_id", "seq"), "contig_id").where(F.col("begin") < F.length("seq"))
     start = F.greatest(F.col("begin") - flank, F.lit(0))
     end = F.least(F.col("end") + flank, F.length("seq").cast("bigint"))
-    return joined.withColumns({"window_start": start, "window_end": end}).withColumn("window", F.expr("substring(seq, cast(window_start AS int) + 1, cast(window_end - window_start AS int))")).drop("seq")
+    return joined.withColumns({"window_start": start, "window_end": end, "wraps": F.col("end") > F.length("seq")}).withColumn("window", F.expr("substring(seq, cast(window_start AS int) + 1, cast(window_end - window_start AS int))")).drop("seq")
+
+
+#: The gaps and sizes of the rule below.
+NEAR_GAP, FAR_GAP, SIZES_OF_ONE, SIZES_OF_MORE = 100, 500, [(0, 160)], [(1, 160), (2, 180)]
 
 
 def _absorbs(left: dict, right: dict, seq: str) -> bool:
     """Whether the cluster on the left takes in its right neighbour."""
     gap = right["begin"] - left["end"]
-    if gap <= 0 or gap < 100 and set(left["repeats"]) & set(right["repeats"]):
+    if gap <= 0 or gap < NEAR_GAP and set(left["repeats"]) & set(right["repeats"]):
         return True
-    if gap >= 500:
+    if gap >= FAR_GAP:
         return False
     between = seq[left["end"] : right["begin"]]
-    tests = [(0, 160)] + ([(1, 160), (2, 180)] if right["n_pairs"] > 3 else [])
+    tests = SIZES_OF_ONE + (SIZES_OF_MORE if right["n_pairs"] > 3 else [])
     cores = [(right["repeats"][at][3:-3], size) for at, size in tests if at < len(right["repeats"])]
     return any(core and between.count(core) >= max(1, gap / size) for core, size in cores)
 

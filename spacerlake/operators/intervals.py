@@ -44,13 +44,46 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, left_at: str, ri
     return left.join(found, left.columns, "left")
 
 
+def nearest_interval(left: DataFrame, right: DataFrame, key: str, own: tuple[str, str], other: tuple[str, str], order: str, bound: int) -> DataFrame:
+    """Each row of left with the nearest of right as near, or null: the distance is the lesser of start to the other's end and end to the other's start, at most bound.
+
+    Ties go to the least of right's column order. Both distances are looked for in bins as wide as the bound.
+    """
+    sides = [(own[0], other[1]), (own[1], other[0])]
+    probes = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(a).cast("bigint").alias("at"), (F.floor(F.col(a) / bound) + d).alias("bin")) for k, (a, _) in enumerate(sides) for d in (-1, 0, 1))))
+    points = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(b).cast("bigint").alias("at"), F.floor(F.col(b) / bound).alias("bin")) for k, (_, b) in enumerate(sides))))
+    kept = [c for c in right.columns if c != key]
+    a = left.select(*left.columns, probes.alias("_p"))
+    b = right.select(F.col(key).alias("_key"), F.struct(*kept).alias("_row"), points.alias("_q"))
+    joined = a.join(b, (F.col(key) == F.col("_key")) & (F.col("_p.side") == F.col("_q.side")) & (F.col("_p.bin") == F.col("_q.bin"))).withColumn("distance", F.abs(F.col("_p.at") - F.col("_q.at")))
+    near = F.min_by(F.struct("distance", "_row.*"), F.struct("distance", f"_row.{order}")).alias("near")
+    return left.join(joined.where(F.col("distance") <= bound).groupBy(*left.columns).agg(near), left.columns, "left")
+
+
+def with_scores(candidates: DataFrame, keys: list[str], tables: dict[str, DataFrame]) -> DataFrame:
+    """Adds a column for each table (keys, score): the greatest score of the key, 0.0 without one. The tables are added up together, so there is one grouping and one join."""
+    rows = None
+    for name, table in tables.items():
+        own = table.select(*keys, F.lit(name).alias("_name"), F.col("score").cast("double").alias("_score"))
+        rows = own if rows is None else rows.unionByName(own)
+    wide = rows.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_score"))).alias(name) for name in tables))
+    return candidates.join(wide, keys, "left").fillna(0.0, list(tables))
+
+
 def best_in_interval(intervals: DataFrame, points: DataFrame, key: str, interval_id: str, start: str, end: str, at: str, value: str, width: int) -> DataFrame:
     """(key, interval_id, best): the greatest value of the points in each interval, 0.0 without one."""
+    # on the minus strand the places of points are to be turned first, as length minus end: see from_end
     hits = points_in_intervals(points.select(key, at, value), intervals.select(key, interval_id, start, end), key, at, start, end, width)
     best = hits.groupBy(key, interval_id).agg(F.max(value).alias("best"))
     return intervals.select(key, interval_id).join(best, [key, interval_id], "left").select(key, interval_id, F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+def from_end(rows: DataFrame, start: str, end: str, length: Column, complement: Column) -> DataFrame:
+    """Places that count along the strand read: where complement holds, start becomes length - end, and end length - start."""
+    own, far = F.col(start), F.col(end)
+    return rows.withColumns({start: F.when(complement, length - far).otherwise(own), end: F.when(complement, length - own).otherwise(far)})
+
+
 def flanks(rows: DataFrame, key: str, start: str, end: str, flank: Column, far: Column) -> DataFrame:
     """Adds left_bound and right_bound: a whole flank towards a far neighbour, half the gap towards a near one, none where they overlap."""
     w = Window.partitionBy(key).orderBy(start, end)

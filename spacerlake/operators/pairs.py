@@ -22,11 +22,17 @@ def kmer_codes(seq: str, k: int) -> np.ndarray:
     """Two bits a base; -1 where the k-mer holds another letter. k is at most 31."""
     data = _CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
     n = max(0, len(data) - k + 1)
-    codes, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-    for i in range(k):
-        codes = codes << 2 | np.maximum(data[i : i + n], 0)
-        bad |= data[i : i + n] < 0
-    return np.where(bad, -1, codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    odd = np.concatenate([[0], np.cumsum(data < 0)])
+    own, size, codes, done = np.maximum(data, 0), 1, np.zeros(len(data), np.int64), 0
+    while size <= k:  # codes of 1, 2, 4, ... bases, put together by the bits of k
+        if k & size:
+            codes = (codes[: len(own) - done if done else None] << 2 * size | own[done : done + len(codes)]) if done else own
+            done += size
+        own = own[:-size] << 2 * size | own[size:]
+        size *= 2
+    return np.where(odd[k : k + n] > odd[:n], -1, codes[:n])
 
 
 def repeat_pairs(contigs: DataFrame, k: int = K, nearest: int = NEAREST, farthest: int = FARTHEST) -> DataFrame:

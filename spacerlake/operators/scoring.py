@@ -88,11 +88,12 @@ def longest_orf(seq: Column) -> Column:
 
 
 def adjacent_similarity(arrays: DataFrame, contig: str, order: str, consensus: str, least: float = 0.9) -> DataFrame:
-    """Pairs of neighbouring arrays of a contig whose consensus sequences agree: one minus edits by the longer length."""
+    """Pairs of neighbouring arrays of a contig whose consensus sequences agree: similarity is one minus edits by the longer length, coverage the shorter by the longer length."""
     w = Window.partitionBy(contig).orderBy(order)
     following = arrays.withColumns({"next_order": F.lead(order).over(w), "next_consensus": F.lead(consensus).over(w)})
     share = 1 - F.levenshtein(consensus, "next_consensus") / F.greatest(F.length(consensus), F.length("next_consensus"), F.lit(1))
-    return following.where("next_consensus IS NOT NULL").withColumn("similarity", share).where(F.col("similarity") >= least - 5e-5)
+    coverage = F.least(F.length(consensus), F.length("next_consensus")) / F.greatest(F.length(consensus), F.length("next_consensus"), F.lit(1))
+    return following.where("next_consensus IS NOT NULL").withColumns({"similarity": share, "coverage": coverage}).where((F.col("similarity") >= least - 5e-5) & (F.col("coverage") >= least - 5e-5))
 
 
 def seed_scores(queries: DataFrame, known: DataFrame, query: str, known_id: str, seq: str = "seq", k: int = 6) -> DataFrame:
@@ -120,6 +121,11 @@ def ranking_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     return wins.agg((F.sum("wins") / (ones * (all_ - ones))).alias("auc"), all_.alias("n"))
 
 
+def accuracy(rows: DataFrame, predicted: str, label: str) -> DataFrame:
+    """(accuracy, n): the share of rows whose prediction is the label."""
+    return rows.agg(F.avg(F.when(F.col(predicted) == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"), F.count("*").alias("n"))
+
+
 def split(rows: DataFrame, key: str, share: float, seed: int = 1) -> DataFrame:
     """Adds train, true for about a share of the keys: by hash, so that the same key falls on the same side in every run."""
     return rows.withColumn("train", F.pmod(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.lit(10_000)) < round(share * 10_000))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import arrays as A
 from ..operators import clusters, columns, intervals, pairs, routing
+from ..sources import writers
+from ..sources.fasta import letters_as_bases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig_id, seq): the documents' letters as bases."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_id"), S.dna_of(F.col("text")).alias("seq"))
+    return letters_as_bases(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _dna(text: str) -> str:
@@ -368,3 +370,49 @@ def cassette_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     extents = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
     named = extents.join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return named.groupBy("p_brand").agg(F.sum("n").alias("n_items"), F.min("a").alias("first_ship"), F.max("b").alias("last_ship"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, min(l_discount) AS a, max(l_extendedprice) AS b, max(l_quantity) FILTER (l_returnflag = 'R') AS c FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, CAST(coalesce(a, 0) AS DOUBLE) AS mfe_score, CAST(coalesce(b, 0) AS DOUBLE) AS orf_score, CAST(coalesce(c, 0) AS DOUBLE) AS blast_score FROM orders LEFT JOIN x ON l_orderkey = o_orderkey""")
+def feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of several providers beside each order, 0 where a provider has none: one shuffle for all of them."""
+    items = read(spark, sf_dir, "lineitem")
+
+    def scores(rows: DataFrame, value: F.Column) -> DataFrame:
+        return rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(value.alias("score"))
+
+    tables = {"mfe_score": scores(items, F.min("l_discount")), "orf_score": scores(items, F.max("l_extendedprice")), "blast_score": scores(items.where("l_returnflag = 'R'"), F.max("l_quantity"))}
+    return intervals.with_scores(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], tables)
+
+
+@query(f"""WITH {SESSIONS}, a AS (SELECT user_id, session, s, e FROM ses WHERE first_type = 'error'), b AS (SELECT user_id, session AS t, s, e FROM ses WHERE first_type = 'purchase'),
+j AS (SELECT a.user_id, a.session, t, least(abs(a.s - b.e), abs(a.e - b.s)) AS distance FROM a JOIN b ON a.user_id = b.user_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY distance, t) AS rn FROM j WHERE distance <= 10000)
+SELECT a.user_id, a.session, a.s AS "start", a.e AS "end", k.t AS near_session, k.distance FROM a LEFT JOIN k ON a.user_id = k.user_id AND a.session = k.session AND rn = 1""")
+def nearest_cassettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that begin with an error, each with the nearest of its user's that begin with a purchase, by the nearer of both ends."""
+    found = _sessions(_events(spark, sf_dir)).select("user_id", "session", "start", "end", "first_type")
+    left = found.where("first_type = 'error'").drop("first_type")
+    right = found.where("first_type = 'purchase'").select("user_id", F.col("session").alias("near_session"), F.col("start").alias("s"), F.col("end").alias("e"))
+    near = intervals.nearest_interval(left, right, "user_id", ("start", "end"), ("s", "e"), "near_session", 10000)
+    return near.select("user_id", "session", "start", "end", "near.near_session", "near.distance")
+
+
+@query(f"""WITH {SCORED} SELECT region // 8 AS "Name", row_number() OVER (ORDER BY region // 8, region, doc_id) AS "Global ID", doc_id AS "ID", category AS "Category" FROM routed WHERE category IS NOT NULL""")
+def rollup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contigs' rows in one list, numbered through."""
+    routed = routing.route(_scored(spark, sf_dir), ["region"], "score", "passes", "doc_id").select(F.expr("region div 8").alias("Name"), "region", F.col("doc_id").alias("ID"), F.col("category").alias("Category"))
+    return writers.rollup(routed, "Name", ["region", "ID"]).select("Name", "Global ID", "ID", "Category")
+
+
+@query(f"""WITH {SCORED} SELECT region // 8 AS contig_id, category, doc_id AS id, CAST(region AS BIGINT) AS "start", score FROM routed WHERE category IS NOT NULL""")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested JSON of every contig, parsed once and flattened again."""
+    routed = routing.route(_scored(spark, sf_dir), ["region"], "score", "passes", "doc_id")
+    empty = F.array().cast("array<string>")
+    arrays = routed.select(
+        F.expr("region div 8").alias("contig_id"), F.col("doc_id").alias("id"), F.lit(1).alias("region_index"), "category", F.col("region").alias("start"), (F.col("region") + 1).alias("end"), F.lit("Forward").alias("strand"), "score",
+        F.lit("ACGT").alias("consensus"), F.array(F.lit("ACGT")).alias("repeats"), empty.alias("spacers"), F.array(F.lit(0)).alias("starts"),
+    )
+    parsed = writers.array_json(arrays).select("contig_id", F.from_json("document", "Arrays map<string,map<string,struct<start:bigint,certainty_score:double>>>").alias("d"))
+    return parsed.select("contig_id", F.explode("d.Arrays").alias("category", "of")).select("contig_id", "category", F.explode("of").alias("id", "a")).select("contig_id", "category", F.col("id").cast("bigint"), (F.col("a.start") - 1).alias("start"), F.col("a.certainty_score").alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,21 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.where(F.trim("value") != "").select("file", header.alias("header"), F.upper(F.regexp_replace(rest, r"\s", "")).alias("seq"))
 
 
+_BASES = bytes(S.BASES.encode()[(b & 0xDF) - 65] if 65 <= b & 0xDF <= 90 else b for b in range(256))
+_NO_LETTERS = bytes(b for b in range(256) if not 65 <= b & 0xDF <= 90 or b >= 128)
+
+
+def letters_as_bases(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(contig_id, seq): what dna_of gives, by one pass over the bytes of Arrow batches."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [(x or b"").translate(_BASES, _NO_LETTERS) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.binary()).cast(pa.string())], names=["contig_id", "seq"])
+
+    return rows.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(read, "contig_id bigint, seq string")
+
+
 def single_record(records: DataFrame) -> DataFrame:
     """One contig per file: its first header, and the sequences of all its records, one after the other (ordered by header)."""
     parts = records.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("header", "seq"))).alias("parts"))

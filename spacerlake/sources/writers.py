@@ -6,7 +6,7 @@ and start from 0 and end behind the last base; reports count from 1, both ends i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -51,6 +51,50 @@ def write_text_reports(arrays: DataFrame, path: str) -> None:
     arrays.select("category", F.concat(head, F.lit("\n"), dot_rows(), tail).alias("value")).write.partitionBy("category").text(path)
 
 
+def _features_line() -> Column:
+    """The features of an array (a map of names and numbers), each once, by name."""
+    entries = F.array_sort(F.map_entries("features"))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.format_number(e["value"], 4))), ", ")
+
+
+def write_bona_fide(arrays: DataFrame, path: str) -> None:
+    """The whole report of bona fide arrays: head, genes around, rows, leader, downstream, strand, features, score, and the element found beside.
+
+    Besides an array's columns: genes array<struct<kind,start,end>>, leader, downstream, features map<string,double>, element (null: none).
+    """
+    gene = F.transform(F.array_sort(F.transform("genes", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["kind"].alias("kind")))), lambda g: F.format_string("%s: %d - %d", g["kind"], g["start"], g["end"]))
+    genes = F.when(F.size("genes") > 0, F.concat(F.lit("\nGenes\n"), F.array_join(gene, "\n"), F.lit("\n"))).otherwise("")
+    head = F.format_string("Array: %s %s, region %s, place %d - %d, length %d\n", F.col("contig_id").cast("string"), F.col("id").cast("string"), F.col("region_index").cast("string"), F.col("start") + 1, F.col("end"), F.col("end") - F.col("start"))
+    around = F.format_string("\n\nLeader: %s\nDownstream: %s\nStrand: %s\nFeatures: %s\nScore: %.6f\n", F.coalesce("leader", F.lit("")), F.coalesce("downstream", F.lit("")), F.coalesce("strand", F.lit("Forward")), F.coalesce(_features_line(), F.lit("")), "score")
+    element = F.coalesce(F.concat(F.lit("Element: "), "element", F.lit("\n")), F.lit(""))
+    arrays.where("category = 'bona_fide'").select(F.concat(head, genes, F.lit("\n"), dot_rows(), around, element, F.repeat(F.lit("="), 100), F.lit("\n")).alias("value")).write.text(path)
+
+
+def rollup(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """The rows of all contigs with "Global ID", counting through contigs by name and rows in order.
+
+    Rows are numbered within their contig; only one row a contig, its count, is put in one order to add up what stands before it.
+    """
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy(name).agg(F.count("*").alias("_n")).select(name, before.alias("_before"))
+    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(name).orderBy(*order)))
+    return numbered.join(sizes, name).withColumn("Global ID", F.col("_before") + F.col("_at")).drop("_before", "_at")
+
+
+def write_rollup(rows: DataFrame, path: str, order: list[str], none: str = "Nothing was found") -> None:
+    """CSV of a roll-up (summary, genes or cassettes), Name and Global ID first; one line of text if there are no rows."""
+    numbered = rollup(rows, "Name", order)
+    if rows.isEmpty():
+        rows.sparkSession.createDataFrame([(none,)], "value string").write.text(path)
+    else:
+        numbered.select("Name", "Global ID", *(c for c in rows.columns if c != "Name")).write.csv(path, header=True)
+
+
+def prefixed(records: DataFrame, contig: str = "contig_id", separator: str = "_") -> DataFrame:
+    """(header, seq) of (contig, header, seq), each header after its contig's name: a folder's records in one list."""
+    return records.select(F.concat_ws(separator, F.col(contig).cast("string"), "header").alias("header"), "seq")
+
+
 def fasta_records(arrays: DataFrame, what: str = "spacers") -> DataFrame:
     """(header, seq) of every spacer or repeat, or of whole arrays, numbered from 1 within the array."""
     name = F.concat_ws("_", F.col("contig_id").cast("string"), "category", (F.col("start") + 1).cast("string"), F.col("end").cast("string"), "consensus")
@@ -64,13 +108,20 @@ def write_fasta(records: DataFrame, path: str) -> None:
 
 
 def array_json(arrays: DataFrame) -> DataFrame:
-    """(contig_id, document): category -> id -> array."""
+    """(contig_id, document): category -> id -> array, as one nested object. The names of its fields."""
     one = F.struct(
         F.col("repeats").alias("list_repeats"), F.col("spacers").alias("list_spacers"), F.transform("starts", lambda x: x + 1).alias("list_repeat_starts"), F.col("consensus").alias("consensus_repeat"), dot_rows().alias("dot_representation"),
         "strand", (F.col("start") + 1).alias("start"), F.col("end").alias("end"), (F.col("end") - F.col("start")).alias("length"), F.col("region_index").alias("array_index"), F.col("score").alias("certainty_score"),
     )
     by_category = arrays.groupBy("contig_id", "category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string"), one)))).alias("arrays"))
-    return by_category.groupBy("contig_id").agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.to_json("arrays"))))).alias("Arrays"))).alias("document"))
+    return by_category.groupBy("contig_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("category", "arrays"))).alias("Arrays"))).alias("document"))
+
+
+def write_json_rollup(arrays: DataFrame, path: str) -> None:
+    """All contigs' documents under their names: one line of JSON a contig, {name: document}, so that no task holds all."""
+    named = array_json(arrays).select(F.concat(F.lit("{"), F.to_json(F.struct(F.col("contig_id").cast("string").alias("k"))), F.lit("}")).alias("k"), "contig_id", "document")
+    key = F.regexp_extract("k", r'^\{\{"k":(.*)\}\}$', 1)  # the name as a JSON string
+    named.select(F.concat(F.lit("{"), key, F.lit(": "), "document", F.lit("}")).alias("value")).write.text(path)
 
 
 def write_json(arrays: DataFrame, path: str) -> None:

@@ -125,6 +125,44 @@ def test_intervals(spark):
     assert bounds == {10: (-40, 70), 100: (50, 300), 0: (-50, 55)}
 
 
+def test_nearest_interval_and_scores(spark):
+    rng = random.Random(11)
+    left = [(rng.choice("ab"), k, a := rng.randrange(2000), a + rng.randrange(300)) for k in range(40)]
+    right = [(rng.choice("abc"), k, a := rng.randrange(2000), a + rng.randrange(300)) for k in range(30)]
+    near = intervals.nearest_interval(spark.createDataFrame(left, "key string, n int, start long, end long"), spark.createDataFrame(right, "key string, rid int, s long, e long"), "key", ("start", "end"), ("s", "e"), "rid", 100)
+    got = {r["n"]: r["near"] and (r["near"]["distance"], r["near"]["rid"]) for r in near.collect()}
+    assert got == {n: min(((d, r) for c, r, s, e in right if c == key and (d := min(abs(a - e), abs(b - s))) <= 100), default=None) for key, n, a, b in left}
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "region int, n int")
+    tables = {"orf": spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.7)], "region int, n int, score double"), "hmm": spark.createDataFrame([(2, 1, 3.0), (9, 9, 1.0)], "region int, n int, score double")}
+    assert {tuple(r) for r in intervals.with_scores(rows, ["region", "n"], tables).collect()} == {(1, 1, 0.7, 0.0), (1, 2, 0.0, 0.0), (2, 1, 0.0, 3.0)}
+    turned = intervals.from_end(spark.createDataFrame([(3, 10, True), (3, 10, False)], "start int, end int, c boolean"), "start", "end", F.lit(100), F.col("c"))
+    assert {tuple(r)[:2] for r in turned.collect()} == {(90, 97), (3, 10)}
+
+
+def test_gaps_and_columns(spark):
+    ints = lambda *xs: F.array(*map(F.lit, xs))
+    assert one(spark, S.relative_places(ints(12, 15), F.lit(10))) == [2, 5]
+    assert one(spark, S.unique_ends(ints(3, 3, 4, 3))) == [3, 4, 5, 6]
+    assert one(spark, S.missing_gaps(ints(1, 2, 5), ints(2))) == [1, 5]
+    assert one(spark, S.with_gaps(F.lit("ACGT"), ints(5, 2, -3))) == "-A-CG-T"[:5] + "-T"
+    assert one(spark, S.with_gaps(F.lit("ACGT"), ints(2))) == "AC-GT"
+    assert one(spark, S.without_empty_columns(F.array(F.lit("A -C- "), F.lit("AG-  -")))) == ["A C- ", "AG  -"]
+    assert one(spark, S.mode_share(F.array(*map(F.lit, "abab" "b")))) == 0.6
+    rows = spark.createDataFrame([(1, 1), (0, 1), (0, 0), (1, 1)], "p int, y int")
+    assert tuple(scoring.accuracy(rows, "p", "y").first()) == (0.75, 4)
+    near = scoring.adjacent_similarity(spark.createDataFrame([(1, 1, "A" * 20), (1, 2, "A" * 18)], "c int, o int, s string"), "c", "o", "s").first()
+    assert (near["similarity"], near["coverage"]) == (pytest.approx(0.9), pytest.approx(0.9))
+
+
+def test_kmer_codes():
+    rng = random.Random(12)
+    for k in (1, 2, 5, 21, 31):
+        for n in (0, k - 1, k, 70):
+            seq = "".join(rng.choices("ACGTACGTACGTN", k=n))
+            want = [int("".join(str("ACGT".index(c)) for c in seq[a : a + k]), 4) if "N" not in seq[a : a + k] else -1 for a in range(n - k + 1)]
+            assert pairs.kmer_codes(seq, k).tolist() == want
+
+
 def test_kernel(spark):
     rows = spark.createDataFrame([("g", "ACGTAC"), ("g", "CATGCA"), ("one", "ACGT"), ("two", "AAAAAA"), ("two", "CCCCCC"), ("none", "")], "k string, s string")
     got = {r["k"]: r["similarity"] for r in kernel.mean_similarity(rows, ["k"], "s").collect()}

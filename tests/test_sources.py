@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from spacerlake.functions import sequence as S
 from spacerlake.sources import fasta, writers
 from spacerlake.streaming import ingest
 
@@ -67,7 +68,7 @@ def test_reports(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "spacers")).collect())[:2] == [">c_bona_fide_11_19_AAC_1", ">c_possible_41_49_TTT_1"]
     assert {r["seq"] for r in writers.fasta_records(df, "arrays").collect()} == {"AACGGGAAT", "TTTCCCTTT", "A"}
     documents = {r["contig_id"]: json.loads(r["document"]) for r in writers.array_json(df).collect()}
-    one = json.loads(documents["c"]["Arrays"]["bona_fide"])["1"]
+    one = documents["c"]["Arrays"]["bona_fide"]["1"]
     assert (one["start"], one["end"], one["length"], one["list_repeat_starts"]) == (11, 19, 9, [11, 17]) and "..T" in one["dot_representation"]
     lines = {r["value"].split("\t")[8]: r["value"].split("\t")[3:7] for r in writers.gff_lines(df).where("value LIKE 'c%'").collect()}
     assert lines["ID=array_c_1"] == ["11", "19", "0.9", "-"] and lines["ID=array_c_1_binding_site_1;Parent=array_c_1"][:2] == ["14", "16"] and len(lines) == 8
@@ -82,6 +83,32 @@ def test_reports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "genes"), header=True).first()["Length"] == "5"
 
 
+def test_rollups(spark, tmp_path):
+    df = arrays(spark)
+    writers.write_json_rollup(df, str(tmp_path / "all"))
+    rows = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "all")).collect()]
+    assert {k for r in rows for k in r} == {"c", "d"} and next(r["c"] for r in rows if "c" in r)["Arrays"]["possible"]["2"]["consensus_repeat"] == "TTT"
+    writers.write_rollup(writers.summary(df), str(tmp_path / "summary"), ["ID"])
+    back = spark.read.csv(str(tmp_path / "summary"), header=True)
+    assert back.columns == ["Name", "Global ID", *writers.SUMMARY] and sorted((r["Name"], r["Global ID"], r["ID"]) for r in back.collect()) == [("c", "1", "1"), ("c", "2", "2")]
+    writers.write_rollup(writers.summary(df.limit(0)), str(tmp_path / "none"), ["ID"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "none")).collect()] == ["Nothing was found"]
+    rows = spark.createDataFrame([(x, k) for k, x in enumerate("bacabca")], "name string, k int")
+    assert [(r["name"], r["Global ID"]) for r in writers.rollup(rows, "name", ["k"]).orderBy("name", "k").collect()] == list(zip("aaabbcc", range(1, 8), strict=True))
+    more = df.selectExpr("*", "array(named_struct('kind', 'cas9', 'start', 5, 'end', 9)) AS genes", "'LEAD' AS leader", "'DOWN' AS downstream", "map('b', 2.0D, 'a', 1.0D) AS features", "cast(null AS string) AS element")
+    writers.write_bona_fide(more, str(tmp_path / "bona"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "bona")).collect())
+    assert text.count("Array: ") == 1 and all(x in text for x in ("cas9: 5 - 9", "Leader: LEAD", "Downstream: DOWN", "Strand: Reverse", "Features: a: 1.0000, b: 2.0000", "Score: 0.900000", "..T"))
+    records = spark.createDataFrame([("c", "h", "AC")], "contig_id string, header string, seq string")
+    assert writers.prefixed(records, separator="_-_").collect() == [("c_-_h", "AC")]
+
+
+def test_letters(spark):
+    texts = spark.createDataFrame([(1, "Zé a-b\nXYZ"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["contig_id"]: r["seq"] for r in fasta.letters_as_bases(texts, "doc_id", "text").collect()}
+    assert got == {r["doc_id"]: r["s"] for r in texts.select("doc_id", S.dna_of(F.col("text")).alias("s")).collect()}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.fa").write_text(">a\nACGT\n>b\nGG\n")
