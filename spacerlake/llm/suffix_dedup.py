@@ -42,8 +42,8 @@ INDEX_UNITS = 1024
 PASSAGE, PASSAGE_GRAM, PASSAGE_STEP = 51, 8, 8
 #: Symbols of a text looked at together; longer texts are taken in pieces that overlap.
 PIECE = 8 << 20
-#: Longest period of stretches that are taken from the text alone, and symbols for each anchor under which they are looked for.
-PERIODS, DENSE = 64, 24
+#: Longest period of stretches that are taken from the text alone; they are looked for in texts with over DENSE / 2 times the anchors of a random text.
+PERIODS, DENSE = 64, 8
 _PLACE_BITS = 24
 
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
@@ -103,7 +103,7 @@ def anchors(data: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tup
         least = _sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
         firsts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         lasts = np.concatenate([firsts[1:], [len(least)]]) - 1
-        if len(firsts) * DENSE > len(own):
+        if len(firsts) * (length - gram + 2) > DENSE * len(own):  # a random text has one for each half of a window's places
             dense = True
             skip = np.zeros(len(least) + 1, np.int64)
             for a, b, period in periodic(own, length):
