@@ -21,28 +21,24 @@ Defined results: a null text is empty; null doc_ids come first; an empty table g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stored, table
 
 MIN_NEAR = 16
-#: Parts of a line; one of LONG characters or more has parts of about PART characters, so that none makes more variants than that.
-PARTS, LONG, PART = 2, 2048, 256
+#: A line of less than LONG characters has two parts; others have parts of PART characters, or of the root of their length where that is more.
+LONG, PART = 2048, 256
 
 _ROW = ["doc_id", "tie"]
 _HASH = ["h1", "h2"]
-#: Coarse variants of `line`: grid, part, key, and the part's text. The line counts on its own grid (longer = 0) and as the longer line on that of one character less.
-_N_PARTS = f"if(length(line) - longer < {LONG}, {PARTS}, cast((length(line) - longer) div {PART} AS int))"
-_COARSE = f"""
-flatten(transform(array(0, 1), longer -> transform(
-  sequence(0, {_N_PARTS} - 1),
-  i -> transform(array(named_struct('a', cast((length(line) - longer) * i div {_N_PARTS} AS int),
-                                    'b', cast((length(line) - longer) * (i + 1) div {_N_PARTS} AS int) + longer)),
-    s -> named_struct('key', xxhash64(length(line) - longer, i, substring(line, 1, s.a), substring(line, s.b + 1)), 'longer', longer, 'part', substring(line, s.a + 1, s.b - s.a)))[0])))
+#: Coarse variants of `line` on a grid of less than LONG characters, that of n - longer: key, longer, and the part's text; n is its length.
+_HALVES = """
+array(named_struct('key', xxhash64(n - {longer}, 0, '', substring(line, (n - {longer}) div 2 + {longer} + 1)), 'longer', {longer}, 'part', substring(line, 1, (n - {longer}) div 2 + {longer})),
+      named_struct('key', xxhash64(n - {longer}, 1, substring(line, 1, (n - {longer}) div 2), ''), 'longer', {longer}, 'part', substring(line, (n - {longer}) div 2 + 1)))
 """
-
-
 #: The keys alone of a line of less than LONG characters, in flat expressions; n is its length. Its two parts on both grids.
 _HALF_KEYS = """
 array(xxhash64(n, 0, '', substring(line, n div 2 + 1)), xxhash64(n, 1, substring(line, 1, n div 2), ''),
@@ -50,6 +46,49 @@ array(xxhash64(n, 0, '', substring(line, n div 2 + 1)), xxhash64(n, 1, substring
 """
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chain(hashes: Column) -> Column:
+    """A hash of each beginning of an array of hashes, from the empty one on."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), x))))
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+
+
+def _long_parts(longer: int) -> Column:
+    """The same on a grid of LONG characters or more, in time proportional to the line: each piece is hashed once, and what stands before and after a part is told by chains of these hashes.
+
+    `before` are the line's pieces, `behind` those of the line without its first character where it is the longer one. Parts of the root of the
+    length keep both the chains (pieces by pieces) and a part's variants (characters by characters) at the line's length.
+    """
+    line, grid = F.col("line"), F.col("n") - longer
+    size = F.greatest(F.lit(PART), F.ceil(F.sqrt(grid)).cast("int"))
+    cut = F.struct(_pieces(line, size).alias("before"), (_pieces(F.expr("substring(line, 2)"), size) if longer else _pieces(line, size)).alias("behind"))
+
+    def chained(s: Column) -> Column:
+        left, right = (F.transform(s[x], lambda piece: F.xxhash64(piece)) for x in ("before", "behind"))
+        return F.struct(s["before"].alias("before"), s["behind"].alias("behind"), _chain(left).alias("lefts"), _chain(F.reverse(right)).alias("rights"))
+
+    def parts(s: Column) -> Column:
+        def part(piece: Column, i: Column) -> Column:
+            key = F.xxhash64(grid, i, s["lefts"][i], s["rights"][F.size(s["behind"]) - 1 - i])
+            return F.struct(key.alias("key"), F.lit(longer).alias("longer"), (F.concat(F.left(s["before"][i], F.lit(1)), piece) if longer else piece).alias("part"))
+
+        return F.transform(s["behind"], part)
+
+    return _named(_named(cut, chained), parts)
+
+
+def _coarse() -> Column:
+    """Coarse variants of `line` of n characters: it counts on its own grid (longer = 0), and as the longer line on that of one character less."""
+    return F.concat(*(F.when(F.col("n") - longer < LONG, F.expr(_HALVES.format(longer=longer))).otherwise(_long_parts(longer)) for longer in (0, 1)))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("tie"), F.split(text, "\n", -1).alias("lines"))
@@ -67,7 +106,7 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the different lines that have an earlier line within the bound."""
     long_ = _lines(docs).withColumn("n", F.length("line")).where(F.col("n") >= MIN_NEAR)
-    own_keys = F.when(F.col("n") < LONG, F.expr(_HALF_KEYS)).otherwise(F.expr(f"transform({_COARSE}, x -> x.key)"))
+    own_keys = F.when(F.col("n") < LONG, F.expr(_HALF_KEYS)).otherwise(F.transform(_coarse(), lambda x: x["key"]))
     keys = long_.select("h1", "n", "line").select("h1", F.explode(own_keys).alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), "line-keys")
     hashes = keys.join(shared, "key", "left_semi").select("h1").distinct()
@@ -77,7 +116,7 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = rows.join(places, _same_row(rows, places)).select("lines", F.explode("places").alias("p")).select("p.first", "p.h1", "p.h2", F.trim(F.expr("lines[p.at]")).alias("line")).dropDuplicates(_HASH)
     texts = stored(texts, "line-texts")
 
-    parts = texts.select("first", *_HASH, F.explode(F.expr(_COARSE)).alias("c")).select("first", *_HASH, "c.*").join(shared, "key", "left_semi")
+    parts = texts.withColumn("n", F.length("line")).select("first", *_HASH, F.explode(_coarse()).alias("c")).select("first", *_HASH, "c.*").join(shared, "key", "left_semi")
     # an own row stands for the line itself; the others for the part without one character
     variants = parts.select("first", *_HASH, F.explode(F.expr("""
         concat(

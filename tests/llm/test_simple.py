@@ -223,6 +223,23 @@ def test_long_lines(spark):
     assert sum(got[5]) >= 3950
 
 
+def test_lines_at_the_ends_of_parts(spark):
+    """Edits at each place where the parts of a long line meet, for lengths on either side of a whole number of parts, and code points beyond 16 bits."""
+    rng = random.Random(19)
+    texts, wanted = [], []
+    for n in (2047, 2048, 2049, 2303, 2304, 2305, 4096, 4097):
+        line = "".join(rng.choices("abcdé\U0001f600", k=n))
+        texts.append(line)
+        wanted.append(0)
+        for k in (0, 1, 255, 256, 257, 512, 1023, 1024, n - 257, n - 256, n - 2, n - 1):
+            texts.append(rng.choice([line[:k] + "z" + line[k:], line[:k] + line[k + 1 :], line[:k] + "y" + line[k + 1 :]]))
+            wanted.append(1)
+        texts.append(line[:300] + "xy" + line[302:])
+        wanted.append(0)
+    got = {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == wanted
+
+
 def test_long_conversation(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_end|>" * 3, 0, 0) for t in range(9000)]
     got = chat_format.read_turns(chat_format.format_conversations(spark.createDataFrame(rows, TURN))).first()
