@@ -257,3 +257,20 @@ def test_searches_have_no_time_limit(spark, monkeypatch):
     assert asked and not any("timeout" in b for b in asked)
     found = search.fuzzy_search(spark.createDataFrame([(window, repeat), (None, repeat), ("A", "")], "window string, pattern string"))
     assert found.columns == ["window", "pattern", "hits"] and sorted(len(r["hits"]) for r in found.collect()) == [0, 0, 55]
+
+
+def test_regions_merge_and_expand(spark):
+    rng = random.Random(11)
+    repeat, other = "GTTTTAGAGCTATGCTGTTTTGAATGGTCC", "".join(rng.choices("ACGT", k=150))
+    spacers = ["".join(rng.choices("ACGT", k=32)) for _ in range(4)]
+    half = repeat + spacers[0] + repeat
+    contig = other + half + spacers[1] + half[:20] + spacers[2] + repeat + spacers[3] + repeat + other[::-1]
+    df = spark.createDataFrame([(1, contig), (2, ""), (3, None)], "contig_id long, seq string")
+    found = plan.regions(df).collect()
+    assert len(found) == 1 and found[0]["begin"] == 150
+    assert {repeat[1:-2], repeat[3:-3], repeat[:-1]} <= set(found[0]["repeats"])  # trims of the pattern
+    rows = plan.searches(df).collect()
+    assert sorted(r["pattern"] for r in rows) == found[0]["repeats"]
+    assert all(r["window"] == contig[r["window_start"] : r["window_end"]] for r in rows)
+    near = plan.regions(df, seeds=pairs.near_repeat_pairs).collect()
+    assert set(found[0]["repeats"]) & set(near[0]["repeats"])
