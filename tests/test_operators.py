@@ -269,7 +269,7 @@ def test_regions_merge_and_expand(spark):
     found = plan.regions(df).collect()
     assert len(found) == 1 and found[0]["begin"] == 150
     assert {repeat[1:-2], repeat[3:-3], repeat[:-1]} <= set(found[0]["repeats"])  # trims of the pattern
-    rows = plan.searches(df).collect()
+    rows = plan.searches(df, expanded=True).collect()
     assert sorted(r["pattern"] for r in rows) == found[0]["repeats"]
     assert all(r["window"] == contig[r["window_start"] : r["window_end"]] for r in rows)
     near = plan.regions(df, seeds=pairs.near_repeat_pairs).collect()
