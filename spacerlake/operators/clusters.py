@@ -49,14 +49,14 @@ def cluster_windows(clusters: DataFrame, contigs: DataFrame, flank: int = FLANK)
 NEAR_GAP, FAR_GAP, SIZES_OF_ONE, SIZES_OF_MORE = 100, 500, [(0, 160)], [(1, 160), (2, 180)]
 
 
-def _absorbs(left: dict, right: dict, seq: str) -> bool:
+def _absorbs(left: dict, right: dict) -> bool:
     """Whether the cluster on the left takes in its right neighbour."""
     gap = right["begin"] - left["end"]
     if gap <= 0 or gap < NEAR_GAP and set(left["repeats"]) & set(right["repeats"]):
         return True
     if gap >= FAR_GAP:
         return False
-    between = seq[left["end"] : right["begin"]]
+    between = right["before"][-gap:]
     tests = SIZES_OF_ONE + (SIZES_OF_MORE if right["n_pairs"] > 3 else [])
     cores = [(right["repeats"][at][3:-3], size) for at, size in tests if at < len(right["repeats"])]
     return any(core and between.count(core) >= max(1, gap / size) for core, size in cores)
@@ -65,18 +65,28 @@ def _absorbs(left: dict, right: dict, seq: str) -> bool:
 def merge_neighbours(clusters: DataFrame, contigs: DataFrame) -> DataFrame:
     """Merges neighbouring clusters of a contig until no two merge; a merge tests the new cluster's left neighbour again.
 
-    State is one contig's clusters at a time, which is what the rule needs.
+    A cluster carries the FAR_GAP letters before it, which is all of the sequence that the rule looks at; state is one contig's clusters at a time.
     """
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        seq, done = rows["seq"].iloc[0] or "", []
+        done: list[dict] = []
         for row in rows.sort_values(["begin", "end"]).to_dict("records"):
             new = {**row, "repeats": list(row["repeats"])}
-            while done and _absorbs(done[-1], new, seq):
+            while done and _absorbs(done[-1], new):
                 old = done.pop()
                 new = {**old, "end": max(old["end"], new["end"]), "n_pairs": old["n_pairs"] + new["n_pairs"], "repeats": sorted({*old["repeats"], *new["repeats"]})}
             done.append(new)
         return pd.DataFrame(done)[["contig_id", "cluster_id", "begin", "end", "n_pairs", "repeats"]]
 
-    whole = clusters.join(contigs.select("contig_id", "seq"), "contig_id")
+    first = F.greatest(F.col("begin") - FAR_GAP, F.lit(0))
+    cut = F.substr("seq", (first + 1).cast("int"), (F.col("begin") - first).cast("int"))
+    whole = clusters.join(contigs.select("contig_id", "seq"), "contig_id").select("contig_id", "cluster_id", "begin", "end", "n_pairs", "repeats", F.coalesce(cut, F.lit("")).alias("before"))
     return whole.groupBy("contig_id").applyInPandas(merge, "contig_id bigint, cluster_id bigint, begin bigint, end bigint, n_pairs bigint, repeats array<string>")
+
+
+def summary_of(numbered: DataFrame) -> DataFrame:
+    """(contig_id, cluster_id, begin, end, n_pairs, repeats) of numbered maximal pairs, which carry their repeats: no sequence is needed. end is that of the last pair's second copy."""
+    last = F.struct("begin_first", "begin_second", "length_second")
+    return numbered.groupBy("contig_id", "cluster_id").agg(
+        F.min("begin_first").alias("begin"), F.max_by(F.col("begin_second") + F.col("length_second"), last).alias("end"), F.count("*").alias("n_pairs"), F.array_sort(F.collect_set("repeat")).alias("repeats"),
+    )

@@ -1,6 +1,6 @@
-"""Refinement of candidate arrays: extension into the flanks, and letters that moved between repeat and spacer.
+"""Refinement of candidate arrays: the consensus matched again, extension into the flanks, and letters that moved between repeat and spacer.
 
-Both keep the state of one array, a row; each is a small helper in an Arrow UDF.
+All keep the state of one array, a row; the consensus strings of a batch are matched in their flanks together (operators.matching).
 """
 
 from __future__ import annotations
@@ -9,55 +9,77 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import align
+from .matching import Matches, match_all
+from .search import align, dealt
 
-STEP, MARGIN, MOST_EDITS = 150, 30, 6
+#: Letters looked at in a step, added to the longest spacer, and around an array when it is matched again.
+STEP, MARGIN, AROUND = 150, 30, 5
 ARRAY = "struct<repeats:array<string>,spacers:array<string>,starts:array<int>>"
 
 
-def _best(pattern: str, text: str, edits: int):
-    import regex
+def rematched(found: Matches, seq: str, repeats: list[str], spacers: list[str], starts: list[int], around: int = AROUND) -> tuple[list[str], list[str], list[int]]:
+    """The array as the consensus' matches in it and `around` letters on either side show it; as it was, if there are none."""
+    near = found.within(max(0, starts[0] - around), starts[-1] + len(repeats[-1]) + around)
+    hits = near.apart()
+    if not hits:
+        return list(repeats), list(spacers), list(starts)
+    begins, ends = [int(near.starts[k]) for k in hits], [int(near.ends[k]) for k in hits]
+    return [seq[a:b] for a, b in zip(begins, ends, strict=True)], [seq[a:b] for a, b in zip(ends, begins[1:], strict=False)], begins
 
-    return regex.search(f"(?be)(?:{regex.escape(pattern)}){{e<={edits}}}", text) if text else None
 
+def extend(seq: str, consensus: str, repeats: list[str], spacers: list[str], starts: list[int], left: int, right: int, margin: int = MARGIN, found: Matches | None = None) -> tuple[list[str], list[str], list[int]]:
+    """Adds copies of the consensus on either side while the best one of a step lies within reach: a spacer of the longest one's length and the margin more.
 
-def extend(seq: str, consensus: str, repeats: list[str], spacers: list[str], starts: list[int], left: int, right: int, edits: int = MOST_EDITS, margin: int = MARGIN) -> tuple[list[str], list[str], list[int]]:
-    """Adds copies of the consensus on either side while one lies within reach: a spacer of the longest one's length and the margin more.
-
-    left and right bound the search in the sequence.
+    left and right bound the search in the sequence; found: the consensus' matches in it.
     """
     repeats, spacers, starts = list(repeats), list(spacers), list(starts)
+    found = match_all([seq], [[consensus]])[0][0] if found is None else found
     longest = max(map(len, spacers), default=0) + margin
     while True:
         end = starts[-1] + len(repeats[-1])
-        reach = seq[end : min(right, end + STEP)]
-        hit = _best(consensus, reach, edits)
-        if not hit or not 0 < hit.start() <= longest:
+        step = found.within(end, min(right, end + STEP))
+        k = step.best()
+        if k is None or not 0 < step.starts[k] - end <= longest:
             break
-        spacers.append(reach[: hit.start()])
-        repeats.append(hit.group())
-        starts.append(end + hit.start())
+        at = int(step.starts[k])
+        spacers.append(seq[end:at])
+        repeats.append(seq[at : int(step.ends[k])])
+        starts.append(at)
     while True:
-        low = max(left, starts[0] - STEP)
-        reach = seq[low : starts[0]]
-        hit = _best(consensus, reach, edits)
-        if not hit or not 0 < len(reach) - hit.end() <= longest:
+        step = found.within(max(left, starts[0] - STEP), starts[0])
+        k = step.best()
+        if k is None or not 0 < starts[0] - step.ends[k] <= longest:
             break
-        spacers.insert(0, reach[hit.end() :])
-        repeats.insert(0, hit.group())
-        starts.insert(0, low + hit.start())
+        at, end = int(step.starts[k]), int(step.ends[k])
+        spacers.insert(0, seq[end : starts[0]])
+        repeats.insert(0, seq[at:end])
+        starts.insert(0, at)
     return repeats, spacers, starts
 
 
+def suspicious(sizes: list[int]) -> list[int]:
+    """The numbers of spacers whose two neighbours on each side (at the ends, those there are) agree in length, and differ from it; of at most two spacers, all."""
+    if len(sizes) <= 2:
+        return [*range(len(sizes))]
+    found = []
+    for k, own in enumerate(sizes):
+        near = {0: sizes[1:3], 1: [sizes[0], sizes[2], *sizes[3:4]]}.get(k)
+        if near is None:
+            near = {1: sizes[-3:-1], 2: [*sizes[-4:-2], sizes[-1]]}.get(len(sizes) - k) or [*sizes[k - 2 : k], *sizes[k + 1 : k + 3]]
+        if len({*near}) == 1 and near[0] != own:
+            found.append(k)
+    return found
+
+
 def settle(consensus: str, repeats: list[str], spacers: list[str], starts: list[int]) -> tuple[list[str], list[str], list[int]]:
-    """Gives an end letter of a repeat longer than the consensus back to the spacer beside it, where this doesn't add edits."""
+    """Beside a suspicious spacer, gives an end letter of a repeat longer than the consensus back to the spacer, where this doesn't add edits: the array's total doesn't grow."""
 
     def edits(text: str) -> int:
         cells = align(text, consensus)
         return sum(len(c) if k % 2 == 0 else c != consensus[k // 2] for k, c in enumerate(cells))
 
     repeats, spacers, starts = list(repeats), list(spacers), list(starts)
-    for k in range(len(spacers)):
+    for k in suspicious([len(x) for x in spacers]):
         left, right = repeats[k], repeats[k + 1]
         if len(left) > len(consensus) and edits(left[:-1]) <= edits(left):
             repeats[k], spacers[k] = left[:-1], left[-1] + spacers[k]
@@ -67,16 +89,21 @@ def settle(consensus: str, repeats: list[str], spacers: list[str], starts: list[
 
 
 def _refined(rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
+    flanks, out = {}, []  # arrays of one region have one flank
+    for flank, consensus in zip(rows["flank"], rows["consensus"], strict=True):
+        flanks.setdefault(flank, {}).setdefault(consensus, len(flanks[flank]))
+    matches = dict(zip(flanks, match_all(list(flanks), [list(x) for x in flanks.values()]), strict=True))
     for r in rows.itertuples(index=False):
-        found = settle(r.consensus, *extend(r.flank, r.consensus, r.repeats, r.spacers, [int(x) - r.flank_start for x in r.starts], 0, len(r.flank)))
-        out.append((list(found[0]), list(found[1]), [x + r.flank_start for x in found[2]]))
+        found = matches[r.flank][flanks[r.flank][r.consensus]]
+        own = rematched(found, r.flank, r.repeats, r.spacers, [int(x) - r.flank_start for x in r.starts])
+        repeats, spacers, starts = settle(r.consensus, *extend(r.flank, r.consensus, *own, r.left, r.right, found=found))
+        out.append((repeats, spacers, [x + r.flank_start for x in starts]))
     return pd.DataFrame(out, columns=["repeats", "spacers", "starts"])
 
 
 def refine(arrays: DataFrame) -> DataFrame:
-    """Replaces repeats, spacers and starts of rows (consensus, flank, flank_start, repeats, spacers, starts): flank is the sequence around, from flank_start."""
-    own = F.struct("consensus", "flank", F.col("flank_start").cast("int").alias("flank_start"), "repeats", "spacers", "starts")
-    found = arrays.withColumn("_found", F.pandas_udf(_refined, ARRAY)(own))
+    """Replaces repeats, spacers and starts of rows (consensus, flank, flank_start, left, right, repeats, spacers, starts): flank is the sequence around, from flank_start; left and right bound the extension in it."""
+    own = F.struct("consensus", "flank", F.col("flank_start").cast("int").alias("flank_start"), "left", "right", "repeats", "spacers", "starts")
+    found = dealt(arrays, "flank", F.right("consensus", F.lit(8))).withColumn("_found", F.pandas_udf(_refined, ARRAY)(own))
     rest = [c for c in arrays.columns if c not in ("repeats", "spacers", "starts")]
     return found.select(*rest, "_found.repeats", "_found.spacers", "_found.starts")

@@ -47,7 +47,7 @@ def orientation_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.fuzzy_search(plan.searches(contigs(spark, sf_dir)))
+    found = plan.searches(contigs(spark, sf_dir))
     return found.select("contig_id", "cluster_id", "pattern", F.posexplode("hits").alias("hit", "h")).select("contig_id", "cluster_id", "pattern", "hit", "h.start", "h.end", "h.text", F.col("h.s").alias("substitutions"), F.col("h.i").alias("insertions"), F.col("h.d").alias("deletions"))
 
 

@@ -135,6 +135,29 @@ def near_repeat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_repeat_pairs(contigs(spark, sf_dir))
 
 
+_SEED = (K - 1) // 2
+#: (more letters in the first copy, more in the second): a letter replaced, more in the second, more in the first; behind the run (1) or before it (-1).
+_WAYS = ", ".join(f"({w}, {a}, {b}, {side})" for w, (a, b, side) in enumerate((a, b, side) for a, b in ((1, 1), (0, 1), (1, 0)) for side in (1, -1)))
+
+
+@query(f"""WITH {CONTIGS},
+km AS (SELECT contig_id, b, substr(seq, b + 1, {_SEED}) AS k FROM (SELECT contig_id, seq, unnest(range(0, len(seq) - {_SEED - 1})) AS b FROM contigs WHERE len(seq) >= {K})),
+sd AS (SELECT x.contig_id, y.b - x.b AS d, x.b FROM km x JOIN km y ON x.contig_id = y.contig_id AND x.k = y.k AND y.b - x.b BETWEEN 1 AND {pairs.REACH + 1}),
+rn AS (SELECT contig_id, d, min(b) AS s, max(b) + {_SEED} AS e FROM (SELECT *, b - row_number() OVER (PARTITION BY contig_id, d ORDER BY b) AS g FROM sd) GROUP BY contig_id, d, g),
+wy AS (SELECT rn.*, w, ma, mb, side, CASE WHEN side = 1 THEN e + ma ELSE s - ma END AS x, CASE WHEN side = 1 THEN e + d + mb ELSE s + d - mb END AS y FROM rn, (VALUES {_WAYS}) t(w, ma, mb, side)),
+nr AS (SELECT wy.*, CASE WHEN y <= x THEN 0 WHEN side = 1 THEN len(list_filter(range(1, {_SEED + 1}), lambda t: y + t <= len(seq) AND substr(seq, x + 1, t) = substr(seq, y + 1, t)))
+  ELSE len(list_filter(range(1, {_SEED + 1}), lambda t: x - t >= 0 AND y <= len(seq) AND substr(seq, x - t + 1, t) = substr(seq, y - t + 1, t))) END AS n FROM wy JOIN contigs USING (contig_id)),
+fr AS (SELECT nr.*, CASE WHEN n < {_SEED} THEN n WHEN side = 1 THEN r.e - x ELSE x - r.s END AS m
+  FROM nr LEFT JOIN rn r ON n = {_SEED} AND r.contig_id = nr.contig_id AND r.d = y - x AND x - CASE WHEN side = 1 THEN 0 ELSE 1 END BETWEEN r.s AND r.e - 1),
+gr AS (SELECT contig_id, d, s, -1 AS w, s AS b1, s + d AS b2, e - s AS l1, e - s AS l2, 0 AS edits FROM rn
+  UNION ALL SELECT contig_id, d, s, w, CASE WHEN side = 1 THEN s ELSE x - m END, CASE WHEN side = 1 THEN s + d ELSE y - m END, e - s + ma + m, e - s + mb + m, 1 FROM fr WHERE m > 0),
+ok AS (SELECT *, row_number() OVER (PARTITION BY contig_id, d, s ORDER BY l1 + l2 DESC, w) AS o FROM gr WHERE least(l1, l2) >= {K} AND b2 - b1 - l1 BETWEEN {pairs.GAP[0]} AND {pairs.GAP[1]} AND b2 - b1 BETWEEN 1 AND {pairs.REACH})
+SELECT DISTINCT contig_id, b1 AS begin_first, b2 AS begin_second, CAST(l1 AS INT) AS length_first, CAST(l2 AS INT) AS length_second, edits, substr(seq, b1 + 1, least(l1, {pairs.LONGEST})) AS repeat FROM ok JOIN contigs USING (contig_id) WHERE o = 1""")
+def maximal_repeat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of at most one edit, letters put in or left out included, as long as they can be."""
+    return pairs.maximal_pairs(contigs(spark, sf_dir))
+
+
 def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-mers of a cluster's pairs as the rows of an alignment, the sources' line beginnings of K letters being far less alike."""
     own = contigs(spark, sf_dir)
