@@ -5,6 +5,8 @@ All keep the state of one array, a row; the consensus strings of a batch are mat
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,19 +73,20 @@ def suspicious(sizes: list[int]) -> list[int]:
     return found
 
 
-def settle(consensus: str, repeats: list[str], spacers: list[str], starts: list[int]) -> tuple[list[str], list[str], list[int]]:
-    """Beside a suspicious spacer, gives an end letter of a repeat longer than the consensus back to the spacer, where this doesn't add edits: the array's total doesn't grow."""
+@lru_cache(1 << 16)
+def _edits(text: str, consensus: str) -> int:
+    cells = align(text, consensus)
+    return sum(len(c) if k % 2 == 0 else c != consensus[k // 2] for k, c in enumerate(cells))
 
-    def edits(text: str) -> int:
-        cells = align(text, consensus)
-        return sum(len(c) if k % 2 == 0 else c != consensus[k // 2] for k, c in enumerate(cells))
 
+def settle(consensus: str, repeats: list[str], spacers: list[str], starts: list[int]) -> tuple[list[str], list[str], list[int]]:
+    """Beside a suspicious spacer, gives an end letter of a repeat longer than the consensus back to the spacer, where this doesn't add edits: the array's total doesn't grow."""
     repeats, spacers, starts = list(repeats), list(spacers), list(starts)
     for k in suspicious([len(x) for x in spacers]):
         left, right = repeats[k], repeats[k + 1]
-        if len(left) > len(consensus) and edits(left[:-1]) <= edits(left):
+        if len(left) > len(consensus) and _edits(left[:-1], consensus) <= _edits(left, consensus):
             repeats[k], spacers[k] = left[:-1], left[-1] + spacers[k]
-        if len(right) > len(consensus) and edits(right[1:]) <= edits(right):
+        if len(right) > len(consensus) and _edits(right[1:], consensus) <= _edits(right, consensus):
             repeats[k + 1], spacers[k], starts[k + 1] = right[1:], spacers[k] + right[0], starts[k + 1] + 1
     return repeats, spacers, starts
 

@@ -200,3 +200,45 @@ def test_neighbours_share_no_repeat(spark):
     rows[1] = (*rows[1][:5], [second_at + 62 * k for k in range(5)], "k", 0, second_at, second_at + 278, 0.9, True, "bona_fide")
     alone = plan.refined(plan.A.features(spark.createDataFrame(rows, schema)), spark.createDataFrame([(1, near)], "contig_id long, seq string"), plan.A.Limits()).collect()
     assert [len(r["starts"]) for r in alone] == [5, 5]
+
+
+# alignment
+
+
+def test_alignments_have_least_edits():
+    rng = random.Random(6)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs_ = [("".join(rng.choices("ACG", k=rng.randrange(0, 12))), "".join(rng.choices("ACG", k=rng.randrange(0, 12)))) for _ in range(300)] + [("", ""), ("A", ""), ("", "AC")]
+    for (text, pattern), cells in zip(pairs_, search.align_pairs(*map(list, zip(*pairs_, strict=True))), strict=True):
+        assert len(cells) == 2 * len(pattern) + 1 and "".join(cells).replace("-", "") == text and all(len(c) == 1 for c in cells[1::2])
+        assert sum(len(c) if k % 2 == 0 else c != pattern[k // 2] for k, c in enumerate(cells)) == distance(text, pattern)
+
+
+def test_families_with_shifted_insertions(spark):
+    """Where each member has an insertion of its own, an alignment around one member makes a column for each; together they agree on the planted string."""
+    from spacerlake.operators import approximate, multiple
+
+    rng = random.Random(7)
+    for _ in range(10):
+        planted = "".join(rng.choices("ACGT", k=36))
+        long = planted[:12] + "TTGACA" + planted[12:]  # two families: with six letters more, and without
+        family = [planted[:k] + rng.choice("ACGT") + planted[k:] for k in (5, 20, 30)] + [planted] * 3 + [planted[3:], planted[:-2]]
+        rows = multiple.align_together(family)
+        assert len({len(r) for r in rows}) == 1 and [r.replace("-", "") for r in rows] == family
+        columns_ = ["".join(c) for c in zip(*rows, strict=True)]
+        agreed = "".join(max("ACGT-", key=c.count) for c in columns_).replace("-", "")
+        assert agreed == planted
+        both = multiple.align_together([*family, long, long[:-1], long[1:]])
+        assert [r.replace("-", "") for r in both] == [*family, long, long[:-1], long[1:]] and max(map(len, both)) <= len(long) + 4
+    assert multiple.align_together([]) == [] and multiple.align_together(["A", "A"]) == ["A", "A"] and multiple.align_together(["", "AC", "GG"])[1].replace("-", "") == "AC"
+    rows = spark.createDataFrame([(1, family), (2, ["AC", "AC"])], "k int, repeats array<string>")
+    found = approximate.consensus_repeats(rows, ["k"]).collect()
+    assert [(r["k"], r["shortest"] in r["longest"]) for r in found] == [(1, True)]

@@ -262,7 +262,7 @@ def test_regions_merge_and_expand(spark):
     contig = other + half + spacers[1] + half[:20] + spacers[2] + repeat + spacers[3] + repeat + other[::-1]
     df = spark.createDataFrame([(1, contig), (2, ""), (3, None)], "contig_id long, seq string")
     found = plan.regions(df).collect()
-    assert len(found) == 1 and found[0]["begin"] == 150
+    assert len(found) == 1 and abs(found[0]["begin"] - 150) <= 2  # a letter put in may be followed by a chance letter
     assert {repeat[1:-2], repeat[3:-3], repeat[:-1]} <= set(found[0]["repeats"])  # trims of the pattern
     rows = plan.searches(df).collect()
     assert sorted(r["pattern"] for r in rows) == found[0]["repeats"]
