@@ -88,8 +88,20 @@ def flanks(rows: DataFrame, key: str, start: str, end: str, flank: Column, far:
     """Adds left_bound and right_bound: a whole flank towards a far neighbour, half the gap towards a near one, none where they overlap."""
     w = Window.partitionBy(key).orderBy(start, end)
     before, after = F.col(start) - F.lag(end).over(w), F.lead(start).over(w) - F.col(end)
+    return rows.withColumns({"left_bound": F.col(start) - share_of_gap(before, flank, far), "right_bound": F.col(end) + share_of_gap(after, flank, far)})
 
-    def share(gap: Column) -> Column:
-        return F.when(gap.isNull() | (gap > far), flank).when(gap <= 0, F.lit(0)).otherwise(F.floor(gap / 2))
 
-    return rows.withColumns({"left_bound": F.col(start) - share(before), "right_bound": F.col(end) + share(after)})
+def share_of_gap(gap: Column, flank: Column, far: Column) -> Column:
+    return F.when(gap.isNull() | (gap > far), flank).when(gap <= 0, F.lit(0)).otherwise(F.floor(gap / 2))
+
+
+def group_flanks(rows: DataFrame, key: str, group: list[str], start: str, end: str, counts: Column, flank: Column, far: Column) -> DataFrame:
+    """Adds left_bound and right_bound of each row's group: the flanks of the groups' extents, of the rows that count; null for the others. Windows only, so rows are made once.
+
+    A group's neighbours are the farthest end of those that begin before it and the nearest begin of those behind.
+    """
+    w = Window.partitionBy(*group)
+    marked = rows.withColumns({"_first": F.when(counts, F.min(F.when(counts, F.col(start))).over(w)), "_last": F.when(counts, F.max(F.when(counts, F.col(end))).over(w))})
+    ahead, behind = (Window.partitionBy(key).orderBy(o).rangeBetween(Window.unboundedPreceding, -1) for o in (F.asc("_first"), F.desc("_first")))
+    near = marked.withColumns({"_before": F.col("_first") - F.max("_last").over(ahead), "_after": F.min("_first").over(behind) - F.col("_last")})
+    return near.withColumns({"left_bound": F.col("_first") - share_of_gap(F.col("_before"), flank, far), "right_bound": F.col("_last") + share_of_gap(F.col("_after"), flank, far)}).drop("_first", "_last", "_before", "_after")

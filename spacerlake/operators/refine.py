@@ -92,20 +92,26 @@ def settle(consensus: str, repeats: list[str], spacers: list[str], starts: list[
 
 
 def _refined(rows: pd.DataFrame) -> pd.DataFrame:
-    flanks, out = {}, []  # arrays of one region have one flank
+    flanks: dict[str, dict[str, int]] = {}  # arrays of one region have one flank
     for flank, consensus in zip(rows["flank"], rows["consensus"], strict=True):
-        flanks.setdefault(flank, {}).setdefault(consensus, len(flanks[flank]))
+        if flank is not None:
+            own = flanks.setdefault(flank, {})
+            own.setdefault(consensus, len(own))
     matches = dict(zip(flanks, match_all(list(flanks), [list(x) for x in flanks.values()]), strict=True))
+    out = []
     for r in rows.itertuples(index=False):
-        found = matches[r.flank][flanks[r.flank][r.consensus]]
-        own = rematched(found, r.flank, r.repeats, r.spacers, [int(x) - r.flank_start for x in r.starts])
-        repeats, spacers, starts = settle(r.consensus, *extend(r.flank, r.consensus, *own, r.left, r.right, found=found))
-        out.append((repeats, spacers, [x + r.flank_start for x in starts]))
+        if r.flank is None:
+            out.append((list(r.repeats), list(r.spacers), list(r.starts)))
+            continue
+        found, shift = matches[r.flank][flanks[r.flank][r.consensus]], int(r.flank_start)
+        own = rematched(found, r.flank, r.repeats, r.spacers, [int(x) - shift for x in r.starts])
+        repeats, spacers, starts = settle(r.consensus, *extend(r.flank, r.consensus, *own, int(r.left), int(r.right), found=found))
+        out.append((repeats, spacers, [x + shift for x in starts]))
     return pd.DataFrame(out, columns=["repeats", "spacers", "starts"])
 
 
 def refine(arrays: DataFrame) -> DataFrame:
-    """Replaces repeats, spacers and starts of rows (consensus, flank, flank_start, left, right, repeats, spacers, starts): flank is the sequence around, from flank_start; left and right bound the extension in it."""
+    """Replaces repeats, spacers and starts of rows (consensus, flank, flank_start, left, right, repeats, spacers, starts): flank is the sequence around, from flank_start; left and right bound the extension in it. Rows without a flank stay as they are."""
     own = F.struct("consensus", "flank", F.col("flank_start").cast("int").alias("flank_start"), "left", "right", "repeats", "spacers", "starts")
     found = dealt(arrays, "flank", F.right("consensus", F.lit(8))).withColumn("_found", F.pandas_udf(_refined, ARRAY)(own))
     rest = [c for c in arrays.columns if c not in ("repeats", "spacers", "starts")]
