@@ -100,7 +100,7 @@ class _Runs:
 
 
 def grown_pairs(seq: str, least: int = K, gap: tuple[int, int] = GAP, reach: int = REACH, borders: np.ndarray | None = None) -> np.ndarray:
-    """Rows (begin_first, begin_second, length_first, length_second, edits): what maximal_pairs tells of one sequence, or of several with a letter that equals nothing between them, which begin at the borders."""
+    """Rows (begin_first, begin_second, length_first, length_second, edits): what maximal_pairs tells of one sequence, or of several with two letters that equal nothing between them, which begin at the borders."""
     if len(seq) < least:
         return np.zeros((0, 5), np.int64)
     runs = _Runs(seq, max(1, (least - 1) // 2), reach + 1, np.zeros(1, np.int64) if borders is None else borders)
@@ -149,8 +149,8 @@ def maximal_pairs(contigs: DataFrame, least: int = K, gap: tuple[int, int] = GAP
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, seqs in _gathered(batches):
-            begins = np.cumsum([0] + [len(x) + 1 for x in seqs])[:-1]
-            found = grown_pairs("N".join(seqs), least, gap, reach, begins)
+            begins = np.cumsum([0] + [len(x) + 2 for x in seqs])[:-1]
+            found = grown_pairs("NN".join(seqs), least, gap, reach, begins)  # an edit goes over one letter, not over two
             owner = np.searchsorted(begins, found[:, 0], side="right") - 1
             first, second = found[:, 0] - begins[owner], found[:, 1] - begins[owner]
             text = [seqs[k][a : a + min(n, longest)] for k, a, n in zip(owner.tolist(), first.tolist(), found[:, 2].tolist(), strict=True)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .matching import Matches, match_all
-from .search import align, dealt
+from .search import dealt
 
 #: Letters looked at in a step, added to the longest spacer, and around an array when it is matched again.
 STEP, MARGIN, AROUND = 150, 30, 5
@@ -74,9 +74,18 @@ def suspicious(sizes: list[int]) -> list[int]:
 
 
 @lru_cache(1 << 16)
-def _edits(text: str, consensus: str) -> int:
-    cells = align(text, consensus)
-    return sum(len(c) if k % 2 == 0 else c != consensus[k // 2] for k, c in enumerate(cells))
+def _edits(a: str, b: str) -> int:
+    """The least edits between two strings; what they begin or end with in common needs none."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
 
 
 def settle(consensus: str, repeats: list[str], spacers: list[str], starts: list[int]) -> tuple[list[str], list[str], list[int]]:

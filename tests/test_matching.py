@@ -146,6 +146,16 @@ def test_maximal_pairs_equal_brute_force():
         assert sorted(map(tuple, pairs.grown_pairs(seq, least, (-10, 100), reach).tolist())) == by_hand(seq, least, (-10, 100), reach)
 
 
+def test_contigs_looked_at_together_stay_apart(spark):
+    rng = random.Random(8)
+    repeat = "".join(rng.choices("ACGT", k=30))
+    seqs = [(k, rng.choice(["", repeat[3:], repeat[:-4], "ACGT" * 9, repeat + "A" + repeat[:22]]) + "".join(rng.choices("AC", k=rng.randrange(30)))) for k in range(200)]
+    got = {}
+    for r in pairs.maximal_pairs(spark.createDataFrame(seqs, "contig_id long, seq string")).collect():
+        got.setdefault(r["contig_id"], []).append((r["begin_first"], r["begin_second"], r["length_first"], r["length_second"], r["edits"]))
+    assert all(sorted(got.get(k, [])) == by_hand(s, pairs.K, pairs.GAP, pairs.REACH) for k, s in seqs) and got
+
+
 def test_planted_insertions_are_found(spark):
     rng = random.Random(4)
     repeat = "GTTTTAGAGCTATGCTGTTTTGAATGGTCC"
