@@ -89,6 +89,20 @@ def _coarse() -> Column:
     return F.concat(*(F.when(F.col("n") - longer < LONG, F.expr(_HALVES.format(longer=longer))).otherwise(_long_parts(longer)) for longer in (0, 1)))
 
 
+def _within_one(a: Column, b: Column) -> Column:
+    """Whether two texts are within one edit. Of long ones the common beginning is found by halving steps, so the time is that of their length, not its square."""
+    n, m = F.length(a), F.length(b)
+
+    def longer(p: Column, step: Column) -> Column:
+        return F.when((p + step <= F.least(n, m)) & (F.substr(a, p + 1, step) == F.substr(b, p + 1, step)), p + step).otherwise(p)
+
+    def rest_equal(p: Column) -> Column:
+        return F.when(n == m, F.substr(a, p + 2) == F.substr(b, p + 2)).when(n == m + 1, F.substr(a, p + 2) == F.substr(b, p + 1)).when(m == n + 1, F.substr(a, p + 1) == F.substr(b, p + 2)).otherwise(False)
+
+    prefix = F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), longer)
+    return F.when((n < LONG) & (m < LONG), F.levenshtein(a, b, 1).between(0, 1)).otherwise(_named(prefix, rest_equal))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("tie"), F.split(text, "\n", -1).alias("lines"))
@@ -130,7 +144,7 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     partner = F.when(F.col("own") | (F.col("longer") == 0), of_others).otherwise(of_own)
     found = variants.select("first", *_HASH, partner.alias("partner")).where(F.col("partner") < F.col("first")).distinct()
     other = texts.select(F.col("first").alias("partner"), F.col("line").alias("other"))
-    verified = found.join(texts.select(*_HASH, "line"), _HASH).join(other, "partner").where(F.levenshtein("line", "other", 1).between(0, 1))
+    verified = found.join(texts.select(*_HASH, "line"), _HASH).join(other, "partner").where(_within_one(F.col("line"), F.col("other")))
     return verified.select(*_HASH).distinct()
 
 

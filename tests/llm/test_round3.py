@@ -222,3 +222,40 @@ def test_planted_quality(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     found = quality_rules.judge(spark.read.parquet(f"{DATA}/documents.parquet")).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
     assert found.where("label = 1 AND NOT base_failed AND NOT kept").count() == 0
+
+
+# line dedup of long lines
+
+
+def test_long_lines_take_time_by_their_length(spark):
+    """Lines of 250,000 characters, with one edit and with two; in seconds, as the check no longer takes the square of their length."""
+    import time
+
+    from spacerlake.llm import line_dedup
+
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdé ", k=250_000)).strip()
+    middle = len(line) // 2
+    other = lambda k, c: line[:k] + c + line[k + 1 :]
+    texts = [line, other(middle, "#"), line[:middle] + line[middle + 1 :], line[:9] + "#" + line[9:], other(5, "#")[:-3] + "##" + line[-1]]
+    start = time.time()
+    got = {r["doc_id"]: (r["n_near"], r["n_repeated"]) for r in line_dedup.dedup_lines(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (0, 0)}
+    assert time.time() - start < 90
+
+
+def test_within_one_edit(spark):
+    from spacerlake.llm import line_dedup
+
+    rng = random.Random(10)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choices("abé", k=rng.randrange(0, 12)))
+        b, k = list(a), rng.randrange(len(a) + 1)
+        b[k : k + rng.choice([0, 1, 2])] = rng.choice(["", "a", "bé"])
+        rows.append((a, "".join(b)))
+    found = spark.createDataFrame(rows, "a string, b string")
+    short = found.select((F.levenshtein("a", "b") <= 1).alias("want"), line_dedup._within_one(F.col("a"), F.col("b")).alias("got")).collect()
+    pad = F.lit("x" * 3000)
+    long_ = found.select((F.levenshtein("a", "b") <= 1).alias("want"), line_dedup._within_one(F.concat(pad, "a"), F.concat(pad, "b")).alias("got"), line_dedup._within_one(F.concat("a", pad), F.concat("b", pad)).alias("ahead")).collect()
+    assert all(r["want"] == r["got"] for r in [*short, *long_]) and all(r["want"] == r["ahead"] for r in long_)
