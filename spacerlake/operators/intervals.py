@@ -1,7 +1,8 @@
 """Joins of intervals: containment, exclusion, gaps and nearest neighbours.
 
-A range join has an equality on its key and, where positions spread widely, on bins of them: a point falls into one
-bin, an interval into each that it touches, so pairs meet in hash joins and never as all pairs of a key.
+A range join has an equality on its key and on bins of positions, so pairs meet in hash joins and never as all pairs of a key. Bins come in levels, each FACTOR times as
+wide as the one below: an interval stands once, in the least bin that holds all of it, and a point is looked for in its bin of each level, of which there are at most LEVELS. So a long interval is
+one row, however narrow the bins are.
 """
 
 from __future__ import annotations
@@ -10,15 +11,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A level's bins are 2^FACTOR_BITS times as wide as those of the level below; the last level has one bin for all that no other holds whole.
+FACTOR_BITS, LEVELS = 3, 20
+
+
+def _bin(x: Column, width: int, level: int) -> Column:
+    return F.lit(0).cast("bigint") if level == LEVELS else F.shiftright(F.floor(x / width).cast("bigint"), FACTOR_BITS * level)
+
+
+def _placed(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Adds the level and bin of the least bin that holds an interval; intervals that end before they start hold nothing and go."""
+    level, bin_ = F.lit(LEVELS), _bin(F.col(start), width, LEVELS)
+    for k in reversed(range(LEVELS)):
+        own = _bin(F.col(start), width, k)
+        whole = own == _bin(F.col(end), width, k)
+        level, bin_ = F.when(whole, k).otherwise(level), F.when(whole, own).otherwise(bin_)
+    return intervals.where(F.col(start) <= F.col(end)).withColumns({"_level": level, "_bin": bin_})
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
-    """points ⋈ intervals with equal keys and start <= at <= end. width: of a bin, best near the usual interval's length."""
-    binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    own = points.withColumn("_bin", F.floor(F.col(at) / width)).alias("p")
-    other = binned.alias("i")
-    hit = (F.col(f"p.{key}") == F.col(f"i.{key}")) & (F.col("p._bin") == F.col("i._bin")) & F.col(f"p.{at}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
-    joined = own.join(other, hit, how)
-    kept = [F.col(f"p.{c}") for c in points.columns]
-    return joined.select(*kept) if how in ("left_semi", "left_anti") else joined.select(*kept, *(F.col(f"i.{c}") for c in intervals.columns if c != key))
+    """points ⋈ intervals with equal keys and start <= at <= end; how: inner, left_semi or left_anti. width: of the least bins, best near the usual interval's length.
+
+    Which levels occur is asked first, at most LEVELS + 1 numbers; points are looked for in these only. Semi and anti joins go from level to level, so a point is told once.
+    """
+    placed = _placed(intervals, start, end, width)
+    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())
+    if how == "inner":
+        bins = F.array(*(F.struct(F.lit(k).alias("_level"), _bin(F.col(at), width, k).alias("_bin")) for k in levels)) if levels else F.lit(None).cast("array<struct<_level:int,_bin:bigint>>")
+        own = points.withColumn("_own", F.explode(bins)).alias("p")
+        hit = (F.col(f"p.{key}") == F.col(f"i.{key}")) & (F.col("p._own._level") == F.col("i._level")) & (F.col("p._own._bin") == F.col("i._bin")) & F.col(f"p.{at}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
+        return own.join(placed.alias("i"), hit).select(*(F.col(f"p.{c}") for c in points.columns), *(F.col(f"i.{c}") for c in intervals.columns if c != key))
+    rest, found = points, points.limit(0)
+    for k in levels:
+        hit = (F.col(f"p.{key}") == F.col(f"i.{key}")) & (_bin(F.col(f"p.{at}"), width, k) == F.col("i._bin")) & F.col(f"p.{at}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
+        of_level = placed.where(F.col("_level") == k).alias("i")
+        if how == "left_semi":
+            found = found.unionByName(rest.alias("p").join(of_level, hit, "left_semi"))
+        rest = rest.alias("p").join(of_level, hit, "left_anti")
+    return found if how == "left_semi" else rest
 
 
 def gaps_between(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:

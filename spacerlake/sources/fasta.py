@@ -56,17 +56,50 @@ def record_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("file").agg(F.count("*").alias("n_records")).withColumn("is_multi", F.col("n_records") != 1)
 
 
+#: Lines of a file that are put in order together.
+CHUNK = 1 << 16
+
+
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): lines of each file with their numbers from 1. A file is one row, as such outputs are small."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line")).where("line <> ''").withColumn("n", F.col("n") + 1)
+    """(file, n, m, line): the lines that aren't empty, with their numbers from 1 in their file, and from 1 in all files by name.
+
+    Files are read in blocks, by as many tasks as Spark cuts them into. A line's number in its block is that of its task less the block's first; the blocks before it, of which there are
+    few, are counted and added up.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r", "").alias("line"))
+    lines = read.where("line <> ''").withColumn("at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    own = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("lines").over(own), F.lit(0)).alias("own"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("all"))
+    place = F.col("at") - F.col("first") + 1
+    return lines.join(starts, ["file", "block"]).select("file", (place + F.col("own")).alias("n"), (place + F.col("all")).alias("m"), "line")
+
+
+def _with_next(lines: DataFrame) -> DataFrame:
+    """Adds after: the line behind, or null. A join on the number, so a long file is not one task."""
+    behind = lines.select("file", (F.col("n") - 1).alias("n"), F.col("line").alias("after"))
+    return lines.join(behind, ["file", "n"], "left")
+
+
+def _with_last(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the last value that isn't null of the line and those before it in its file: within chunks of CHUNK lines, and from the chunks before."""
+    marked = lines.withColumns({"_chunk": F.floor((F.col("n") - 1) / CHUNK), "_value": value})
+    w = Window.partitionBy("file", "_chunk").orderBy("n")
+    inside = marked.withColumn(name, F.last("_value", ignorenulls=True).over(w))
+    ends = marked.where("_value IS NOT NULL").groupBy("file", "_chunk").agg(F.max_by("_value", "n").alias("_end"))
+    # a row for each chunk
+    chunks = marked.select("file", "_chunk").distinct().join(ends, ["file", "_chunk"], "left")
+    earlier = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select("file", "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    return inside.join(carried, ["file", "_chunk"]).withColumn(name, F.coalesce(name, "_carried")).drop("_chunk", "_value", "_carried")
 
 
 def read_repeats(spark: SparkSession, path: str) -> DataFrame:
     """(id, consensus) of a list of repeats by the file's ending: .txt (one a line, ids SAMPLE_n), .tsv or .tab (id, consensus), else FASTA (first line of each sequence)."""
     end = path.rsplit(".", 1)[-1].lower()
     if end == "txt":
-        return _numbered_lines(spark, path).select(F.concat(F.lit("SAMPLE_"), F.row_number().over(Window.orderBy("file", "n"))).alias("id"), F.trim("line").alias("consensus"))
+        return _numbered_lines(spark, path).select(F.concat(F.lit("SAMPLE_"), F.col("m")).alias("id"), F.trim("line").alias("consensus"))
     if end in ("tsv", "tab"):
         return spark.read.csv(path, sep="\t", schema="id string, consensus string")
     first = F.substring_index(F.regexp_replace("value", "^>[^\n]*\n|^[^\n>]*\n", ""), "\n", 1)
@@ -76,7 +109,7 @@ def read_repeats(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path: str, longest: int = 55) -> DataFrame:
     """(file, begin_first, begin_second, length, sequence): a line of `>` and fields (1: length, 2 and 5: starts), the sequence in the next line."""
-    lines = _numbered_lines(spark, path).withColumn("sequence", F.lead("line").over(Window.partitionBy("file").orderBy("n")))
+    lines = _with_next(_numbered_lines(spark, path)).withColumnRenamed("after", "sequence")
     fields = F.split(F.trim("line"), r"\s+")
     return lines.where("line LIKE '>%'").select(
         "file", F.get(fields, F.lit(2)).cast("bigint").alias("begin_first"), F.get(fields, F.lit(5)).cast("bigint").alias("begin_second"),
@@ -86,8 +119,7 @@ def read_pairs(spark: SparkSession, path: str, longest: int = 55) -> DataFrame:
 
 def read_orfs(spark: SparkSession, path: str) -> DataFrame:
     """(file, id, start, end, complement, confidence): CDS lines under the last DEFINITION, confidence on the line behind."""
-    w = Window.partitionBy("file").orderBy("n")
-    lines = _numbered_lines(spark, path).withColumns({"definition": F.last(F.when(F.col("line").startswith("DEFINITION"), F.col("line")), ignorenulls=True).over(w), "after": F.lead("line").over(w)})
+    lines = _with_last(_with_next(_numbered_lines(spark, path)), F.when(F.col("line").startswith("DEFINITION"), F.col("line")), "definition")
     return lines.where("line RLIKE '^ *CDS '").select(
         "file", F.regexp_extract("definition", 'seqhdr="([^"]*)"', 1).alias("id"), F.regexp_extract("line", r"<?(\d+)\.\.", 1).cast("bigint").alias("start"), F.regexp_extract("line", r"\.\.>?(\d+)", 1).cast("bigint").alias("end"),
         F.col("line").contains("complement").alias("complement"), F.regexp_extract("after", r"conf=([0-9.]+)", 1).cast("double").alias("confidence"),
@@ -111,7 +143,7 @@ def read_alignment_scores(spark: SparkSession, path: str, queries: DataFrame | N
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
     """(id, sequence, energy) of records of three lines: the first number of the third line."""
-    lines = _numbered_lines(spark, path).withColumns({"record": F.floor((F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1) / 3), "part": F.pmod(F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1, F.lit(3))})
+    lines = _numbered_lines(spark, path).withColumns({"record": F.floor((F.col("n") - 1) / 3), "part": F.pmod(F.col("n") - 1, F.lit(3))})
     wide = lines.groupBy("file", "record").agg(*(F.max(F.when(F.col("part") == k, F.col("line"))).alias(x) for k, x in enumerate(("id", "sequence", "structure"))))
     return wide.select(F.regexp_replace("id", "^>", "").alias("id"), "sequence", F.regexp_extract("structure", r"(-?\d+(?:\.\d+)?)", 1).cast("double").alias("energy"))
 

@@ -111,6 +111,24 @@ def test_routing(spark):
     assert {r["k"] for r in kept} == {0, 1, 2, 10, 20}
 
 
+def test_intervals_in_levels_of_bins(spark):
+    rng = random.Random(12)
+    spans = [(rng.choice("abc"), s, s + rng.choice([-3, 0, 5, 40, 3000, 10**6, 10**9])) for s in (rng.randrange(-2000, 5000) for _ in range(300))] + [("d", -(10**15), 10**15), ("a", 0, 10**9)]
+    spots = [(k, rng.choice("abcde"), rng.randrange(-3000, 9000)) for k in range(400)] + [(400, "d", 10**14), (401, "d", -(10**16)), (402, "a", 10**9), (403, None, 5), (404, "a", None)]
+    points = spark.createDataFrame(spots, "pid long, key string, pos long")
+    ranges = spark.createDataFrame([(n, *x) for n, x in enumerate(spans)] + [(900, "a", None, 5), (901, None, 0, 9)], "iid long, key string, start long, end long")
+    want = {(p, i) for p, k, at in spots for i, (key, s, e) in enumerate(spans) if k == key and at is not None and s <= at <= e}
+    got = intervals.points_in_intervals(points, ranges, "key", "pos", "start", "end", 16).collect()
+    assert len(got) == len(want) and {(r["pid"], r["iid"]) for r in got} == want
+    for how, inside in (("left_semi", True), ("left_anti", False)):
+        ids = [r["pid"] for r in intervals.points_in_intervals(points, ranges, "key", "pos", "start", "end", 16, how).collect()]
+        assert sorted(ids) == sorted(p for p, *_ in spots if (p in {x for x, _ in want}) == inside)
+    placed = intervals._placed(ranges, "start", "end", 16)
+    assert placed.count() == sum(e >= s for _, s, e in spans) + 1, "an interval is one row, however long"
+    none = ranges.limit(0)
+    assert intervals.points_in_intervals(points, none, "key", "pos", "start", "end", 16).count() == 0 and intervals.points_in_intervals(points, none, "key", "pos", "start", "end", 16, "left_anti").count() == len(spots)
+
+
 def test_intervals(spark):
     spans = spark.createDataFrame([("a", 10, 20), ("a", 100, 250), ("b", 0, 5)], "key string, start long, end long")
     points = spark.createDataFrame([("a", 9), ("a", 10), ("a", 20), ("a", 21), ("a", 180), ("b", 20)], "key string, pos long")
