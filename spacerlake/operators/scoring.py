@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -112,6 +114,61 @@ def seed_scores(queries: DataFrame, known: DataFrame, query: str, known_id: str,
     return queries.select(query).distinct().join(best, query, "left").select(query, F.coalesce(2 * F.col("best.n") + k - 1, F.lit(0)).alias("score"), F.col(f"best.{known_id}").alias(known_id))
 
 
+#: Scores of equal and different letters on a diagonal. The closed forms below hold for these.
+MATCH, MISMATCH = 1, -2
+
+
+def score_statistics(same: float) -> tuple[float, float]:
+    """(lambda, K) of the greatest ungapped segments between random sequences whose letters are equal with chance `same`.
+
+    lambda solves same * e^l + (1 - same) * e^(-2 l) = 1, a cubic in e^l that has the root 1; K is H / lambda * (1 - e^-lambda), as the greatest score of a letter is 1.
+    """
+    other = 1 - same
+    root = (other + math.sqrt(other * other + 4 * same * other)) / (2 * same)
+    scale = math.log(root)
+    return scale, (MATCH * same * root + MISMATCH * other / root**2) * (1 - 1 / root)
+
+
+def segment_scores(queries: DataFrame, known: DataFrame, query: str, known_id: str, seq: str = "seq", k: int = 6, most_expected: float = 10.0) -> DataFrame:
+    """(query, known_id, score, bits, expected, q_start, q_end, k_start, k_end): each query's best ungapped segment in the known sequences; 0 and nulls without one.
+
+    Diagonals on which a k-mer is equal (a hash join) are searched in full: the segment of the greatest score, of several the one that ends first and then the shortest. Scores become bits by
+    the known sequences' letter frequencies, and are left out if so many or more are expected by chance in as much sequence. Of a query's segments the best score counts, then the
+    least known_id, then the first in the query, then in the known sequence. Places count from 1, both ends included. Queries are short: a diagonal is no longer than one.
+    """
+    letters = known.select(F.explode(F.split(seq, "")).alias("c")).where("c <> ''").groupBy("c").count().agg(F.sum("count").alias("n"), (F.sum(F.col("count") * F.col("count")) / (F.sum("count") * F.sum("count"))).alias("same")).first()
+    total, same = letters["n"] or 0, letters["same"] or 0.25
+    scale, factor = score_statistics(min(max(same, 1e-6), 1 - 1e-6))
+
+    def kmers(rows: DataFrame, name: str, place: str) -> DataFrame:
+        own = rows.where(F.length(seq) >= k).select(name, seq, F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)).alias(place))
+        return own.select(name, place, F.expr(f"substring({seq}, {place}, {k})").alias("kmer"))
+
+    diagonals = kmers(queries, query, "a").join(kmers(known, known_id, "b"), "kmer").select(query, known_id, (F.col("b") - F.col("a")).alias("d")).distinct()
+    texts = diagonals.join(queries.select(query, F.col(seq).alias("q")), query).join(known.select(known_id, F.col(seq).alias("t")), known_id)
+    first = F.greatest(F.lit(0), -F.col("d"))  # letters of the query before the diagonal
+    size = F.least(F.length("q") - first, F.length("t") - first - F.col("d"))
+    cut = texts.select(query, known_id, "d", first.alias("first"), F.substr("q", first + 1, size).alias("q"), F.substr("t", first + F.col("d") + 1, size).alias("t"))
+    start = F.struct(*(F.lit(0).alias(x) for x in ("at", "run", "since", "best", "begin", "end")))
+
+    def step(a, equal):
+        fresh = a["run"] <= 0
+        run = F.when(fresh, 0).otherwise(a["run"]) + F.when(equal, MATCH).otherwise(MISMATCH)
+        since = F.when(fresh, a["at"]).otherwise(a["since"])
+        better = run > a["best"]
+        return F.struct((a["at"] + 1).alias("at"), run.alias("run"), since.alias("since"), F.when(better, run).otherwise(a["best"]).alias("best"), F.when(better, since).otherwise(a["begin"]).alias("begin"), F.when(better, a["at"] + 1).otherwise(a["end"]).alias("end"))
+
+    equal = F.zip_with(F.split("q", ""), F.split("t", ""), lambda x, y: x == y)
+    found = cut.select(query, known_id, "d", "first", F.aggregate(F.slice(equal, 1, F.length("q")), start, step).alias("s"))
+    told = found.select(query, known_id, F.col("s.best").alias("score"), (F.col("first") + F.col("s.begin") + 1).alias("q_start"), (F.col("first") + F.col("s.end")).alias("q_end"), (F.col("first") + F.col("d") + F.col("s.begin") + 1).alias("k_start"), (F.col("first") + F.col("d") + F.col("s.end")).alias("k_end"))
+    bits = (F.lit(scale) * F.col("score") - math.log(factor)) / math.log(2)
+    sized = told.join(queries.select(query, F.length(seq).alias("_n")), query).withColumn("bits", bits).withColumn("expected", F.col("_n") * F.lit(float(total)) * F.pow(F.lit(2.0), -F.col("bits")))
+    columns = ["score", "bits", "expected", "q_start", "q_end", "k_start", "k_end"]
+    best = sized.where(F.col("expected") < most_expected).groupBy(query).agg(F.min_by(F.struct(known_id, *columns), F.struct(-F.col("score"), known_id, "q_start", "k_start")).alias("best"))
+    joined = queries.select(query).distinct().join(best, query, "left")
+    return joined.select(query, F.col(f"best.{known_id}").alias(known_id), F.coalesce("best.score", F.lit(0)).alias("score"), F.coalesce("best.bits", F.lit(0.0)).alias("bits"), *(F.col(f"best.{c}").alias(c) for c in columns[2:]))
+
+
 def ranking_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """(auc, n): the chance that a row of label 1 scores above one of label 0, ties counting half. Rows of one score are added up first, so what is ordered is one row a score."""
     by_score = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("ones"), F.count("*").alias("n"))

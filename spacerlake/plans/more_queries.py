@@ -121,6 +121,29 @@ def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.seed_scores(asked, known, "query", "item_id")
 
 
+@query(f"""WITH {ALIGNED}, q AS (SELECT contig_id || ':' || cluster_id AS query, string_agg(c, '' ORDER BY col) AS q FROM con GROUP BY contig_id, cluster_id),
+k AS (SELECT item_id, {_dna('text')} AS t FROM benchmark),
+st AS (SELECT sum(n) AS total, sum(n * n) / CAST(sum(n) * sum(n) AS DOUBLE) AS p FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(t, '')) AS c FROM k) WHERE c <> '' GROUP BY c)),
+la AS (SELECT total, p, ((1 - p) + sqrt((1 - p) * (1 - p) + 4 * p * (1 - p))) / (2 * p) AS x FROM st),
+ks AS (SELECT total, ln(x) AS l, (p * x - 2 * (1 - p) / (x * x)) * (1 - 1 / x) AS kk FROM la),
+dg AS (SELECT DISTINCT query, item_id, b - a AS d FROM (SELECT query, a, substr(q, a, 6) AS w FROM (SELECT *, unnest(range(1, len(q) - 4)) AS a FROM q)) x JOIN (SELECT item_id, b, substr(t, b, 6) AS w FROM (SELECT *, unnest(range(1, len(t) - 4)) AS b FROM k WHERE len(t) >= 6)) y ON x.w = y.w),
+ps AS (SELECT query, item_id, d, i, sum(CASE WHEN substr(q, i, 1) = substr(t, i + d, 1) THEN 1 ELSE -2 END) OVER (PARTITION BY query, item_id, d ORDER BY i) AS s
+  FROM (SELECT *, unnest(range(greatest(1, 1 - d), least(len(q), len(t) - d) + 1)) AS i FROM dg JOIN q USING (query) JOIN k USING (item_id))),
+al AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY query, item_id, d ORDER BY i), 0) AS before FROM ps),
+sg AS (SELECT x.query, x.item_id, x.d, x.i AS a, y.i AS b, y.s - x.before AS score FROM al x JOIN al y ON x.query = y.query AND x.item_id = y.item_id AND x.d = y.d AND y.i >= x.i),
+sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, item_id, d ORDER BY score DESC, b, a DESC) AS o FROM sg) WHERE o = 1),
+bt AS (SELECT query, item_id, d, a, b, score, (l * score - ln(kk)) / ln(2) AS bits, len(q) * CAST(total AS DOUBLE) AS size FROM sc JOIN q USING (query), ks),
+be AS (SELECT *, size * pow(2.0, -bits) AS expected, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id, a, a + d) AS o FROM bt WHERE size * pow(2.0, -bits) < 10)
+SELECT q.query, item_id, CAST(coalesce(score, 0) AS INT) AS score, round(coalesce(bits, 0), 6) AS bits, round(expected, 9) AS expected, a AS q_start, b AS q_end, a + d AS k_start, b + d AS k_end FROM q LEFT JOIN be ON q.query = be.query AND o = 1""")
+def alignment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ungapped segment of each cluster's consensus in the test items, with bits and what is expected by chance."""
+    agreed = columns.consensus(_alignments(spark, sf_dir), ["contig_id", "cluster_id"])
+    asked = agreed.select(F.concat_ws(":", "contig_id", "cluster_id").alias("query"), F.col("consensus").alias("seq"))
+    known = read(spark, sf_dir, "benchmark").select("item_id", S.dna_of(F.col("text")).alias("seq"))
+    found = scoring.segment_scores(asked, known, "query", "item_id")
+    return found.withColumns({"bits": F.round("bits", 6), "expected": F.round("expected", 9)})
+
+
 @query(f"""WITH {CLUSTERS}, x AS (SELECT contig_id, cluster_id, b, e, seq, len(regexp_replace(seq, '[^A]', '', 'g')) >= len(regexp_replace(seq, '[^T]', '', 'g')) AS f FROM clusters JOIN contigs USING (contig_id)),
 y AS (SELECT *, substr(seq, greatest(b - 200, 0) + 1, b - greatest(b - 200, 0)) AS p, substr(seq, e + 1, 200) AS q FROM x)
 SELECT contig_id, cluster_id, CASE WHEN f THEN p ELSE reverse(translate(q, 'ACGT', 'TGCA')) END AS leader, CASE WHEN f THEN q ELSE reverse(translate(p, 'ACGT', 'TGCA')) END AS downstream FROM y""")

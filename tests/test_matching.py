@@ -252,3 +252,59 @@ def test_families_with_shifted_insertions(spark):
     rows = spark.createDataFrame([(1, family), (2, ["AC", "AC"])], "k int, repeats array<string>")
     found = approximate.consensus_repeats(rows, ["k"]).collect()
     assert [(r["k"], r["shortest"] in r["longest"]) for r in found] == [(1, True)]
+
+
+# segment scores
+
+
+def test_segments_equal_a_search_of_each_diagonal(spark):
+    import math
+
+    from spacerlake.operators import scoring
+
+    scale, factor = scoring.score_statistics(0.25)
+    assert abs(scale - 1.33) < 0.005 and abs(factor - 0.62) < 0.005, "the known values of equal letter frequencies"
+    rng = random.Random(11)
+    known = [(f"k{n}", "".join(rng.choices("ACGT", k=rng.randrange(0, 60)))) for n in range(12)] + [("kz", None)]
+    queries_ = []
+    for n in range(25):
+        t = rng.choice(known[:12])[1]
+        at = rng.randrange(len(t) + 1)
+        own = list("".join(rng.choices("ACGT", k=5)) + t[at : at + 25] + "".join(rng.choices("ACGT", k=4)))
+        own[rng.randrange(len(own))] = rng.choice("ACGT")
+        queries_.append((f"q{n}", "".join(own)))
+    queries_ += [("short", "ACG"), ("none", None)]
+    got = {r["query"]: r for r in scoring.segment_scores(spark.createDataFrame(queries_, "query string, seq string"), spark.createDataFrame(known, "item string, seq string"), "query", "item").collect()}
+    whole = "".join(t or "" for _, t in known)
+    same = sum((whole.count(c) / len(whole)) ** 2 for c in "ACGT")
+    scale, factor = scoring.score_statistics(same)
+    assert abs(same * math.exp(scale) + (1 - same) * math.exp(-2 * scale) - 1) < 1e-12
+    for q, text in queries_:
+        best = None
+        for k, t in known:
+            if not text or not t:
+                continue
+            for d in range(-len(text) + 1, len(t)):
+                places = [i for i in range(len(text)) if 0 <= i + d < len(t)]
+                if not any(text[i : i + 6] == t[i + d : i + d + 6] and i + 6 <= len(text) and i + d + 6 <= len(t) for i in places):
+                    continue
+                own = None
+                for x, a in enumerate(places):
+                    score = 0
+                    for b in places[x:]:
+                        score += 1 if text[b] == t[b + d] else -2
+                        key = (-score, b, -a)
+                        own = key if own is None or key < own else own
+                score, b, a = -own[0], own[1], -own[2]
+                bits = (scale * score - math.log(factor)) / math.log(2)
+                if len(text) * len(whole) * 2.0**-bits < 10:
+                    key = (-score, k, a + 1, a + d + 1, b + 1, b + d + 1, bits)
+                    best = key if best is None or key < best else best
+        r = got[q]
+        if best is None:
+            assert (r["item"], r["score"], r["bits"], r["q_start"]) == (None, 0, 0.0, None)
+        else:
+            assert (-r["score"], r["item"], r["q_start"], r["k_start"], r["q_end"], r["k_end"]) == best[:6] and abs(r["bits"] - best[6]) < 1e-9
+    assert sum(r["score"] > 0 for r in got.values()) > 15
+    empty = spark.createDataFrame([], "item string, seq string")
+    assert scoring.segment_scores(spark.createDataFrame(queries_, "query string, seq string"), empty, "query", "item").where("score = 0").count() == len(queries_)
