@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions import tables
 from ..operators import approximate
 from ..operators import arrays as A
 from ..operators import clusters, columns, kernel, pairs, scoring, search
@@ -180,3 +181,17 @@ def ranking_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.round(F.length(F.regexp_replace(text, "[^e]", "")) / F.greatest(F.length(text), F.lit(1)), 6)
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select(share.alias("s"), F.col("toxic").alias("y"))
     return scoring.ranking_auc(rows, "s", "y").select(F.round("auc", 9).alias("auc"), "n")
+
+
+@query(f"""WITH s AS (SELECT item_id, {_dna('text')} AS seq FROM benchmark),
+c AS (SELECT item_id, seq, len(seq) // 2 - 9 AS pos FROM s WHERE len(seq) >= 40),
+x AS (SELECT DISTINCT item_id, substr(seq, i, j - i + 1) AS w FROM (SELECT item_id, seq, pos, i, unnest(range(pos + 20, len(seq) + 1)) AS j FROM (SELECT *, unnest(range(1, pos + 1)) AS i FROM c)) WHERE j - i + 1 > 21)
+SELECT item_id, round({_SHARE.format('any_value(seq)', 'AT')}, 9) AS at_share, md5(reverse(translate(any_value(seq), 'ACGT', 'TGCA'))) AS turned, count(*) AS n_substrings, CAST(sum(len(w)) AS BIGINT) AS n_letters, min(w) AS least, max(w) AS greatest
+FROM x JOIN c USING (item_id) GROUP BY item_id""")
+def substrings_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """core_substrings in SQL text over the registered functions, with two scalar ones."""
+    tables.register(spark)
+    read(spark, sf_dir, "benchmark").select("item_id", S.dna_of(F.col("text")).alias("seq")).createOrReplaceTempView("bases_of_items")
+    return spark.sql("""
+        SELECT item_id, round(any_value(base_share(seq, 'AT')), 9) AS at_share, any_value(md5(reverse_complement(seq))) AS turned, count(*) AS n_substrings, sum(length(w)) AS n_letters, min(w) AS least, max(w) AS greatest
+        FROM (SELECT *, core_place(seq) AS place FROM bases_of_items WHERE length(seq) >= 40) i, LATERAL substrings_holding(i.seq, i.place, 21) GROUP BY item_id""")
