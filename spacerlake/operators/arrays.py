@@ -52,7 +52,7 @@ def checks(limits: Limits = Limits()) -> dict[str, Column]:
     else:
         upper = mean_spacer <= limits.max_spacer
     conserved = [S.mode_share(F.transform(filled, edge)) for edge in (lambda x: F.substring(x, 1, 1), lambda x: F.substring(x, -1, 1))]
-    equal = F.array_max(F.transform(F.array_distinct(filled), lambda v: F.size(F.filter(filled, lambda x: x == v))))
+    equal = S.longest_run(F.array_sort(filled))  # equal ones stand together
     few_equal = F.lit(True) if not limits.most_equal else F.coalesce(equal, F.lit(0)) <= limits.most_equal
     few_in_row = F.lit(True) if not limits.most_in_row else S.longest_run(filled) <= limits.most_in_row
     found = {

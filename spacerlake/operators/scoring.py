@@ -169,11 +169,22 @@ def segment_scores(queries: DataFrame, known: DataFrame, query: str, known_id: s
     return joined.select(query, F.col(f"best.{known_id}").alias(known_id), F.coalesce("best.score", F.lit(0)).alias("score"), F.coalesce("best.bits", F.lit(0.0)).alias("bits"), *(F.col(f"best.{c}").alias(c) for c in columns[2:]))
 
 
+#: Ranges of scores whose rows are put in order together.
+RANGES = 64
+
+
 def ranking_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc, n): the chance that a row of label 1 scores above one of label 0, ties counting half. Rows of one score are added up first, so what is ordered is one row a score."""
-    by_score = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("ones"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("ones")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by_score.select("ones", "n", (F.col("ones") * (below + (F.col("n") - F.col("ones")) / 2)).alias("wins"))
+    """(auc, n): the chance that a row of label 1 scores above one of label 0, ties counting half.
+
+    Rows of one score are added up first. Scores are then cut into RANGES at about their quantiles; what lies below a row is counted in its range, and the ranges below are added, a row for each.
+    """
+    by_score = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("ones"), F.count("*").alias("n"))
+    cuts = sorted(set(by_score.approxQuantile("s", [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)))
+    placed = by_score.withColumns({"zeros": F.col("n") - F.col("ones"), "range": F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("s")))})
+    totals = placed.groupBy("range").agg(F.sum("zeros").alias("zeros"))
+    before = totals.select("range", F.coalesce(F.sum("zeros").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("zeros").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = placed.withColumn("own", own).join(before, "range").select("ones", "n", (F.col("ones") * (F.col("before") + F.col("own") + F.col("zeros") / 2)).alias("wins"))
     ones, all_ = F.sum("ones"), F.sum("n")
     return wins.agg((F.sum("wins") / (ones * (all_ - ones))).alias("auc"), all_.alias("n"))
 

@@ -439,3 +439,28 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parsed = writers.array_json(arrays).select("contig_id", F.from_json("document", "Arrays map<string,map<string,struct<start:bigint,certainty_score:double>>>").alias("d"))
     return parsed.select("contig_id", F.explode("d.Arrays").alias("category", "of")).select("contig_id", "category", F.explode("of").alias("id", "a")).select("contig_id", "category", F.col("id").cast("bigint"), (F.col("a.start") - 1).alias("start"), F.col("a.certainty_score").alias("score"))
+
+
+@query(f"""WITH {SCORED}, l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS r FROM documents),
+a AS (SELECT region // 8 AS contig_id, category, r.doc_id AS id, score, region, r, coalesce(r[1], '') AS c, list_transform(r[2:], lambda x: reverse(x)) AS g FROM routed r JOIN l ON r.doc_id = l.doc_id WHERE category IS NOT NULL),
+d AS (SELECT *, list_transform(range(1, len(r) + 1), lambda i: lpad(CAST(i AS VARCHAR), 10, ' ') || '  ' || CASE WHEN len(r[i]) = len(c) THEN array_to_string(list_transform(range(1, len(c) + 1), lambda j: CASE WHEN r[i][j] = c[j] AND c[j] = ' ' THEN ' ' WHEN r[i][j] = c[j] THEN '.' ELSE r[i][j] END), '') ELSE r[i] END || '  ' || coalesce(g[i], '')) AS shown FROM a)
+SELECT contig_id, category, id, md5(array_to_string(r, chr(10))) AS repeats, md5(array_to_string(g, chr(10))) AS spacers, md5(array_to_string(list_transform(range(1, len(r) + 1), lambda i: CAST(i AS VARCHAR)), ',')) AS starts, md5(c) AS consensus,
+  md5(array_to_string(shown, chr(10)) || chr(10) || repeat('_', 100) || chr(10) || repeat(' ', 12) || c) AS dots, CASE WHEN id % 2 = 0 THEN 'Forward' ELSE 'Reverse' END AS strand, CAST(region + 1 AS BIGINT) AS "start", CAST(region + len(r) AS BIGINT) AS "end", CAST(len(r) AS BIGINT) AS length, id % 7 AS array_index, score FROM d""")
+def json_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested JSON of every contig, all its fields read back: documents' lines stand for repeats, and their turned ones for spacers."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
+    texts = read(spark, sf_dir, "documents").select("doc_id", lines.alias("repeats"))
+    routed = routing.route(_scored(spark, sf_dir), ["region"], "score", "passes", "doc_id").where("category IS NOT NULL").select("doc_id", "region", "category", "score").join(texts, "doc_id")
+    n = F.size("repeats")
+    arrays = routed.select(
+        F.expr("region div 8").alias("contig_id"), F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("region_index"), "category", F.col("region").alias("start"), (F.col("region") + n).alias("end"), F.when(F.col("doc_id") % 2 == 0, "Forward").otherwise("Reverse").alias("strand"), "score",
+        F.coalesce(F.get("repeats", F.lit(0)), F.lit("")).alias("consensus"), "repeats", F.transform(F.slice("repeats", 2, F.greatest(n - 1, F.lit(0))), F.reverse).alias("spacers"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("starts"),
+    )
+    fields = "list_repeats array<string>, list_spacers array<string>, list_repeat_starts array<int>, consensus_repeat string, dot_representation string, strand string, start bigint, end bigint, length bigint, array_index bigint, certainty_score double"
+    one = F.from_json("document", "Arrays map<string,map<string,struct<" + fields.replace(" array<", ":array<").replace(" string", ":string").replace(" bigint", ":bigint").replace(" double", ":double") + ">>>")
+    parsed = writers.array_json(arrays).select("contig_id", one.alias("d")).select("contig_id", F.explode("d.Arrays").alias("category", "of")).select("contig_id", "category", F.explode("of").alias("id", "a"))
+    joined = lambda c, by: F.md5(F.array_join(F.col(f"a.{c}").cast("array<string>"), by))
+    return parsed.select(
+        "contig_id", "category", F.col("id").cast("bigint"), joined("list_repeats", "\n").alias("repeats"), joined("list_spacers", "\n").alias("spacers"), joined("list_repeat_starts", ",").alias("starts"), F.md5("a.consensus_repeat").alias("consensus"),
+        F.md5("a.dot_representation").alias("dots"), "a.strand", "a.start", "a.end", "a.length", "a.array_index", F.col("a.certainty_score").alias("score"),
+    )
