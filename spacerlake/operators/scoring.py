@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .trees import ExtraTrees, fit_extra_trees
 
 #: The features of each model.
 FEATURE_SETS = {
@@ -25,15 +25,18 @@ FEATURE_SETS = {
 
 @dataclass
 class Ensemble:
-    """Models by size; a score is the mean of their probabilities of class 1."""
+    """Models by size; a score is the mean of their probabilities of class 1. Extra trees come with their features' names; a missing feature counts as 0 for them."""
 
-    models: dict[int, PipelineModel]
+    models: dict[int, PipelineModel | tuple[list[str], ExtraTrees]]
 
     def score(self, rows: DataFrame) -> DataFrame:
         columns, names = rows.columns, []
         for size, model in self.models.items():
             name = f"score_{size}"
-            rows = model.transform(rows).select(*columns, *names, vector_to_array(f"probability_{size}")[1].alias(name))
+            if isinstance(model, tuple):
+                rows = rows.withColumn(name, model[1].probability(_numbers(model[0])))
+            else:
+                rows = model.transform(rows).select(*columns, *names, vector_to_array(f"probability_{size}")[1].alias(name))
             names.append(name)
         total = F.lit(0.0)
         for name in names:
@@ -41,10 +44,17 @@ class Ensemble:
         return rows.withColumn("score", total / len(names))
 
 
-def fit_ensemble(rows: DataFrame, label: str, sets: dict[int, list[str]] = FEATURE_SETS, kind: str = "forest", seed: int = 1) -> Ensemble:
-    """Fits a model for each feature set: a random forest of depth 4, boosted trees, or a logistic regression."""
+def _numbers(names: list[str]) -> Column:
+    return F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names))
+
+
+def fit_ensemble(rows: DataFrame, label: str, sets: dict[int, list[str]] = FEATURE_SETS, kind: str = "extra", seed: int = 1) -> Ensemble:
+    """Fits a model for each feature set: extremely randomised trees ("extra"), a random forest of depth 4 ("forest"), boosted trees ("boosted"), or a logistic regression."""
     models = {}
     for size, names in sets.items():
+        if kind == "extra":
+            models[size] = names, fit_extra_trees(rows.select(_numbers(names).alias("x"), F.col(label).alias("y")), "x", "y", seed=seed)
+            continue
         common = {"labelCol": label, "featuresCol": f"features_{size}", "probabilityCol": f"probability_{size}", "rawPredictionCol": f"raw_{size}", "predictionCol": f"prediction_{size}"}
         if kind == "forest":
             stage = RandomForestClassifier(numTrees=30, maxDepth=4, featureSubsetStrategy="sqrt", seed=seed, **common)
