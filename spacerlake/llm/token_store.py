@@ -33,7 +33,7 @@ from .shared import held_by_worker, scratch, table
 SEGMENT_TOKENS = 1 << 20
 END_ID = 2
 #: Characters encoded together; a longer text is taken alone.
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 1 << 23
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
 SEGMENT_SCHEMA = (
