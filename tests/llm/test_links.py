@@ -470,5 +470,5 @@ def test_pipeline_mix_keeps_all(spark):
 
 
 def test_registry():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) < set(QUERIES)
