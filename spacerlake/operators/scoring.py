@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .neighbours import nearest, vote
 from .trees import ExtraTrees, fit_extra_trees
 
 #: The features of each model.
@@ -25,15 +26,22 @@ FEATURE_SETS = {
 
 @dataclass
 class Ensemble:
-    """Models by size; a score is the mean of their probabilities of class 1. Extra trees come with their features' names; a missing feature counts as 0 for them."""
+    """Models by size; a score is the mean of their probabilities of class 1. Extra trees and labelled points come with their features' names; a missing feature counts as 0 for them.
 
-    models: dict[int, PipelineModel | tuple[list[str], ExtraTrees]]
+    Labelled points are a table (_x, id, y), of which the 7 nearest vote; a row that has none, as with an infinite feature, gets 0.5.
+    """
+
+    models: dict[int, PipelineModel | tuple[list[str], ExtraTrees | DataFrame]]
 
     def score(self, rows: DataFrame) -> DataFrame:
         columns, names = rows.columns, []
         for size, model in self.models.items():
             name = f"score_{size}"
-            if isinstance(model, tuple):
+            if isinstance(model, tuple) and isinstance(model[1], DataFrame):
+                x = rows.withColumn("_x", _numbers(model[0]))
+                votes = nearest(x, model[1], "_x", "id", "y").select(F.col("x").alias("_x"), vote().alias(name))
+                rows = x.join(votes, "_x", "left").select(*columns, *names, F.coalesce(name, F.lit(0.5)).alias(name))
+            elif isinstance(model, tuple):
                 rows = rows.withColumn(name, model[1].probability(_numbers(model[0])))
             else:
                 rows = model.transform(rows).select(*columns, *names, vector_to_array(f"probability_{size}")[1].alias(name))
@@ -48,13 +56,16 @@ def _numbers(names: list[str]) -> Column:
     return F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names))
 
 
-def fit_ensemble(rows: DataFrame, label: str, sets: dict[int, list[str]] = FEATURE_SETS, kind: str = "extra", seed: int = 1) -> Ensemble:
-    """Fits a model for each feature set: extremely randomised trees ("extra"), a random forest of depth 4 ("forest"), boosted trees ("boosted"), or a logistic regression."""
+def fit_ensemble(rows: DataFrame, label: str, sets: dict[int, list[str]] = FEATURE_SETS, kind: str = "extra", seed: int = 1, id_: str = "id") -> Ensemble:
+    """Fits a model for each feature set: extremely randomised trees ("extra"), the 7 nearest rows, of equally near ones those of the least id_ ("neighbours"), a random forest of depth 4 ("forest"), boosted trees ("boosted"), or a logistic regression."""
     models = {}
     for size, names in sets.items():
         if kind == "extra":
             models[size] = names, fit_extra_trees(rows.select(_numbers(names).alias("x"), F.col(label).alias("y")), "x", "y", seed=seed)
             continue
+        if kind == "neighbours":
+            models[size] = names, rows.where(F.col(label).isNotNull()).select(_numbers(names).alias("_x"), F.col(id_).alias("id"), F.col(label).alias("y"))
+            continue
         common = {"labelCol": label, "featuresCol": f"features_{size}", "probabilityCol": f"probability_{size}", "rawPredictionCol": f"raw_{size}", "predictionCol": f"prediction_{size}"}
         if kind == "forest":
             stage = RandomForestClassifier(numTrees=30, maxDepth=4, featureSubsetStrategy="sqrt", seed=seed, **common)

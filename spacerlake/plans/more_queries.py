@@ -9,7 +9,7 @@ from ..functions import sequence as S
 from ..functions import tables
 from ..operators import approximate
 from ..operators import arrays as A
-from ..operators import clusters, columns, kernel, pairs, scoring, search
+from ..operators import clusters, columns, kernel, neighbours, pairs, scoring, search
 from . import arrays as plan
 from .queries import ALIGNED, CLUSTERS, CONTIGS, K, _alignments, _dna, contigs, query, read
 
@@ -93,6 +93,26 @@ def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.fit_ensemble(known, "label", sets).score(numbers).select("doc_id", "score_8", "score_9", "score_10", "score")
 
 
+#: Letters whose numbers place a document among the others, besides its length.
+COUNTED = (" ", "\n", "e", "t")
+
+
+@query("""WITH d AS (SELECT doc_id, len(x) AS a, len(x) - len(replace(x, ' ', '')) AS b, len(x) - len(replace(x, chr(10), '')) AS c, len(x) - len(replace(x, 'e', '')) AS e, len(x) - len(replace(x, 't', '')) AS f FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
+k AS (SELECT d.*, toxic FROM d JOIN labels USING (doc_id)),
+p AS (SELECT d.doc_id, k.doc_id AS other, toxic, CAST((d.a - k.a) ** 2 + (d.b - k.b) ** 2 + (d.c - k.c) ** 2 + (d.e - k.e) ** 2 + (d.f - k.f) ** 2 AS DOUBLE) AS distance FROM d, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, other) AS o FROM p)
+SELECT doc_id, string_agg(other, ',' ORDER BY o) AS nearest, max(distance) AS farthest, round(avg(toxic), 9) AS share FROM r WHERE o <= 7 GROUP BY doc_id""")
+def nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's 7 nearest labelled documents by length and numbers of some letters, and the share of toxic ones among them."""
+    text = F.coalesce("text", F.lit(""))
+    numbers = F.array(F.length(text), *(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED)).cast("array<double>")
+    docs = read(spark, sf_dir, "documents").select("doc_id", numbers.alias("x")).persist()  # read seven times: six numbers a document instead of its text; what is lost with an executor is made again
+    known = docs.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    found = neighbours.nearest(docs, known, "x", "doc_id", "toxic")
+    told = found.select("x", F.array_join(F.transform("neighbours", lambda n: n["id"].cast("string")), ",").alias("nearest"), F.array_max(F.transform("neighbours", lambda n: n["distance"])).alias("farthest"), F.round(neighbours.vote(), 9).alias("share"))
+    return docs.join(told, "x").select("doc_id", "nearest", "farthest", "share")
+
+
 @query(f"""WITH {CONTIGS} SELECT contig_id, count(*) FILTER (fr IS NOT NULL) AS n_frames, CAST(max(n) AS INT) AS longest FROM (
   SELECT contig_id, fr, coalesce(list_max(list_transform(regexp_extract_all(regexp_replace(substr(s, fr), '(...)', '\\1 ', 'g'), '(?:^| )(ATG(?: (?:[ACG][ACGT][ACGT]|T[CT][ACGT]|TA[CT]|TG[CGT]))*) (?:TAA|TAG|TGA)', 1), lambda x: (len(x) + 1) // 4)), 0) AS n
   FROM (SELECT contig_id, unnest([seq, reverse(translate(seq, 'ACGT', 'TGCA'))]) AS s FROM contigs), range(1, 4) t(fr)) GROUP BY contig_id""")
