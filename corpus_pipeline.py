@@ -16,11 +16,13 @@ from spacerlake.llm.decontamination import find_contamination
 from spacerlake.llm.language_id import identify, learn_likelihoods
 from spacerlake.llm.mixing import mix_sources
 from spacerlake.llm.ngram_join import similar_rows
-from spacerlake.llm.shared import DOCUMENT_COLUMNS, doc_row, stored, table
-from spacerlake.llm.token_store import token_index
+from spacerlake.llm.shared import DOCUMENT_COLUMNS, doc_row, scratch, stored, table
+from spacerlake.llm.token_store import read_index, tokenizer_path, with_starts, write_tokens
 
 #: The near-copy and token stages have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
+#: Characters that the token stage encodes together: fewer than op5 takes, as its tasks share an executor's memory with what the other stages have left.
+ENCODED_TOGETHER = 1 << 20
 
 
 def _with_rows(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -48,15 +50,30 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents, in the order of their slots: the target weights, square roots of the sources' sizes, hold up to the horizon, and nothing behind it is dropped."""
-    mixed = mix_sources(docs.select(doc_row().alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("doc_row")).agg(F.min("slot").alias("slot"))
-    placed = _with_rows(docs, mixed, "left")
-    return placed.repartitionByRange(F.asc_nulls_last("slot"), "doc_row").sortWithinPartitions(F.asc_nulls_last("slot"), "doc_row").select(DOCUMENT_COLUMNS)
+    """Keeps all documents, in the order of their slots: the target weights, square roots of the sources' sizes, hold up to the horizon, and nothing behind it is dropped.
+
+    A table that is written and read has no order, so the slots are kept as a table of their own, which the metadata of the column source names.
+    """
+    slots = mix_sources(docs.select(doc_row().alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("doc_row")).agg(F.min("slot").alias("slot"))
+    slots = stored(slots, "slots")
+    placed = _with_rows(docs, slots, "left")
+    ordered = placed.repartitionByRange(F.asc_nulls_last("slot"), "doc_row").sortWithinPartitions(F.asc_nulls_last("slot"), "doc_row").select(DOCUMENT_COLUMNS)
+    return ordered.withColumn("source", F.col("source").alias("source", metadata={"slots": slots.stored_at}))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of the documents' token ids, from the files written."""
-    return token_index(spark, docs.select("doc_id", "text"))
+    """(doc_id, start, n_tokens, ids_crc32, mixed_start) of the documents' token ids, from the files written.
+
+    The files hold the documents as they were mixed: by slot and doc_row, documents without a slot last. mixed_start is the number of ids before a document there, start that of all
+    documents before it in the order of doc_id. A table that wasn't mixed is written in the order of doc_id.
+    """
+    named = docs.schema["source"].metadata.get("slots")
+    slots = spark.read.schema("doc_row string, slot bigint").parquet(named) if named else None
+    placed = docs.select("doc_id", "text", doc_row().alias("doc_row")).join(slots, "doc_row", "left").withColumn("slot", F.coalesce("slot", F.lit((1 << 63) - 1))) if named else docs
+    path = scratch(spark, "tokens")
+    write_tokens(placed, path, tokenizer_path(), order=["slot", "doc_row"] if named else [], encode_chars=ENCODED_TOGETHER)
+    found = read_index(spark, path).withColumnRenamed("start", "mixed_start")
+    return with_starts(found, "doc_id", "mixed_start").select("doc_id", "start", "n_tokens", "ids_crc32", "mixed_start")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import held_by_worker, scratch, table
+from .shared import held_by_worker, scratch, stored, table
 
 #: Ids after which a segment is closed at the end of its document.
 SEGMENT_TOKENS = 1 << 20
@@ -178,17 +178,19 @@ class UnitEncoder:
         return [next(found[int(x)]) for x in odd]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Writes the segments of all documents, ascending by id, to path.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS, order: Sequence[str] = (), encode_chars: int = ENCODE_CHARS) -> None:
+    """Writes the segments of all documents to path, ascending by the columns of order, if any, and then by id.
 
-    The texts are range-partitioned by (id, hash of the text), so equal ids do not meet in one task. A shard is a
+    The texts are range-partitioned by (order, id, hash of the text), so equal ids do not meet in one task. A shard is a
     partition; each is encoded and written by one task, segment by segment.
     """
+    first = [F.col(x).alias(f"order_{k}") for k, x in enumerate(order)]
+    by = [*(f"order_{k}" for k in range(len(first))), "doc_id", "tie"]
     ordered = (
-        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        docs.select(*first, F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by)
         .select("doc_id", "text")
     )
 
@@ -212,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             chars = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
             at = 0
             while at < batch.num_rows:
-                most = ENCODE_CHARS + (chars[at - 1] if at else 0)
+                most = encode_chars + (chars[at - 1] if at else 0)
                 some = batch.slice(at, max(1, int(np.searchsorted(chars, most, "right")) - at))
                 at += some.num_rows
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
@@ -302,5 +304,15 @@ def token_index(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return read_index(spark, path)
 
 
+def with_starts(index: DataFrame, *order: str) -> DataFrame:
+    """The rows of an index with start: n_tokens of all rows before it in that order, added up in two steps, over ranges and inside them."""
+    dealt = index.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "ranges")
+    all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(all_parts), F.lit(0)).alias("before"))
+    in_part = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("in_part", F.coalesce(in_part, F.lit(0))).join(F.broadcast(parts), "part").select(*index.columns, (F.col("before") + F.col("in_part")).alias("start"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, table(spark, sf_dir, "documents"))

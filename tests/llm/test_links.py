@@ -469,6 +469,39 @@ def test_pipeline_mix_keeps_all(spark):
     assert max(k for k, r in enumerate(mixed) if r["source"] == "cold") < 30
 
 
+def test_pipeline_mix_orders_token_files(spark, tmp_path):
+    """The token files hold the documents in the order of their slots, also when the mixed table was written and read; start stays that of doc_id."""
+    rows = [(k if k % 5 else None, f"{'word ' * (700 + 40 * k)}{k}", "en", f"s{k % 3}" if k < 45 else None, k) for k in range(60)] + [(61, None, "en", "empty", 0), (62, "", "en", "empty", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix(spark, docs, DATA)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    plain = corpus_pipeline.write_token_ids(spark, docs, DATA).collect()
+    for table_ in (mixed, spark.read.parquet(str(tmp_path / "mixed"))):
+        out = corpus_pipeline.write_token_ids(spark, table_, DATA).collect()
+        in_files = sorted(out, key=lambda r: r["mixed_start"])
+        assert [r["doc_id"] for r in in_files] == [r["doc_id"] for r in mixed.collect()]
+        assert [r["mixed_start"] for r in in_files] == [sum(x["n_tokens"] for x in in_files[:k]) for k in range(len(rows))]
+        by_id = sorted(out, key=lambda r: r["start"])
+        ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in by_id]
+        assert ids == sorted(ids) and [r["start"] for r in by_id] == [sum(x["n_tokens"] for x in by_id[:k]) for k in range(len(rows))]
+        assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in plain)
+        assert [r["doc_id"] for r in in_files] != [r["doc_id"] for r in by_id]
+    assert all(r["mixed_start"] == r["start"] for r in plain)
+
+
+def test_pipeline_language_decides_each_row(spark):
+    """Rows of one doc_id and text, but of different declared languages or hosts, are decided on one by one, and equal rows alike."""
+    docs = table(spark, DATA, "documents")
+    some = docs.limit(40).collect()
+    odd = [(r["doc_id"], r["text"], lang, source, r["n_chars"]) for r in some[:5] for lang, source in ((None, None), ("zz", r["source"]), (r["lang"], ""), (r["lang"], r["source"]))]
+    odd += [(None, "", "en", "s", 0), (None, None, None, None, None), (None, None, None, None, None)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    rows = both.withColumns({"declared": F.col("lang"), "host": F.col("source"), "domain": F.lit(""), "suffix": F.lit("")})
+    model = language_id.learn_likelihoods(both.select("doc_id", "text", "lang"))
+    want = language_id.identify(rows, model, docs.columns).where(~F.col("rejected")).select(docs.columns)
+    assert Counter(corpus_pipeline.identify_language(spark, both, DATA).collect()) == Counter(want.collect())
+
+
 def test_registry():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) < set(QUERIES)
