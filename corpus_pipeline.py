@@ -32,9 +32,11 @@ def _with_rows(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no known language: lang is what a document declares, source its host."""
-    docs = docs.select(DOCUMENT_COLUMNS)
+    whole_row = F.concat_ws(":", doc_row(), F.to_json(F.struct("lang", "source", "n_chars")))  # rows that share it are equal, and so is what is decided on them
+    docs = docs.select(*DOCUMENT_COLUMNS, whole_row.alias("whole_row"))
     rows = docs.withColumns({"declared": F.col("lang"), "host": F.col("source"), "domain": F.lit(""), "suffix": F.lit("")})
-    return identify(rows, learn_likelihoods(docs.select("doc_id", "text", "lang")), DOCUMENT_COLUMNS).where(~F.col("rejected")).select(DOCUMENT_COLUMNS)
+    found = identify(rows, learn_likelihoods(docs.select("doc_id", "text", "lang")), ["whole_row"])
+    return docs.join(found.where("rejected"), "whole_row", "left_anti").select(DOCUMENT_COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import BLOCK, LEVEL_BITS, classes, connected_components, in_blocks, sketch_edges, verified_links
-from .shared import doc_row, slices, stored, table
+from .shared import discard, doc_row, slices, stored, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -160,17 +160,20 @@ def similar_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     root = prefix_length(threshold, trees, longest, recall)
     levels = min(longest - root, 63 // LEVEL_BITS)
     paths = stored(_paths(docs, trees, root + levels, root, size), "paths")
-    reps = paths.where("id IS NOT NULL").groupBy("id").agg(
+    own = stored(paths.select("doc_id", "doc_row", "id"), "rows")
+    sets = paths.where("id IS NOT NULL").groupBy("id").agg(
         F.min("doc_id").alias("copy_id"), F.min_by("doc_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row")).alias("row"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")
     )
-    reps = stored(reps, "sets")
-    one, reps = reps.select("id", "nodes", "sketch"), reps.select("id", "copy_id", "row", "copies", "shingles")
+    sets = stored(sets, "sets")
+    discard(paths)
+    one, reps = sets.select("id", "nodes", "sketch"), stored(sets.select("id", "copy_id", "row", "copies", "shingles"), "set-counts")
     keys = one.select("id", F.explode("nodes").alias("node")).select("id", "node.key", "node.path")
     values = trees * root
     equal = math.floor(values * threshold - 6 * math.sqrt(values * threshold * (1 - threshold)))
     dealt = in_blocks(keys, "key", "id").join(one.select("id", "sketch"), "id")
     alike = sketch_edges(dealt, lambda a, b: (a.view("<u2") == b.view("<u2")).sum(axis=1) >= equal, levels)
     coarse = stored(connected_components(alike, "id", "other").join(reps, "id"), "coarse")
+    discard(sets)  # what is alike is known: paths and sketches, two thirds of a kilobyte a set, go before the texts are moved
 
     def linked(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
         sets = [shingle_set(x, size) for x in group.column("text").to_pylist()]
@@ -187,7 +190,7 @@ def similar_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     named = stored(found, "named")
     names = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min_by("id", F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "id")).alias("leader"))
     by_id = named.join(names, "root").select("id", "class_id", "copy_id", "n_links", F.when(F.col("id") == F.col("leader"), F.col("row")).alias("leading_row"))
-    own = paths.select("doc_id", "doc_row", "id").join(by_id, "id", "left")
+    own = own.join(by_id, "id", "left")
     class_id = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     copy_id = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("copy_id"))
     return own.select("doc_id", class_id.alias("class_id"), copy_id.alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "doc_row", (F.col("id").isNull() | F.col("doc_row").eqNullSafe(F.col("leading_row"))).alias("leads"))

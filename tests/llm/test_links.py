@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from spacerlake.llm import embedding_dedup, language_id, linkage, ngram_join, suffix_dedup, toxicity
 from spacerlake.llm.registry import ORACLE_SQL, QUERIES
-from spacerlake.llm.shared import table
+from spacerlake.llm.shared import scratch, table
 from tests.conftest import DATA
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, key long, side int, root long, copies long"
@@ -420,6 +420,11 @@ def test_toxicity_features():
 # pipeline
 
 
+def shared_tables(spark):
+    folder = os.path.dirname(scratch(spark, "x")).removeprefix("file://")
+    return [f"{folder}/{x}" for x in os.listdir(folder)]
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, DATA, "documents")
     names = [name for name, _ in corpus_pipeline.STAGES]
@@ -460,6 +465,15 @@ def test_pipeline_shared_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(rows)
 
 
+def test_pipeline_leaves_little(spark):
+    """Language ID and the near-copy stage leave neither texts nor paths and sketches in the shared folder."""
+    docs = table(spark, DATA, "documents")
+    before = set(shared_tables(spark))
+    corpus_pipeline.drop_near_copies(spark, corpus_pipeline.identify_language(spark, docs, DATA), DATA).count()
+    for path in set(shared_tables(spark)) - before:
+        assert not {"text", "nodes", "sketch"} & set(spark.read.parquet(path).columns), path
+
+
 def test_pipeline_mix_keeps_all(spark):
     """One source with most of the letters, and a source without any, lose no document."""
     texts = ["x" * 9000] * 60 + ["y" * 9000] * 2 + ["", None]
