@@ -46,18 +46,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    data = np.frombuffer(text.lower().encode(), np.uint8)
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start, and their hashes."""
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return starts, np.zeros(0, np.uint64)
     ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
     lengths = ends - starts
     letters = _LETTERS[data[~blank]]
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(letters)) - np.repeat(first, lengths)
-    return _mixed(np.add.reduceat(letters * _POWERS[place & 0xFFF] + (place >> 12).astype(np.uint64), first) + lengths.astype(np.uint64))
+    return starts, _mixed(np.add.reduceat(letters * _POWERS[place & 0xFFF] + (place >> 12).astype(np.uint64), first) + lengths.astype(np.uint64))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    return _words(np.frombuffer(text.lower().encode(), np.uint8))[1]
+
+
+def word_hashes_of_all(texts: list[str], together: int) -> list[np.ndarray]:
+    """word_hashes of each text; short ones are hashed together, in runs of about that many bytes."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for k, text in enumerate(texts):
+        held.append(text.lower().encode())
+        size += len(held[-1]) + 1
+        if size >= together or k == len(texts) - 1:
+            starts, hashes = _words(np.frombuffer(b"\n".join(held), np.uint8))
+            ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held]))
+            out += np.split(hashes, ends[:-1])
+            held, size = [], 0
+    return out
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:

@@ -8,7 +8,7 @@ have equal anchors, the least hash of their GRAM-symbol strings (the first of eq
 3. A text's windows of one anchor are cut into units of STEP offsets. All windows of a unit hold the same LENGTH - STEP + 1
    bytes, whose hash is the unit's key. Units that are equal throughout are one unit with a count, as copies add no run to a run-length
    index; those that count more than one match their copies to their ends.
-4. Different units of one key are joined into a text of INDEX_UNITS units or so, for which a run-length index is built: the Burrows-Wheeler
+4. Different units of one key are joined, with those of other keys, into a text of TOGETHER_UNITS units or so, for which a run-length index is built: the Burrows-Wheeler
    transform as runs, with the suffix positions at both ends of each run. Match statistics of each position, the length to which another
    suffix agrees with its own, are streamed from these: at a run's end the neighbour's length is compared on the text, and
    everywhere else it is one less than at the position before. Positions of LENGTH or more are marked.
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import word_hashes
+from .ngram_join import word_hashes_of_all
 from .shared import discard, doc_row, slices, stored, table
 
 LENGTH, GRAM, STEP = 400, 32, 64
@@ -45,10 +45,14 @@ PIECE = 8 << 20
 #: Longest period of stretches that are taken from the text alone; they are looked for in texts with over DENSE / 2 times the anchors of a random text.
 PERIODS, DENSE = 64, 8
 _PLACE_BITS = 24
+#: Symbols of short texts looked at together, and different units in an index of several keys.
+TOGETHER, TOGETHER_UNITS = 1 << 15, 128
 
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 _STEPS = {1 << k: np.uint64(x | 1) for k, x in enumerate(np.random.default_rng(12).integers(1, 1 << 63, 10, np.uint64).tolist())}
 
+_LAST = np.uint64(0x9E3779B97F4A7C15)  # odd: its product has the anchors' order in its upper bits
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,20 +68,20 @@ def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """Hash of the string of that length, a power of two, at each place."""
     found, have = _BYTES[data] if data.dtype == np.uint8 else _mixed(data), 1
     while have < length:
-        found = found[:-have] * _STEPS[have] + found[have:]
+        ahead = found[have:]
+        found = found[:-have] * _STEPS[have]
+        found += ahead
         found ^= found >> np.uint64(32)
         have *= 2
     return found
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    n, have = len(values) - width + 1, 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    return np.minimum(values[:n], values[width - have : width - have + n])
 
 
 def periodic(data: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -98,7 +102,7 @@ def anchors(data: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tup
     dense = False
     for start in range(0, max(0, len(data) - length + 1), piece):
         own = data[start : start + piece + length - 1]
-        hashes = _mixed(string_hashes(own, gram))
+        hashes = string_hashes(own, gram) * _LAST
         low = np.uint64((1 << _PLACE_BITS) - 1)
         least = _sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
         firsts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
@@ -124,6 +128,40 @@ def anchors(data: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tup
     return *(np.concatenate(x) for x in zip(*out, strict=True)), dense
 
 
+def anchors_of_all(texts: list[np.ndarray], length: int, gram: int, together: int = TOGETHER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """anchors() of each text; short ones are looked at together, in runs of about that many symbols, without the windows that reach into the next text."""
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), False)
+    out = [none] * len(texts)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    held: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        if len(text) >= length and len(text) < together:
+            held.append(k)
+            size += len(text)
+        elif len(text) >= length:
+            out[k] = anchors(text, length, gram)
+        if not held or (size < together and k < len(texts) - 1):
+            continue
+        sizes = np.array([len(texts[x]) for x in held])
+        begins, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        before = np.cumsum(counts) - counts
+        hashes = string_hashes(np.concatenate([texts[x] for x in held]), gram) * _LAST
+        least = _sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
+        least = least[np.arange(int(counts.sum())) + np.repeat(begins - before, counts)]  # places of two texts differ, so no run spans them
+        firsts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        lasts = np.concatenate([firsts[1:], [len(least)]]) - 1
+        places = (least[firsts] & low).astype(np.int64)
+        cuts = np.append(np.searchsorted(firsts, before), len(firsts))
+        runs = np.diff(cuts)
+        own = hashes[places], places - np.repeat(begins, runs), firsts - np.repeat(before, runs), lasts - np.repeat(before, runs)
+        for x, a, b in zip(held, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            dense = (b - a) * (length - gram + 2) > DENSE * len(texts[x])
+            out[x] = anchors(texts[x], length, gram) if dense else (*(c[a:b] for c in own), False)
+        held, size = [], 0
+    return out
+
+
 def text_id(data: np.ndarray) -> bytes:
     return hashlib.blake2b(data.tobytes(), digest_size=16).digest()
 
@@ -237,7 +275,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, index_units: int = INDEX_UNITS) -> DataFrame:
     """(doc_id, sha256, n_bytes, spans, n_removed, kept_sha256) of every row of docs (doc_id, text): spans are the maximal removed byte ranges, sha256 is the text's."""
-    found, per_text = _repeats(docs, bytes_of, length, gram, step, index_units)
+    found, per_text = _repeats(docs, bytes_of_all, length, gram, step, index_units)
     whole = (F.col("copies") > 1) & (F.col("size") >= length)
     return found.join(per_text, "text_id").select(
         "doc_id", "sha256", F.col("size").alias("n_bytes"), _all_spans(whole).alias("spans"), _all_removed(whole).alias("n_removed"),
@@ -247,13 +285,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step:
 
 def find_passages(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM, step: int = PASSAGE_STEP, index_units: int = INDEX_UNITS) -> DataFrame:
     """(doc_id, sha256, n_words, spans, n_repeated) of every row of docs (doc_id, text), in words: those in a passage of length words that starts more than once."""
-    found, per_text = _repeats(docs, word_hashes_of, length, gram, step, index_units)
+    found, per_text = _repeats(docs, words_of_all, length, gram, step, index_units)
     whole = (F.col("copies") > 1) & (F.col("size") >= length)
     return found.join(per_text, "text_id").select("doc_id", "sha256", F.col("size").alias("n_words"), _all_spans(whole).alias("spans"), _all_removed(whole).alias("n_repeated"))
 
 
-def word_hashes_of(text: str | None) -> np.ndarray:
-    return word_hashes(text or "")
+def bytes_of_all(texts: list[str]) -> list[np.ndarray]:
+    return [bytes_of(x) for x in texts]
+
+
+def words_of_all(texts: list[str]) -> list[np.ndarray]:
+    return word_hashes_of_all(texts, TOGETHER)
 
 
 def _all_spans(whole: Column) -> Column:
@@ -265,16 +307,16 @@ def _all_removed(whole: Column) -> Column:
     return F.when(whole, F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint")
 
 
-def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], length: int, gram: int, step: int, index_units: int) -> tuple[DataFrame, DataFrame]:
+def _repeats(docs: DataFrame, symbols: Callable[[list[str]], list[np.ndarray]], length: int, gram: int, step: int, index_units: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_id, size, sha256) of every row of docs, and (text_id, copies, spans, n_removed, kept_sha256) of every text: spans in symbols, null without any."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    kind = symbols("").dtype
+    kind = symbols([""])[0].dtype
     by_bytes = kind == np.uint8
 
     def symbols_of(column: pa.Array) -> list[np.ndarray]:
         if by_bytes:
             return [np.frombuffer(x, kind) for x in column.cast(pa.binary()).to_pylist()]
-        return [symbols(x) for x in column.to_pylist()]
+        return symbols(column.to_pylist())
 
     four = ["anchors", "places", "firsts", "lasts"]
 
@@ -282,7 +324,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
         for some in slices(batches):
             texts = symbols_of(some.column(1))
             digests = [hashlib.sha256(x).hexdigest() for x in some.column(1).cast(pa.binary()).to_pylist()]
-            found = [anchors(x, length, gram) for x in texts]
+            found = anchors_of_all(texts, length, gram)
             arrays = [pa.array([x[0].view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), pa.array([text_id(x) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64()), pa.array(digests, pa.string()), pa.array([x[4] for x in found], pa.bool_()), *arrays],
@@ -316,7 +358,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
     def as_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, write = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
-            yield batch.set_column(1, "packed", pa.array([write(symbols(read(x).decode()).tobytes()) for x in batch.column(1).to_pylist()], pa.binary()))
+            yield batch.set_column(1, "packed", pa.array([write(y.tobytes()) for y in symbols([read(x).decode() for x in batch.column(1).to_pylist()])], pa.binary()))
 
     # a row that is repeated whole may be here twice; it has copies then, and its windows do recur
     texts = stored(texts if by_bytes else texts.mapInArrow(as_symbols, texts.schema), "repetitive")
@@ -326,11 +368,22 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
             wanted = batch.column(2)
             cuts = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
             cols = [x.to_numpy().astype(np.int64) for x in wanted.flatten().flatten()]
-            for text, data, a, b in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), cuts[:-1], cuts[1:], strict=True):
-                key, content, first, windows = units_of(data, cols[0][a:b].view(np.uint64), *(x[a:b] for x in cols[1:]), length, step)
+            ids, held, size = batch.column(0), [], 0
+            for k, data in enumerate(unpacked(batch.column(1))):
+                held.append(data)
+                size += len(data)
+                if size < TOGETHER and k < batch.num_rows - 1:
+                    continue
+                since, sizes = k + 1 - len(held), np.array([len(x) for x in held])
+                begins, a, b = np.cumsum(sizes) - sizes, cuts[since], cuts[k + 1]
+                shift = np.repeat(begins, np.diff(cuts[since : k + 2]))  # all that is hashed lies inside its text
+                key, content, first, windows = units_of(np.concatenate(held), cols[0][a:b].view(np.uint64), *(x[a:b] + shift for x in cols[1:]), length, step)
+                own = np.searchsorted(begins, first, "right") - 1
+                first = first - begins[own]
                 for at in range(0, len(key), 1 << 16):
                     some = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array([text] * len(key[some]), pa.binary()), pa.array(key[some].view(np.int64)), pa.array(content[some].view(np.int64)), pa.array(first[some], pa.int32()), pa.array(windows[some], pa.int32())], names=["text_id", "key", "content", "first", "windows"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[some] + since)), pa.array(key[some].view(np.int64)), pa.array(content[some].view(np.int64)), pa.array(first[some], pa.int32()), pa.array(windows[some], pa.int32())], names=["text_id", "key", "content", "first", "windows"])
+                held, size = [], 0
 
     every = stored(texts.select("text_id", "packed", "wanted").mapInArrow(find_units, "text_id binary, key bigint, content bigint, first int, windows int"), "units")
     several = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
@@ -361,7 +414,7 @@ def _repeats(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], lengt
 
         for batch in slices(batches):
             for row in batch.to_pylist():
-                if len(held) >= index_units and row["key"] != held[-1]["key"]:
+                if len(held) >= min(TOGETHER_UNITS, index_units) and row["key"] != held[-1]["key"]:
                     yield marks()
                     held = []
                 held.append(row)

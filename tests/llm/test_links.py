@@ -38,6 +38,30 @@ def components(n, pairs):
     return [find(x) for x in range(n)]
 
 
+def test_short_texts_together():
+    """Anchors, units and word hashes of texts looked at together are those of each text, for odd ones and at all sizes of the runs."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcd ", k=rng.randrange(900))) for _ in range(60)] + ["", "a" * 3000, "ab " * 700, "\u03a3\u03c3\u03c2 \u0391\u03a3", " ", "x"]
+    texts += [texts[3] * 3, "y" + texts[3]]
+    for together in (1, 700, 1 << 16):
+        words = ngram_join.word_hashes_of_all(texts, together)
+        assert [x.tolist() for x in words] == [ngram_join.word_hashes(x).tolist() for x in texts]
+        for data, length, gram, step in (([suffix_dedup.bytes_of(x) for x in texts], 100, 16, 16), (words, 20, 4, 4)):
+            alone = [suffix_dedup.anchors(x, length, gram) for x in data]
+            for a, b in zip(alone, suffix_dedup.anchors_of_all(data, length, gram, together), strict=True):
+                assert a[4] == b[4] and all(x.dtype == y.dtype and x.tolist() == y.tolist() for x, y in zip(a[:4], b[:4], strict=True))
+            rows = [x for x in range(len(data)) if len(data[x]) >= length]
+            begins = np.cumsum([len(data[x]) for x in rows]) - [len(data[x]) for x in rows]
+            every = [suffix_dedup.units_of(data[x], *alone[x][:4], length, step) for x in rows]
+            joined = [np.concatenate([alone[x][k] + (at if k else np.uint64(0)) for x, at in zip(rows, begins, strict=True)]) for k in range(4)]
+            found = suffix_dedup.units_of(np.concatenate([data[x] for x in rows]), *joined, length, step)
+            shifted = [np.concatenate([y[k] + (at if k == 2 else y[k].dtype.type(0)) for y, at in zip(every, begins, strict=True)]) for k in range(4)]
+            assert all((x == y).all() for x, y in zip(found, shifted, strict=True))
+    values = np.array([rng.randrange(1000) for _ in range(300)], np.uint64)
+    for width in (1, 2, 3, 7, 64, 300):
+        assert suffix_dedup._sliding_least(values, width).tolist() == [min(values[k : k + width]) for k in range(301 - width)]
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(300, 340)] + [(7, 7)]
