@@ -308,3 +308,42 @@ def test_segments_equal_a_search_of_each_diagonal(spark):
     assert sum(r["score"] > 0 for r in got.values()) > 15
     empty = spark.createDataFrame([], "item string, seq string")
     assert scoring.segment_scores(spark.createDataFrame(queries_, "query string, seq string"), empty, "query", "item").where("score = 0").count() == len(queries_)
+
+
+def test_kinds_of_edits_are_counted_only_near_matches(monkeypatch):
+    """The automaton with a state for each kind of edits passes over few of the letters: those that a plainer one finds near a match."""
+    rng = random.Random(11)
+    string = "".join(rng.choices("ACGT", k=48))
+    copies = [string, string[:20] + string[23:], string[:5] + "TTT" + string[5:30] + string[31:], "A" + string[1:-1] + "C"]
+    text = "".join("".join(rng.choices("ACGT", k=1500)) + x for x in copies)
+    short = text[1400:1700]
+    counted, scan = [], matching._scan
+
+    def counting(block, codes, lanes, begins, sizes, *rest):
+        counted.append(int(sizes.sum()))
+        return scan(block, codes, lanes, begins, sizes, *rest)
+
+    monkeypatch.setattr(matching, "_scan", counting)
+    strings = [string, string[1:], string[2:-1], string[:-3]]
+    got = matching.match_all([text, short], [strings, strings[:2]])
+    assert sum(counted) < 0.1 * 3 * len(text)
+    for w, own, found in ((text, strings, got[0]), (short, strings[:2], got[1])):
+        for s, x in zip(own, found, strict=True):
+            assert told(x) == beginnings(w, s)
+    for x in matching.in_blocks([text, short], [strings, strings[:2]]):
+        many, chosen = x.apart()
+        at = 0
+        for (w, k), a, n in zip(x.told, x.cuts.tolist(), many.tolist(), strict=False):
+            assert (chosen[at : at + n] - a).tolist() == got[w][k].apart()
+            at += n
+
+
+def test_every_letter_replaced_or_left_out():
+    """Matches of which little is there: of strings of four to seven letters at the ends of windows, with bounds of all kinds."""
+    rng = random.Random(12)
+    for most in [(3, 3, 3, 6), (0, 0, 0, 0), (0, 3, 3, 6), (3, 0, 1, 2), (2, 1, 0, 3)]:
+        for _ in range(20):
+            text = "".join(rng.choices("AC", k=rng.randrange(1, 25)))
+            strings = ["".join(rng.choices("AC", k=rng.randrange(4, 8))) for _ in range(6)]
+            for s, x in zip(strings, matching.match_all([text], [strings], most)[0], strict=True):
+                assert told(x) == (beginnings(text, s, most) if len(s) > most[1] else {})
