@@ -65,3 +65,33 @@ def test_ensemble_of_neighbours(spark):
         q = (r["a"] or 0.0, r["b"])
         near = sorted(((q[0] - a) ** 2 + (q[1] - b) ** 2, k) for k, (a, b) in enumerate(points))[:7]
         assert r["score_8"] == pytest.approx(sum(labels[k] for _, k in near) / 7)
+
+
+def test_boxes_leave_out_most_points():
+    """Of points on a plane, the boxes within the bound of a query's own box hold few, and no nearer point is outside of them."""
+    rng = np.random.default_rng(9)
+    known, asked = rng.uniform(0, 1000, (4000, 2)), rng.uniform(0, 1000, (300, 2))
+    dims, cuts = neighbours.split_tree(known[:1000], 128)
+    own = neighbours.cell_of(known, dims, cuts)
+    cells = np.unique(own)
+    assert 100 < len(cells) <= 128
+    low, high = (np.array([f(known[own == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    n = np.array([(own == c).sum() for c in cells])
+    d = neighbours._distances(asked, known)
+    home = np.where(own[None, :] == neighbours.cell_of(asked, dims, cuts)[:, None], d, np.inf)
+    bound = np.partition(home, 6, axis=1)[:, 6]
+    near = neighbours._from_boxes(asked, low, high) <= bound[:, None]
+    assert (near @ n).mean() < 0.1 * len(known)
+    inside = near[:, np.searchsorted(cells, own)]
+    assert (inside | (d > bound[:, None])).all() and (neighbours._to_boxes(asked, low, high)[:, np.searchsorted(cells, own)] >= d).all()
+    assert (neighbours.split_tree(np.ones((50, 3)), 64)[0] == -1).all() and neighbours.cell_of(np.ones((2, 3)), *neighbours.split_tree(np.ones((50, 3)), 1)).tolist() == [0, 0]
+
+
+def test_queries_far_from_their_box(spark):
+    """Hot boxes of several parts, boxes with fewer rows than k, and queries that have no bound from their own box."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 3, (300, 2)) + rng.uniform(0, 1e-6, (300, 2)), rng.uniform(0, 1e5, (40, 2)), [[1e5, 1e5]] * 3])
+    known = [(k, row.tolist(), float(k % 3)) for k, row in enumerate(x)]
+    asked = [*rng.uniform(-10, 1.1e5, (80, 2)).tolist(), *x[:50].tolist()]
+    got = neighbours.nearest(spark.createDataFrame([(a,) for a in asked], ASKED), spark.createDataFrame(known, KNOWN), "x", "id", "y", 9, 8, 8, 16)
+    assert told(got) == brute(asked, known, 9)
