@@ -287,3 +287,24 @@ def test_regions_merge_and_expand(spark):
     assert all(r["window"] == contig[r["window_start"] : r["window_end"]] for r in rows)
     few = plan.regions(df, expanded=False).collect()
     assert set(few[0]["repeats"]) < set(found[0]["repeats"])
+
+
+def test_copies_are_not_aligned(monkeypatch):
+    """Texts equal to their pattern aren't aligned, others once; and blanks stand where another has letters put in."""
+    import pandas as pd
+
+    pattern, asked, make = "ACGTTGCAAC", [], search.align_pairs
+    texts = [[pattern, "ACGTTTGCAAC", "ACGTGCAAC", "GACGTTGCAACT"], [pattern] * 3, ["ACGTGCAAC", "TTTTTTTTTT"], []]
+    cells = [make(xs, [pattern] * len(xs)) for xs in texts]
+    want = []
+    for rows in cells:
+        widths = [max(len(r[k]) for r in rows) for k in range(2 * len(pattern) + 1)] if rows else []
+        want.append(["".join(r[k].ljust(w) for k, w in enumerate(widths)) for r in rows])
+
+    def counting(xs, ps):
+        asked.extend(zip(xs, ps, strict=True))
+        return make(xs, ps)
+
+    monkeypatch.setattr(search, "align_pairs", counting)
+    assert search._aligned(pd.Series(texts), pd.Series([pattern] * 4)).tolist() == want
+    assert len(asked) == len(set(asked)) == 4 and all(x != p for x, p in asked)
