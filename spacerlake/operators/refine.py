@@ -21,11 +21,10 @@ ARRAY = "struct<repeats:array<string>,spacers:array<string>,starts:array<int>>"
 
 def rematched(found: Matches, seq: str, repeats: list[str], spacers: list[str], starts: list[int], around: int = AROUND) -> tuple[list[str], list[str], list[int]]:
     """The array as the consensus' matches in it and `around` letters on either side show it; as it was, if there are none."""
-    near = found.within(max(0, starts[0] - around), starts[-1] + len(repeats[-1]) + around)
-    hits = near.apart()
+    hits = found.apart(max(0, starts[0] - around), starts[-1] + len(repeats[-1]) + around)
     if not hits:
         return list(repeats), list(spacers), list(starts)
-    begins, ends = [int(near.starts[k]) for k in hits], [int(near.ends[k]) for k in hits]
+    begins, ends = ([x[k] for k in hits] for x in found.lists[:2])
     return [seq[a:b] for a, b in zip(begins, ends, strict=True)], [seq[a:b] for a, b in zip(ends, begins[1:], strict=False)], begins
 
 
@@ -36,23 +35,22 @@ def extend(seq: str, consensus: str, repeats: list[str], spacers: list[str], sta
     """
     repeats, spacers, starts = list(repeats), list(spacers), list(starts)
     found = match_all([seq], [[consensus]])[0][0] if found is None else found
+    places, behind, _ = found.lists
     longest = max(map(len, spacers), default=0) + margin
     while True:
         end = starts[-1] + len(repeats[-1])
-        step = found.within(end, min(right, end + STEP))
-        k = step.best()
-        if k is None or not 0 < step.starts[k] - end <= longest:
+        k = found.best_within(end, min(right, end + STEP))
+        if k is None or not 0 < places[k] - end <= longest:
             break
-        at = int(step.starts[k])
+        at = places[k]
         spacers.append(seq[end:at])
-        repeats.append(seq[at : int(step.ends[k])])
+        repeats.append(seq[at : behind[k]])
         starts.append(at)
     while True:
-        step = found.within(max(left, starts[0] - STEP), starts[0])
-        k = step.best()
-        if k is None or not 0 < starts[0] - step.ends[k] <= longest:
+        k = found.best_within(max(left, starts[0] - STEP), starts[0])
+        if k is None or not 0 < starts[0] - behind[k] <= longest:
             break
-        at, end = int(step.starts[k]), int(step.ends[k])
+        at, end = places[k], behind[k]
         spacers.insert(0, seq[end : starts[0]])
         repeats.insert(0, seq[at:end])
         starts.insert(0, at)

@@ -347,3 +347,28 @@ def test_every_letter_replaced_or_left_out():
             strings = ["".join(rng.choices("AC", k=rng.randrange(4, 8))) for _ in range(6)]
             for s, x in zip(strings, matching.match_all([text], [strings], most)[0], strict=True):
                 assert told(x) == (beginnings(text, s, most) if len(s) > most[1] else {})
+
+
+def test_parts_of_matches_without_copies(monkeypatch):
+    """What refinement asks of matches in a part of a window is told from their lists, no part is copied."""
+    rng = random.Random(21)
+    cases = []
+    for _ in range(300):
+        starts = np.array(sorted(rng.sample(range(60), rng.randrange(0, 25))), np.int64)
+        counts = np.array([[rng.randrange(2), rng.randrange(2), rng.randrange(4)] for _ in starts], np.int64).reshape(-1, 3)
+        x = matching.Matches(starts, starts + 9 + counts[:, 0] - counts[:, 1], counts)
+        low, high = sorted(rng.sample(range(-5, 80), 2))
+        part = x.within(low, high)
+        cases.append((x, low, high, part.starts[part.apart()].tolist(), None if part.best() is None else int(part.starts[part.best()])))
+    flank = "".join(rng.choices("ACGT", k=900))
+    consensus = flank[300:330]
+    flank = flank[:380] + consensus + flank[410:500] + consensus[:12] + "G" + consensus[12:] + flank[530:]
+    want = refine.extend(flank, consensus, [consensus], [], [300], 0, len(flank), margin=120)
+    monkeypatch.setattr(matching.Matches, "within", None)
+    for x, low, high, apart, best in cases:
+        assert x.starts[x.apart(low, high)].tolist() == apart
+        k = x.best_within(low, high)
+        assert (None if k is None else int(x.starts[k])) == best
+    assert refine.extend(flank, consensus, [consensus], [], [300], 0, len(flank), margin=120) == want and len(want[0]) == 3
+    found = matching.match_all([flank], [[consensus]])[0][0]
+    assert refine.rematched(found, flank, [consensus, consensus], [flank[330:380]], [300, 380])[2] == [300, 380]
