@@ -308,3 +308,16 @@ def test_copies_are_not_aligned(monkeypatch):
     monkeypatch.setattr(search, "align_pairs", counting)
     assert search._aligned(pd.Series(texts), pd.Series([pattern] * 4)).tolist() == want
     assert len(asked) == len(set(asked)) == 4 and all(x != p for x, p in asked)
+
+
+def test_letters_are_counted_without_regular_expressions(spark):
+    from spacerlake.functions import sequence
+
+    rows = ["", None, "AATTCG", "NNAN", "aA-T\n", "GGGG", "ÄA€T"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k long, s string").repartition(2)
+    told = df.select("k", sequence.base_count(F.col("s"), "AT").alias("n"), sequence.at_richness(F.col("s")).alias("r"))
+    got = {r["k"]: (r["n"], r["r"]) for r in told.collect()}
+    for k, x in enumerate(rows):
+        known = sum((x or "").count(c) for c in "ACGT")
+        assert got[k] == (None if x is None else sum(x.count(c) for c in "AT"), sum(x.count(c) for c in "AT") / known if known else 0.0)
+    assert "regexp" not in told._jdf.queryExecution().executedPlan().toString().lower()
